@@ -3,17 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gavel.llm import decontaminate as _dec
+from gavel.llm import neighbours as _near
+from gavel.llm import pieces as _pieces
 from gavel.llm import quality as _quality
 from gavel.llm import token_counts as _tokens
+from gavel.llm import toxicity as _toxic
 from gavel.llm.common import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _toxic.toxicity(docs, _toxic.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = _pieces.encode_pieces(table(spark, sf_dir, "documents"))
+    return encoded.withColumn("ids_sha256", F.sha2(F.array_join("token_ids", ",").cast("binary"), 256)).drop("token_ids")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dec.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
@@ -23,5 +41,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality_scores(docs, _quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op8_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_token_counts, op5_neighbours, op7_pieces, op8_decontaminate, op10_quality)}
 ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE}
