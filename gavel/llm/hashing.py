@@ -8,6 +8,8 @@ import numpy as np
 BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The same, but with all ASCII marks as gaps too.
+_NO_LETTER = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -36,46 +38,57 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW, _INV = _powers(_BASE, BLOCK + 1), _powers(_INVERSE, BLOCK + 1)
 
 
-def _block(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of at most BLOCK bytes: a polynomial hash by differences of prefix sums."""
+def _block(buf: np.ndarray, gaps: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Starts and hashes of the words of at most BLOCK bytes, and of their first so many bytes: a polynomial hash by differences of prefix sums."""
     gap = np.ones(len(buf) + 2, bool)
-    gap[1:-1] = _SPACE[buf]
+    gap[1:-1] = gaps[buf]
     turn = gap[1:] != gap[:-1]
     at = np.flatnonzero(turn)
     starts, ends = at[::2], at[1::2]
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTES[buf] * _POW[: len(buf)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * _INV[starts] + (ends - starts).astype(np.uint64) * np.uint64(_STEP)
-    return starts, mix(h)
+    out = [starts, mix(h)]
+    for k in heads:  # 0 for words that are no longer
+        end = np.minimum(starts + k, len(buf))
+        head = mix((sums[end] - sums[starts]) * _INV[starts] + np.uint64(k * 0x51ED2701))
+        out.append(np.where(ends - starts > k, head, np.uint64(0)))
+    return tuple(out)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and hashes of all words, runs of what is not ASCII white space."""
+def word_hashes(data: bytes, gaps: np.ndarray = _SPACE, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Byte starts and hashes of all words (runs without gaps), and the hashes of their heads."""
     import xxhash
 
     buf = np.frombuffer(data, np.uint8)
-    starts, hashes, i = [], [], 0
+    parts, i = [], 0
     while i < len(buf):
         end = min(i + BLOCK, len(buf))
-        if end < len(buf) and not _SPACE[buf[end]]:
-            gaps = np.flatnonzero(_SPACE[buf[i:end]])
-            if len(gaps):
-                end = i + int(gaps[-1]) + 1
+        if end < len(buf) and not gaps[buf[end]]:
+            cuts = np.flatnonzero(gaps[buf[i:end]])
+            if len(cuts):
+                end = i + int(cuts[-1]) + 1
             else:  # one word longer than a block
-                while end < len(buf) and not _SPACE[buf[end]]:
-                    more = np.flatnonzero(_SPACE[buf[end : end + BLOCK]])
+                while end < len(buf) and not gaps[buf[end]]:
+                    more = np.flatnonzero(gaps[buf[end : end + BLOCK]])
                     end += int(more[0]) if len(more) else len(buf[end : end + BLOCK])
-                starts.append(np.array([i]))
-                hashes.append(np.array([xxhash.xxh64_intdigest(data[i:end])], np.uint64))
+                parts.append((np.array([i]), np.array([xxhash.xxh64_intdigest(data[i:end])], np.uint64), *[np.zeros(1, np.uint64) for _ in heads]))
                 i = end
                 continue
-        s, h = _block(buf[i:end])
-        starts.append(s + i)
-        hashes.append(h)
+        found = _block(buf[i:end], gaps, heads)
+        parts.append((found[0] + i, *found[1:]))
         i = end
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
+    if not parts:
+        return (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * (1 + len(heads)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def letter_words(texts: list[str | None], heads: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """([word hashes, head hashes, ...], first word of each text and the end); marks separate words too."""
+    raw = [(t or "").encode().lower() for t in texts]
+    at = np.cumsum([0] + [len(r) + 1 for r in raw])
+    starts, *hashes = word_hashes(b"\n".join(raw), _NO_LETTER, heads)
+    return hashes, np.searchsorted(starts, at)
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

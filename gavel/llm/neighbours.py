@@ -2,7 +2,8 @@
 
 Vectors are clustered into lists around centroids that k-means fits on a
 bounded sample (``SAMPLE_ROWS``); every vector is indexed. A query probes the
-lists of its nearest centroids. In a list, candidates are held rotated by a
+lists of its nearest centroids, as many as sampled queries need to find a
+target share of their true neighbours. In a list, candidates are held rotated by a
 random orthogonal matrix in blocks of columns; after each block a hypothesis
 test compares the partial distance, scaled to all dimensions, with the best
 distances so far, and abandons candidates that are too far with high
@@ -95,6 +96,17 @@ def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :k]
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray, target: float, queries: int = 256) -> int:
+    """The fewest probes with which sampled queries find the target share of their true neighbours in the sample."""
+    asked = sample[:queries]
+    d = (sample**2).sum(1)[None] - 2 * asked @ sample.T
+    true = np.argsort(d, axis=1, kind="stable")[:, 1 : TOP + 1]
+    place = np.argsort(nearest(asked, centres, len(centres)), axis=1)
+    at = nearest(sample, centres, 1)[:, 0]
+    ranks = np.sort(np.take_along_axis(place, at[true], axis=1), axis=None)
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1 if len(ranks) else 1
+
+
 def rotation(n: int, seed: int = 11) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))[0]
 
@@ -179,7 +191,7 @@ def _search(asks: DataFrame, index: DataFrame, sizes: dict[int, int], probes: in
     return salted.groupBy("key").agg(nearest_of(F.flatten(F.collect_list("found"))).alias("found"))
 
 
-def neighbours(vectors: DataFrame, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding", probe_share: float = 0.12) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding", target: float = 0.97) -> DataFrame:
     """The TOP nearest of every row whose id is divisible by `every`: query_id, rank, vec_id, score."""
     rows = valid(vectors, vec_id, embedding)
     unique = stored(distinct_vectors(rows, every))
@@ -198,7 +210,7 @@ def neighbours(vectors: DataFrame, every: int = 100, vec_id: str = "vec_id", emb
     index = stored(unique.mapInArrow(assign, "key long, v array<double>, ids array<bigint>, asks boolean, list int"))
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
     asks = index.filter("asks")
-    probes = min(lists, max(8, int(np.ceil(lists * probe_share))))
+    probes = min(lists, max(8, probes_for(sample, centres, target)))
     found = stored(_search(asks, index, sizes, probes, centres, turn))
     if probes < lists:
         few = stored(asks.join(found.filter(F.size("found") > TOP).select("key"), "key", "left_anti"))
