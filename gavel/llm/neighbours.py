@@ -111,43 +111,34 @@ def rotation(n: int, seed: int = 11) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))[0]
 
 
-def scan(queries: np.ndarray, x: np.ndarray, turn: np.ndarray, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows of x with the `keep` smallest distances found, and these distances."""
+def scan(queries: np.ndarray, x: np.ndarray, turn: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row of x, distance): for each query the `keep` nearest rows found, nearest first, ties to the earlier row.
+
+    The first rows give each query its limit; all others start with the first
+    column block, for all pairs at once, and only pairs that pass the test go on.
+    """
     d = x.shape[1]
-    rotated = (x @ turn).astype(np.float32)
-    blocks = [np.ascontiguousarray(rotated[:, i : i + COLUMNS]) for i in range(0, d, COLUMNS)]
-    asked = (queries @ turn).astype(np.float32)
-    out = []
-    for q, r in zip(queries, asked, strict=True):
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for start in range(0, len(x), 256 if len(x) <= 1024 else 1024):
-            rows = np.arange(start, min(start + (256 if len(x) <= 1024 else 1024), len(x)))
-            if len(best) >= keep:
-                limit = best[keep - 1] ** 2
-                part = np.zeros(len(rows), np.float32)
-                for i, b in enumerate(blocks):
-                    lo = i * COLUMNS
-                    width = b.shape[1]
-                    part += ((b[rows] - r[lo : lo + width]) ** 2).sum(1)
-                    seen = min(lo + width, d)
-                    alive = part * (d / seen) <= limit * (1 + SURE / np.sqrt(seen)) ** 2 if seen < d else part <= limit * 1.001 + 1e-6
-                    rows, part = rows[alive], part[alive]
-                    if not len(rows):
-                        break
-            if len(rows):
-                dist = np.sqrt(((x[rows] - q) ** 2).sum(1))
-                best_at, best = np.concatenate([best_at, rows]), np.concatenate([best, dist])
-                if len(best) > keep:
-                    # everything as near as the last one stays until the ids decide
-                    limit = np.partition(best, keep - 1)[keep - 1]
-                    order = np.argsort(best, kind="stable")
-                    order = order[: np.searchsorted(best[order], limit, side="right")]
-                    best_at, best = best_at[order], best[order]
-                else:
-                    order = np.argsort(best, kind="stable")
-                    best_at, best = best_at[order], best[order]
-        out.append((best_at, best))
-    return out
+    rotated, asked = (x @ turn).astype(np.float32), (queries @ turn).astype(np.float32)
+    first = min(len(x), max(4 * keep, 128))
+    squares = lambda a, b: np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None], 0)
+    q, at = (i.ravel() for i in np.indices((len(queries), first)))
+    if len(x) > first:
+        limit = np.partition(squares(asked, rotated[:first]), keep - 1, axis=1)[:, keep - 1] * 1.001 + 1e-6
+        part = squares(asked[:, :COLUMNS], rotated[first:, :COLUMNS])
+        seen = min(COLUMNS, d)
+        qi, xi = np.nonzero(part * (d / seen) <= limit[:, None] * ((1 + SURE / np.sqrt(seen)) ** 2 if seen < d else 1))
+        part, xi = part[qi, xi], xi + first
+        for lo in range(COLUMNS, d, COLUMNS):
+            seen = min(lo + COLUMNS, d)
+            part = part + ((rotated[xi, lo:seen] - asked[qi, lo:seen]) ** 2).sum(1)
+            alive = part * (d / seen) <= limit[qi] * ((1 + SURE / np.sqrt(seen)) ** 2 if seen < d else 1)
+            qi, xi, part = qi[alive], xi[alive], part[alive]
+        q, at = np.concatenate([q, qi]), np.concatenate([at, xi])
+    dist = np.concatenate([np.sqrt(((x[at[i : i + 65536]] - queries[q[i : i + 65536]]) ** 2).sum(1)) for i in range(0, len(q), 65536)] or [np.zeros(0)])
+    order = np.lexsort((at, dist, q))
+    q, at, dist = q[order], at[order], dist[order]
+    near = np.arange(len(q)) - np.searchsorted(q, q) < keep
+    return q[near], at[near], dist[near]
 
 
 def _search(asks: DataFrame, index: DataFrame, sizes: dict[int, int], probes: int, centres: np.ndarray, turn: np.ndarray) -> DataFrame:
@@ -177,11 +168,11 @@ def _search(asks: DataFrame, index: DataFrame, sizes: dict[int, int], probes: in
         if len(a) and len(b):
             b = b.assign(first=b["ids"].str[0]).sort_values("first")
             x, own = np.stack(b["v"].to_numpy()), b["ids"].to_list()
-            for key, (at, dist) in zip(a["key"], scan(np.stack(a["v"].to_numpy()), x, turn, TOP + 1), strict=True):
-                pairs = sorted((d, int(i)) for j, d in zip(at.tolist(), dist.tolist(), strict=True) for i in own[j])[: TOP + 1]
-                keys += [key] * len(pairs)
-                dists += [d for d, _ in pairs]
-                ids += [i for _, i in pairs]
+            key = a["key"].to_numpy()
+            for q, j, d in zip(*(z.tolist() for z in scan(np.stack(a["v"].to_numpy()), x, turn, TOP + 1)), strict=True):
+                keys += [key[q]] * len(own[j])
+                dists += [d] * len(own[j])
+                ids += list(own[j])
         return pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "dist": pd.Series(dists, dtype="float64"), "id": pd.Series(ids, dtype="int64")})
 
     on = ["list", "block", "part"]
