@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.llm import decontaminate as _dec
+from gavel.llm import html as _html
+from gavel.llm import language as _language
 from gavel.llm import neighbours as _near
 from gavel.llm import pieces as _pieces
 from gavel.llm import quality as _quality
@@ -14,6 +16,10 @@ from gavel.llm import toxicity as _toxic
 from gavel.llm.common import table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _toxic.toxicity(docs, _toxic.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -27,6 +33,11 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _language.identify(docs, _language.fit_language(docs))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = _pieces.encode_pieces(table(spark, sf_dir, "documents"))
     return encoded.withColumn("ids_sha256", F.sha2(F.array_join("token_ids", ",").cast("binary"), 256)).drop("token_ids")
@@ -41,5 +52,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality_scores(docs, _quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_token_counts, op5_neighbours, op7_pieces, op8_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op10_quality)}
 ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE}
