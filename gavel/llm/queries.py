@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm import decontaminate as _dec
 from gavel.llm import html as _html
+from gavel.llm import jaccard as _jaccard
 from gavel.llm import language as _language
 from gavel.llm import neighbours as _near
 from gavel.llm import pieces as _pieces
@@ -47,10 +48,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dec.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _quality.quality_scores(docs, _quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op10_quality)}
-ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_main_text, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op9_jaccard, op10_quality)}
+ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE, "op9_jaccard": _jaccard.ORACLE}
