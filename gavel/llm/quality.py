@@ -169,3 +169,17 @@ def quality_scores(docs: DataFrame, model: Trees) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     scored = map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: Trees) -> DataFrame:
+    """The rows, with all their columns, whose score is at least 0.5; one pass without a join."""
+    at = docs.columns.index("text")
+
+    def make():
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            s = model.score(np.array([document_statistics(t) for t in part.column(at).to_pylist()], float))
+            return part.filter(pa.array(s >= 0.5))
+
+        return run
+
+    return map_slices(docs, make, docs.schema)
