@@ -22,6 +22,9 @@ from gavel.functions.geometry import BY_NAME
 IQ4_VALUES = np.array([-127, -104, -83, -65, -49, -35, -22, -10, 1, 13, 25, 38, 53, 69, 89, 113], np.float32)
 MXFP4_VALUES = np.array([0, 1, 2, 3, 4, 6, 8, 12, 0, -1, -2, -3, -4, -6, -8, -12], np.float32)
 
+#: Values decoded at once, so that what is in between stays in the cache.
+STEP = 32_768
+
 #: Entries and width of the large codebooks; their values come from outside, see codebook().
 GRIDS = {"IQ2_XXS": (256, 8), "IQ2_XS": (512, 8), "IQ2_S": (1024, 8), "IQ3_XXS": (256, 4), "IQ3_S": (512, 4), "IQ1_S": (2048, 8)}
 
@@ -56,6 +59,30 @@ def _nibbles(q: np.ndarray) -> np.ndarray:
     return np.concatenate([q & 15, q >> 4], axis=-1).astype(np.int32)
 
 
+_BYTE = np.arange(256)
+
+
+def _table(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each byte's low and high nibble."""
+    values = np.asarray(values, np.float32)
+    return values[_BYTE & 15], values[_BYTE >> 4]
+
+
+_PLAIN, _LESS_8, _LESS_16 = _table(np.arange(16)), _table(np.arange(16) - 8), _table(np.arange(16) - 16)
+_FIFTH = (((_BYTE[:, None] >> np.arange(8)) & 1) * 16).astype(np.float32)
+
+
+_TOP_BITS = (((_BYTE[:, None] >> (2 * np.arange(4))) & 3) * 16).astype(np.float32)
+
+
+def _nibble_values(q: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The values of all low nibbles, then of all high ones."""
+    k = q.shape[-1]
+    out = np.empty((*q.shape[:-1], 2 * k), np.float32)
+    out[..., :k], out[..., k:] = table[0][q], table[1][q]
+    return out
+
+
 def _bits(x: np.ndarray, n: int) -> np.ndarray:
     return (x[..., None] >> np.arange(n)) & 1
 
@@ -70,16 +97,19 @@ def _bf16(b):
 
 def _q4(at: int, offset: bool):
     def f(b):
-        q = _nibbles(b[:, at:])
-        return _half(b, 0) * q + _half(b, 2) if offset else _half(b, 0) * (q - 8)
+        x = _nibble_values(b[:, at:], _PLAIN if offset else _LESS_8)
+        x *= _half(b, 0)
+        return np.add(x, _half(b, 2), out=x) if offset else x
 
     return f
 
 
 def _q5(at: int, offset: bool):
     def f(b):
-        q = _nibbles(b[:, at + 4 :]) | (_bits(_u(b, at, "<u4"), 32)[:, 0] << 4).astype(np.int32)
-        return _half(b, 0) * q + _half(b, 2) if offset else _half(b, 0) * (q - 16)
+        x = _nibble_values(b[:, at + 4 :], _PLAIN if offset else _LESS_16)
+        x += _FIFTH[b[:, at : at + 4]].reshape(len(b), 32)
+        x *= _half(b, 0)
+        return np.add(x, _half(b, 2), out=x) if offset else x
 
     return f
 
@@ -120,19 +150,22 @@ def _q45_k(fifth: bool):
     def f(b):
         scale, least = _six_bits(b[:, 4:16])
         at = 48 if fifth else 16
-        q = _nibbles(b[:, at : at + 128].reshape(len(b), 4, 32)).reshape(len(b), 8, 32)
+        q = _nibble_values(b[:, at : at + 128].reshape(len(b), 4, 32), _PLAIN).reshape(len(b), 8, 32)
         if fifth:
-            q = q | (((b[:, None, 16:48] >> np.arange(8)[:, None]) & 1).astype(np.int32) << 4)
-        out = (_half(b, 0) * scale)[:, :, None] * q - (_half(b, 2) * least)[:, :, None]
-        return out.reshape(len(b), 256)
+            q += _FIFTH[b[:, 16:48]].transpose(0, 2, 1)
+        q *= (_half(b, 0) * scale)[:, :, None]
+        q -= (_half(b, 2) * least)[:, :, None]
+        return q.reshape(len(b), 256)
 
     return f
 
 
 def _q6_k(b):
-    low = _nibbles(b[:, :128].reshape(len(b), 2, 64)).reshape(len(b), 256)
-    high = ((b[:, 128:192].reshape(len(b), 2, 1, 32) >> (2 * np.arange(4))[:, None]) & 3).reshape(len(b), 256).astype(np.int32)
-    return _half(b, 208) * np.repeat(b[:, 192:208].view(np.int8).astype(np.float32), 16, 1) * ((low | (high << 4)) - 32)
+    x = _nibble_values(b[:, :128].reshape(len(b), 2, 64), _table(np.arange(16) - 32)).reshape(len(b), 2, 4, 32)
+    x += _TOP_BITS[b[:, 128:192]].reshape(len(b), 2, 32, 4).transpose(0, 1, 3, 2)
+    x = x.reshape(len(b), 16, 16)
+    x *= (_half(b, 208) * b[:, 192:208].view(np.int8))[:, :, None]
+    return x.reshape(len(b), 256)
 
 
 def signs(mask: np.ndarray) -> np.ndarray:
@@ -202,14 +235,17 @@ def _iq1_m(b):
 
 
 def _iq4_nl(b):
-    return _half(b, 0) * IQ4_VALUES[_nibbles(b[:, 2:])]
+    x = _nibble_values(b[:, 2:], _table(IQ4_VALUES))
+    x *= _half(b, 0)
+    return x
 
 
 def _iq4_xs(b):
     high = (_u(b, 2, "<u2").astype(np.int32) >> (2 * np.arange(8))) & 3
     scale = (_nibble_scales(b[:, 4:8]).astype(np.int32) | (high << 4)) - 32
-    q = IQ4_VALUES[_nibbles(b[:, 8:].reshape(len(b), 8, 16))]
-    return ((_half(b, 0) * scale)[:, :, None] * q).reshape(len(b), 256)
+    q = _nibble_values(b[:, 8:].reshape(len(b), 8, 16), _table(IQ4_VALUES))
+    q *= (_half(b, 0) * scale)[:, :, None]
+    return q.reshape(len(b), 256)
 
 
 def _tq1_0(b):
@@ -229,7 +265,9 @@ def half_power(e: np.ndarray) -> np.ndarray:
 
 
 def _mxfp4(b):
-    return half_power(b[:, :1]) * MXFP4_VALUES[_nibbles(b[:, 1:])]
+    x = _nibble_values(b[:, 1:], _table(MXFP4_VALUES))
+    x *= half_power(b[:, :1])
+    return x
 
 
 DECODERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
@@ -248,7 +286,12 @@ def decode(kind: str, raw: bytes) -> np.ndarray:
         raise ValueError(f"{kind}: {len(raw)} bytes are no multiple of {t.size}")
     if not raw:
         return np.zeros(0, np.float32)
-    return np.asarray(DECODERS[kind](np.frombuffer(raw, np.uint8).reshape(-1, t.size)), np.float32).ravel()
+    b = np.frombuffer(raw, np.uint8).reshape(-1, t.size)
+    out = np.empty((len(b), t.elements), np.float32)
+    step = max(1, STEP // t.elements)
+    for i in range(0, len(b), step):
+        out[i : i + step] = DECODERS[kind](b[i : i + step])
+    return out.ravel()
 
 
 def dequantize(kind: str, packed: Column | str) -> Column:

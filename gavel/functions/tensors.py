@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def doubles(x: Column | str) -> Column:
     return F.transform(_col(x), lambda v: v.cast("double"))
 
@@ -30,8 +36,7 @@ def mean_square(x: Column | str) -> Column:
 
 def rms_norm(x: Column | str, weight: Column | str, eps: float = 1e-5) -> Column:
     """x / sqrt(mean(x^2) + eps) * weight."""
-    scale = F.sqrt(mean_square(x) + F.lit(eps))
-    return F.zip_with(doubles(x), doubles(weight), lambda a, b: a / scale * b)
+    return let(F.sqrt(mean_square(x) + F.lit(eps)), lambda scale: F.zip_with(doubles(x), doubles(weight), lambda a, b: a / scale * b))
 
 
 def scaled(x: Column | str, s: Column | float) -> Column:
@@ -56,11 +61,13 @@ def swiglu(gate: Column | str, up: Column | str) -> Column:
 
 def softmax(x: Column | str) -> Column:
     """Shifted by the maximum; uniform where that is not finite; empty stays empty."""
-    v = doubles(x)
-    top, n = F.array_max(v), F.size(v)
-    e = F.transform(v, lambda a: F.exp(a - top))
-    finite = ~F.isnan(top) & (F.abs(top) < float("inf"))
-    return F.when(n == 0, v).when(finite, F.transform(e, lambda a: a / total(e))).otherwise(F.transform(v, lambda a: F.lit(1.0) / n))
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        finite = lambda top: ~F.isnan(top) & (F.abs(top) < float("inf"))
+        shares = lambda top: let(F.transform(v, lambda a: F.exp(a - top)), lambda e: let(total(e), lambda t: F.transform(e, lambda a: a / t)))
+        return F.when(n == 0, v).otherwise(let(F.array_max(v), lambda top: F.when(finite(top), shares(top)).otherwise(F.transform(v, lambda a: F.lit(1.0) / n))))
+
+    return let(doubles(x), of)
 
 
 def best(x: Column) -> Column:
@@ -106,18 +113,18 @@ def rope_frequencies(dim: int, base: float = 1e6, factor: float = 1.0, context:
 
 def rotate(x: Column | str, position: Column | str, frequencies: list[float], head: int, magnitude: float = 1.0) -> Column:
     """Turn neighbouring pairs of each head; elements beyond the frequencies stay."""
-    v, p = doubles(x), _col(position)
+    p = _col(position)
     f = F.array(*[F.lit(float(a)) for a in frequencies])
     n = 2 * len(frequencies)
 
-    def one(a: Column, j: Column) -> Column:
+    def one(v: Column, a: Column, j: Column) -> Column:
         k = j % head
         angle = p * F.element_at(f, F.least(F.floor(k / 2).cast("int"), F.lit(len(frequencies) - 1)) + 1)
         other = F.element_at(v, (j + F.when(k % 2 == 0, 1).otherwise(-1) + 1).cast("int"))
         turned = F.when(k % 2 == 0, a * F.cos(angle) - other * F.sin(angle)).otherwise(other * F.sin(angle) + a * F.cos(angle))
         return F.when(k < n, turned * magnitude).otherwise(a)
 
-    return F.transform(v, one)
+    return let(doubles(x), lambda v: F.transform(v, lambda a, j: one(v, a, j)))
 
 
 def temperature(position: Column | str, beta: float, interval: int) -> Column:
@@ -127,11 +134,10 @@ def temperature(position: Column | str, beta: float, interval: int) -> Column:
 
 def quantize_block(x: Column | str, even: bool = False) -> Column:
     """A block as scale and codes: d = max|x| / 127; half away from zero, or half to even."""
-    v = doubles(x)
-    d = (F.array_max(F.transform(v, F.abs)) / 127).cast("double")
     near = F.bround if even else F.round
-    code = lambda a: F.when(d == 0, 0).otherwise(F.greatest(F.lit(-127), F.least(F.lit(127), near(a / d).cast("int"))))
-    return F.struct(d.alias("d"), F.transform(v, code).alias("q"))
+    code = lambda a, d: F.when(d == 0, 0).otherwise(F.greatest(F.lit(-127), F.least(F.lit(127), near(a / d).cast("int"))))
+    of = lambda v, d: F.struct(d.alias("d"), F.transform(v, lambda a: code(a, d)).alias("q"))
+    return let(doubles(x), lambda v: let((F.array_max(F.transform(v, F.abs)) / 127).cast("double"), lambda d: of(v, d)))
 
 
 def relative_l2(actual: Column | str, expected: Column | str) -> Column:
