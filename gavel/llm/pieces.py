@@ -22,7 +22,6 @@ a row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from array import array
 from functools import cache
 from itertools import chain
@@ -31,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gavel.llm.common import map_slices
-from gavel.llm.token_counts import LONGEST, MARK, default_model
+from gavel.llm.token_counts import LONGEST, MARK, default_model, pre_tokens
 
 #: Distinct pre-tokens whose segmentations a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, token_ids array<int>, round_trip boolean"
 
 
@@ -68,51 +67,38 @@ class PieceModel:
 
     def viterbi(self, s: str) -> list[int]:
         """The ids of the best segmentation of s, which already holds its marks."""
-        n = len(s)
-        best, back = [0.0] + [None] * n, [None] * (n + 1)
-        done = 0
-        for end, outputs in self._ends(s):
-            for at in range(done + 1, end):  # ends of no piece
-                best[at], back[at] = best[at - 1] + self.below, (1, -1)
-            done = end
-            top, last = best[end - 1] + self.below, (1, -1)
-            for length, score, i in outputs:
-                x = best[end - length] + score
-                if x > top or (x == top and length > last[0]):
-                    top, last = x, (length, i)
-            best[end], back[end] = top, last
-        for at in range(done + 1, n + 1):
-            best[at], back[at] = best[at - 1] + self.below, (1, -1)
+        n, below = len(s), self.below
+        best, length, piece = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+        end = 0
+        for i, (size, score, own) in self.automaton.iter(s):
+            if i >= end:  # the first and longest piece that ends here
+                for at in range(end + 1, i + 2):
+                    best[at] = best[at - 1] + below
+                end = i + 1
+            x = best[end - size] + score
+            if x >= best[end] and (x > best[end] or piece[end] < 0):
+                best[end], length[end], piece[end] = x, size, own
         out: list[int] = []
         at = n
         while at:
-            length, i = back[at]
-            out.extend([i] if i >= 0 else self.fallback(s[at - 1])[::-1])
-            at -= length
-        return out[::-1]
-
-    def _ends(self, s: str):
-        """(end, outputs) for each position where pieces end."""
-        at, held = 0, []
-        for i, out in self.automaton.iter(s):
-            if i + 1 != at:
-                if held:
-                    yield at, held
-                at, held = i + 1, []
-            held.append(out)
-        if held:
-            yield at, held
+            i = piece[at]
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend(self.fallback(s[at - 1])[::-1])
+            at -= length[at]
+        out.reverse()
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        marked = MARK + text.replace(" ", MARK)
         if not self.splits:
-            return self.viterbi(marked)
+            return self.viterbi(MARK + text.replace(" ", MARK))
         known = self.known
         if len(known) > REMEMBERED:
             known = self.known = {}
-        words = re.findall(f"{MARK}+[^{MARK}]*", marked)
+        words = pre_tokens(text)
         try:
             return list(chain.from_iterable(map(known.__getitem__, words)))
         except KeyError:
@@ -121,7 +107,7 @@ class PieceModel:
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = tuple(self.viterbi(w))
+                ids = tuple(self.viterbi(MARK + w))
                 if len(w) <= LONGEST:
                     known[w] = ids
             out.extend(ids)

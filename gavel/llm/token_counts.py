@@ -37,6 +37,13 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def pre_tokens(text: str) -> list[str]:
+    """The pre-tokens of a text that isn't empty, without their first mark."""
+    if MARK not in text and "  " not in text and text[0] != " ":
+        return text.split(" ")
+    return [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
+
+
 class PieceCounter:
     """Counts the tokens of texts as the library does."""
 
@@ -60,16 +67,10 @@ class PieceCounter:
         ids = self.sp.encode(s, num_threads=1)
         return ids if not raw else [self.sp.piece_to_id(s)] if self.sp.piece_to_id(s) != self.sp.unk_id() else ids
 
-    def pre_tokens(self, text: str) -> list[str]:
-        """The pre-tokens without their first mark."""
-        if MARK not in text and "  " not in text and text[0] != " ":
-            return text.split(" ")
-        return [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
-
     def count(self, texts: list[str]) -> list[int]:
         if not self.splits:
             return [len(x) for x in self.sp.encode(texts, num_threads=1)]
-        cut = [self.pre_tokens(t) if t else [] for t in texts]
+        cut = [pre_tokens(t) if t else [] for t in texts]
         known = self.known
         rest = list({w for words in cut for w in words if w not in known})
         lengths = dict(zip(rest, map(len, self.sp.encode(rest, num_threads=1)), strict=True)) if rest else {}
