@@ -20,7 +20,8 @@ def _step(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
     else:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return out.filter("a != b").distinct()
+    out = out.filter("a != b")
+    return out.distinct() if small else out  # a small star follows each large one
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@
    only those are dealt to buckets by shingle, and buckets of one row go.
    Passages that many documents have come last in the order, so they are dealt
    only for documents that hold little else.
-3. The members of a bucket are first compared with one of them, and the links
-   found are united. A bucket whose members are in one component is done.
+   Of buckets with the same members one stays.
+3. The members of a bucket are first compared with one of them only, another one in each
+   of TURNS turns, and the links found are united. A bucket whose members are in one
+   component is done.
 4. In each other bucket the members' count vectors (how many of a set's
    shingles fall into each of GROUPS groups) are points of an R-tree, packed by
    component and size. The tree is joined with itself from the root: two nodes go on only if
@@ -44,6 +46,10 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 FANOUT = 8
 #: Rows of one block of a large bucket, and node pairs held at once.
 BLOCK_ROWS, AT_ONCE = 2_048, 20_000
+#: Candidate pairs of one key that wait to be united.
+PAIRS_WAIT = 1_000_000
+#: Turns in which the members of a bucket are compared with one of them only.
+TURNS = 3
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -179,7 +185,9 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     side = lambda end, *cols: known.select(F.col("doc").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in cols])
     near = pairs.join(side("a", "n", "vec", "shift"), "a").join(side("b", "n", "vec", "shift"), "b").select("a", "b", "n_a", "vec_a", "shift_a", "n_b", "vec_b", "shift_b")
     near = stored(near.mapInArrow(bounded, "a long, b long"))
-    return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(linked, "a long, b long")
+    # sets are long: only those of the pairs' ends are sent
+    sets = lambda end: side(end, "shingles").join(small_or_not(near.select(end).distinct()), end, "left_semi")
+    return near.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(linked, "a long, b long")
 
 
 def tree_join(vec: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -223,58 +231,94 @@ def tree_join(vec: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of the buckets in rows (token, bi, bj, block, doc, n, comp, vec, shift), a bucket's two blocks at a time."""
+def bucket_pairs(buckets: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the buckets (token, doc, comp, size, low, low_n).
+
+    Buckets with the same lowest member are dealt together, so that a member's point is sent once for
+    all of them and a pair that several of them hold comes out once. Large buckets are
+    dealt on their own, in pairs of blocks.
+    """
+    large = F.col("size") > BLOCK_ROWS
+    rows = buckets.withColumns({
+        "own": large, "k": F.when(large, F.col("token")).otherwise(F.col("low")),
+        # a long lowest member has many buckets: they are spread
+        "part": F.when(large, F.lit(0)).otherwise(F.pmod(F.xxhash64("token"), F.ceil(F.col("low_n") / 4096))).cast("int"),
+        "blocks": F.when(large, F.ceil(F.col("size") / BLOCK_ROWS)).otherwise(1).cast("int"),
+    })
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # a row meets its own block and every other one
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+    key = ["own", "k", "part", "bi", "bj"]
+    cells = rows.select(*key, "token", "doc", F.lit(None).cast("int").alias("block"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("binary").alias("vec"), F.lit(None).cast("int").alias("shift"))
+    places = rows.select(*key, "doc", "block", "comp").distinct().join(known.select("doc", "n", "vec", "shift"), "doc")
+    both = cells.unionByName(places.select(*key, F.lit(None).cast("long").alias("token"), "doc", "block", "n", "comp", "vec", "shift"))
+
+    def work(t: pa.Table, split: bool) -> pa.RecordBatch | None:
+        """One key's rows: first its members' points, then its buckets in order."""
+        m = t.num_rows - t.column("token").null_count
+        points, cells = t.slice(0, t.num_rows - m), t.slice(t.num_rows - m)
+        doc = points.column("doc").to_numpy()
+        order = np.argsort(doc, kind="stable")
+        doc = doc[order]
+        vec = _vectors(points.column("vec").combine_chunks(), points.column("shift").to_numpy())[order]
+        n, comp, block = (points.column(c).to_numpy().astype(np.int64)[order] for c in ("n", "comp", "block"))
+        token, at = cells.column("token").to_numpy(), np.searchsorted(doc, cells.column("doc").to_numpy())
+        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        # pairs as one number each, united now and then: the buckets of a key hold many pairs again
+        found, waiting = [], 0
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i = at[s:e]
+            if waiting > PAIRS_WAIT:
+                found, waiting = [np.unique(np.concatenate(found))], 0
+            if e - s == 2:  # most buckets
+                x, y = i
+                if comp[x] == comp[y] or 100 * min(n[x], n[y]) < 75 * max(n[x], n[y]) or 7 * np.minimum(vec[x], vec[y]).sum() < 3 * (n[x] + n[y]):
+                    continue
+                found.append(np.array([min(x, y) * len(doc) + max(x, y)]))
+                continue
+            a, b = tree_join(vec[i], n[i], comp[i], block[i] if split else None)
+            if len(a):
+                found.append(np.minimum(i[a], i[b]) * len(doc) + np.maximum(i[a], i[b]))
+                waiting += len(a)
+        if not found:
+            return None
+        pairs = np.unique(np.concatenate(found))
+        return pa.RecordBatch.from_arrays([pa.array(doc[pairs // len(doc)]), pa.array(doc[pairs % len(doc)])], names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
-        def groups(t: pa.Table):
-            key = np.stack([t.column(c).to_numpy() for c in ("token", "bi", "bj")], 1)
-            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]])) if len(key) else np.zeros(1, np.int64)
-            return cut
-
-        def work(t: pa.Table, upto: int, cut: np.ndarray) -> pa.RecordBatch | None:
-            t = t.slice(0, upto)
-            vec = _vectors(t.column("vec").combine_chunks(), t.column("shift").to_numpy())
-            n, comp, doc, block = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "doc", "block"))
-            bi, bj = t.column("bi").to_numpy(), t.column("bj").to_numpy()
-            found = []
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if e > upto:
-                    break
-                if e - s == 2:  # most buckets
-                    if comp[s] != comp[s + 1] and 100 * min(n[s], n[s + 1]) >= 75 * max(n[s], n[s + 1]) and 7 * np.minimum(vec[s], vec[s + 1]).sum() >= 3 * (n[s] + n[s + 1]):
-                        found.append(([doc[s]], [doc[s + 1]]))
-                    continue
-                a, b = tree_join(vec[s:e], n[s:e], comp[s:e], block[s:e] if bi[s] != bj[s] else None)
-                if len(a):
-                    found.append((doc[s:e][a], doc[s:e][b]))
-            if not found:
-                return None
-            a, b = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        def ends(t: pa.Table) -> np.ndarray:
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("own", "k", "part", "bi", "bj")], 1)
+            return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
 
-        for b in batches:
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            cut = groups(t)
-            upto = int(cut[-2]) if len(cut) > 2 else 0  # the last group may go on
-            if upto:
-                out = work(t, upto, cut)
+        def finish(t: pa.Table, cut: np.ndarray):
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                out = work(t.slice(s, e - s), t.column("bi")[s].as_py() != t.column("bj")[s].as_py())
                 if out is not None:
                     yield out
-                held = t.slice(upto).combine_chunks().to_batches()
-        if held:
+
+        for b in batches:
+            held.append(b)
             t = pa.Table.from_batches(held)
-            if t.num_rows:
-                out = work(t, t.num_rows, groups(t))
-                if out is not None:
-                    yield out
+            cut = ends(t)
+            if len(cut) > 2:  # the last key may go on
+                yield from finish(t, cut[:-1])
+                held = t.slice(int(cut[-2])).combine_chunks().to_batches()
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield from finish(t, ends(t))
+
+    dealt = both.repartition(*key).sortWithinPartitions(*key, F.col("token").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    dealt = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-    return dealt.select("token", "bi", "bj", "block", "doc", "n", "comp", "vec", "shift").mapInArrow(run, "a long, b long").distinct()
+
+def centre_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each bucket's members beside one of them, another one each turn; pairs of one component or of unlike sizes go."""
+    bucket = Window.partitionBy("token")
+    centre = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("o"), "doc", "n", "comp")).over(bucket)
+    rows = rows.select("doc", "n", "comp", centre.alias("c"))
+    close = (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * 75) & (F.col("comp") != F.col("c.comp"))
+    return rows.filter(close).select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
 
 
 def similar_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -289,24 +333,24 @@ def similar_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     unique = docs.filter(F.col("doc_id").isNotNull()).join(small_or_not(stored(idle)), "doc_id", "left_anti").select("doc_id", "text")
 
     bucket = Window.partitionBy("token")
-    dealt = signatures(unique, order, size).withColumns({"size": F.count("*").over(bucket), "low": F.min(F.struct("doc", "n")).over(bucket)})
-    dealt = stored(dealt.filter("size > 1").select("token", "doc", "n", "size", F.col("low.doc").alias("low"), F.col("low.n").alias("low_n")))
+    xor = lambda k: F.bit_xor(F.xxhash64("doc", F.lit(k))).over(bucket)
+    dealt = signatures(unique, order, size).withColumns({"size": F.count("*").over(bucket), "low": F.min(F.struct("doc", "n")).over(bucket), "x1": xor(1), "x2": xor(2)})
+    # of buckets with the same members one is enough
+    dealt = dealt.filter("size > 1").groupBy("doc", "n", "x1", "x2", "size").agg(F.min("token").alias("token"), F.min("low").alias("low"))
+    dealt = stored(dealt.select("token", "doc", "n", "size", F.col("low.doc").alias("low"), F.col("low.n").alias("low_n")))
     active = stored(dealt.select(F.col("doc").alias("doc_id")).distinct())
     known = stored(points(unique.join(small_or_not(active), "doc_id", "left_semi"), size))
 
-    close = (F.least("n", "low_n") * 100 >= F.greatest("n", "low_n") * 75) & (F.col("doc") != F.col("low"))
-    first = stored(verified(dealt.filter(close).select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct(), known))
-    united = components(first)
-
-    named = dealt.join(united, dealt["doc"] == united["id"], "left").select("token", "doc", "n", "size", F.coalesce("component", "doc").alias("comp"))
-    open_tokens = stored(named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("token"))
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    rest = named.join(open_tokens, "token", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # a row meets its own block and every other one
-    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    rest = rest.join(known.select("doc", "vec", "shift"), "doc")
-    second = verified(bucket_pairs(rest), known)
-    links = stored(first.unionByName(second))
+    links, rows = None, dealt.withColumn("comp", F.col("doc"))
+    for turn in range(TURNS):
+        more = stored(verified(centre_pairs(rows, turn), known))
+        links = more if links is None else links.unionByName(more)
+        united = components(links)
+        named = dealt.join(united, dealt["doc"] == united["id"], "left").select(*dealt.columns, F.coalesce("component", "doc").alias("comp"))
+        # buckets of one component are done
+        rows = named.withColumns({"c0": F.min("comp").over(bucket), "c1": F.max("comp").over(bucket)}).filter("c0 != c1").drop("c0", "c1")
+        rows = stored(rows)
+    links = stored(links.unionByName(verified(bucket_pairs(rows, known), known)))
     final = components(links)
 
     named = members.join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("doc")).alias("doc"))
