@@ -49,7 +49,7 @@ BLOCK_ROWS, AT_ONCE = 2_048, 20_000
 #: Candidate pairs of one key that wait to be united.
 PAIRS_WAIT = 1_000_000
 #: Turns in which the members of a bucket are compared with one of them only.
-TURNS = 3
+TURNS = 1
 
 
 def _signed(x: np.ndarray) -> pa.Array:
