@@ -1,7 +1,7 @@
 """Operator 8: benchmark decontamination by winnowing, DataFrame expressions only.
 
-A window is 13 consecutive words. Words are hashed, hashes of 8 consecutive
-words are k-grams, and the minimum k-gram hash of the 6 k-grams inside a window
+A window is 13 consecutive words. Words are hashed, hashes of 12 consecutive
+words are k-grams, and the minimum k-gram hash of the k-grams inside a window
 is its fingerprint, so equal windows always have equal fingerprints. Documents
 and benchmark are joined on fingerprints; a hit is extended to its whole window
 by a hash of all 13 words that is built in another way, and windows that touch
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm.common import small_or_not, stored
 
-WINDOW = 13
+WINDOW, GRAM = 13, 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of what is neither an ASCII control, mark nor space; A-Z are words' characters too, lowered later.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,9 +51,8 @@ def _windows(hashed: DataFrame, keys: list[str]) -> DataFrame:
     df = df.select(*keys, "h", _shifted("h", "h", 1, both).alias("g2"))
     df = df.select(*keys, "h", _shifted("g2", "g2", 2, both).alias("g4"))
     df = df.select(*keys, "h", "g4", _shifted("g4", "g4", 4, both).alias("g8"))
-    df = df.select(*keys, "h", "g8", _shifted("g8", "g4", 8, both).alias("g12"), _shifted("g8", "g8", 1, low).alias("m2"))
-    df = df.select(*keys, _shifted("g12", "h", 12, both).alias("win"), _shifted("m2", "m2", 2, low).alias("m4"), "m2")
-    df = df.select(*keys, "win", _shifted("m4", "m2", 4, low).alias("fp"))
+    df = df.select(*keys, "h", _shifted("g8", "g4", GRAM - 4, both).alias("g"))
+    df = df.select(*keys, _shifted("g", "h", GRAM, both).alias("win"), _shifted("g", "g", 1, low).alias("fp"))
     return df.select(*keys, F.posexplode(F.arrays_zip("fp", "win")).alias("start", "x")).select(*keys, "start", F.col("x.fp").alias("fp"), F.col("x.win").alias("win"))
 
 
