@@ -26,6 +26,8 @@ counts and the sketch, which has a fixed size.
 Defined results: null and empty texts, and texts without words, have 0 shingles
 and link with nothing; equal texts link; rows with the same doc_id are one
 document; a row without doc_id has no component; other columns are ignored.
+Where ids repeat, each differing text of an id is a row with a number of its own
+until the links are found, so that buckets and points hold every row once.
 """
 
 from __future__ import annotations
@@ -321,9 +323,8 @@ def centre_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return rows.filter(close).select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest id that links of similarity 3/4 or more reach)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _components_of(docs: DataFrame, size: int) -> DataFrame:
+    """similar_components of rows (doc_id, text) whose ids differ; some may be null."""
     both = stored(members_and_sketch(docs, size))
     members = both.filter(F.col("part").isNull()).select("doc_id", "n", "k1", "k2")
     order = sketch_of(both.filter(F.col("part").isNotNull()))
@@ -355,16 +356,30 @@ def similar_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     named = members.join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("doc")).alias("doc"))
     named = named.join(final, named["doc"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("own"))
-    # rows of one id are one document
-    per_id = named.groupBy("doc_id").agg(F.min("own").alias("least"), F.max("own").alias("most"))
-    torn = stored(per_id.filter("least != most and doc_id is not null"))
-    if torn.limit(1).count():
-        more = named.join(torn.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("own").alias("b"))
-        again = components(links.unionByName(more).unionByName(members.filter("n > 0").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).filter("a != b")))
-        named = named.join(again, named["own"] == again["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "own").alias("own"))
     return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("own")).alias("component_id"))
 
 
+def similar_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest id that links of similarity 3/4 or more reach)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = stored(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not again.limit(1).count():
+        return _components_of(docs, size)
+    ids = small_or_not(again)
+    rows = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    rows = rows.unionByName(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("copies")))
+    rows = stored(rows.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    found = stored(_components_of(rows.select(F.col("row").alias("doc_id"), "text"), size))
+    named = stored(rows.select("row", "doc_id", "copies").join(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("own")), "row").drop("row"))
+    # rows of one id are one document
+    ties = named.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("own").alias("a"), F.collect_set("own").alias("b")).select("a", F.explode("b").alias("b"))
+    united = components(ties)
+    named = stored(named.join(united, named["own"] == united["id"], "left").select("doc_id", "n_shingles", "copies", F.coalesce("component", "own").alias("own")))
+    out = named.join(named.groupBy("own").agg(F.min("doc_id").alias("component_id")), "own")
+    out = out.select("doc_id", "n_shingles", "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    return out.unionByName(found.filter(F.col("doc_id").isNull()))
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') sh FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) i FROM w WHERE len(w) > 0)),

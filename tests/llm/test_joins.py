@@ -121,6 +121,43 @@ def test_similar_components_odd_ids(spark):
     assert similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def _components_by_id(df):
+    rows = [(r["doc_id"], r["component_id"]) for r in similar_components(df).collect()]
+    assert len(set(rows)) == len({d for d, _ in rows})  # one component for each id
+    return dict(rows), len(rows)
+
+
+def _text(k, *changed, words=80):
+    return " ".join(f"new{k}x{i}x{changed[0]}" if i in changed else f"w{k}x{i}" for i in range(words))
+
+
+def _only_pairs(groups):
+    """Ids 3g, 3g + 1, 3g + 2: the rarest shingles of the first are shared with one of the others each."""
+    return [row for g in range(groups) for row in ((3 * g, _text(g)), (3 * g + 1, _text(g, 10, 20)), (3 * g + 2, _text(g, 50, 60)))]
+
+
+def test_similar_components_of_doubled_rows(spark):
+    rows = _only_pairs(6) + [(100, None), (101, "a b"), (None, _text(0))]
+    got, n = _components_by_id(spark.createDataFrame(rows * 2, "doc_id long, text string"))
+    assert got.pop(None) is None and n == 2 * len(rows)
+    assert got == _classes(rows[:-1]) and got[4] == got[5] == 3
+
+
+def test_similar_components_of_one_id_with_two_texts(spark):
+    common = _text("y", words=104)
+    # near texts under one id
+    rows = [(d, t + more) for d, t in _only_pairs(3) for more in ("", f" end{d}")]
+    # unlike ones, the second near to another id's, beside a longer document that has all of its shingles
+    for g in range(30):
+        d = 1000 + 3 * g
+        rows += [(d, _text(f"a{g}")), (d, _text(f"z{g}")), (d + 1, _text(f"z{g}", 40)), (d + 2, _text(f"z{g}") + " " + common)]
+    # texts of an id link those of others; a text without words goes with its id
+    rows += [(50, _text("p")), (50, _text("q")), (50, None), (40, _text("q", 3)), (60, _text("p", 70)), (70, _text("q")), (8, None), (8, "")]
+    got, n = _components_by_id(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = _classes(rows)
+    assert got == want and n == len(rows) and want[60] == want[70] == 40 and want[1001] == 1000
+
+
 def test_shingles_of_short_texts():
     a, b, c, d = shingle_sets(["a b", "A  B", "a b c", None])
     assert (a == b).all() and len(a) == 1 and a[0] != c[0] and len(d) == 0
