@@ -90,6 +90,22 @@ def has_control_marker(spark, sf_dir):
     return _marked(spark, sf_dir).select("doc_id", T.has_marker("t").alias("has_marker"))
 
 
+def _marked_whole(spark, sf_dir):
+    """Whole texts; the tables have no markers, so the middle and the end of every seventh get some."""
+    half = "CAST(floor(char_length(text) / 2) AS INT)"
+    t = f"CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, {half}) || '[/INST] [INST]x[/SYSTEM_PROMPT]' || substr(text, {half} + 1) || '</s>' ELSE text END"
+    return _table(spark, sf_dir, "documents").select("doc_id", F.expr(t).alias("t"))
+
+
+def control_marker_split_whole(spark, sf_dir):
+    parts = _marked_whole(spark, sf_dir).select("doc_id", F.posexplode(T.split_markers("t")).alias("pos", "part"))
+    return parts.select("doc_id", F.col("pos").cast("long").alias("pos"), "part", F.col("part").isin(*T.MARKERS).alias("is_marker"))
+
+
+def has_control_marker_whole(spark, sf_dir):
+    return _marked_whole(spark, sf_dir).select("doc_id", T.has_marker("t").alias("has_marker"))
+
+
 def pretokenize_pieces(spark, sf_dir):
     p = T.pre_tokens("text")
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("n_pieces"), F.md5(F.array_join(p, "\x1f").cast("binary")).alias("digest"))
@@ -193,6 +209,29 @@ def fingerprint(spark, sf_dir):
     return _codes(spark, sf_dir).select("doc_id", F.sha2(made.cast("binary"), 256).alias("fingerprint"))
 
 
+def _tokens_whole(spark, sf_dir):
+    return encode_table(_table(spark, sf_dir, "documents"), "doc_id", "text", tiny_vocabulary(), special=False)
+
+
+def prefix_match_whole(spark, sf_dir):
+    """How many tokens of whole documents are those that document 0 begins with, and whether the first two are."""
+    first = _table(spark, sf_dir, "documents").filter("doc_id = 0").limit(1)
+    prefix = encode_table(first, "doc_id", "text", tiny_vocabulary(), special=False).select(F.col("tokens").alias("prefix"))
+    both = _tokens_whole(spark, sf_dir).crossJoin(F.broadcast(prefix))
+    differs = F.array_position(F.zip_with("tokens", "prefix", lambda a, b: a.eqNullSafe(b)), False)
+    shared = F.when(differs > 0, differs - 1).otherwise(F.size("tokens").cast("long"))
+    return both.select("doc_id", F.when(F.col("tokens").isNotNull(), shared).alias("shared")).select("doc_id", "shared", (F.col("shared") >= 2).alias("fits"))
+
+
+def prefilled_tokens_whole(spark, sf_dir):
+    return prefix_match_whole(spark, sf_dir).select("doc_id", F.when(F.col("fits"), 2).otherwise(0).alias("prefilled"))
+
+
+def fingerprint_whole(spark, sf_dir):
+    made = F.concat_ws("|", F.lit("tiny.gguf"), F.lit("1024"), F.lit("mistral3"), F.lit("2x64x32"), F.array_join("tokens", ","))
+    return _tokens_whole(spark, sf_dir).select("doc_id", F.sha2(made.cast("binary"), 256).alias("fingerprint"))
+
+
 def _geometry(spark):
     return _rows(spark, [(k, *v) for k, v in TYPES.items()], "type string, code int, elements int, bytes int")
 
@@ -307,7 +346,7 @@ _CODES = "list_transform(string_split(substr(text, 1, 12), ''), lambda c: unicod
 _ODD = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'tool' ELSE role END role, CASE WHEN conv_id % 7 = 0 AND role = 'assistant' THEN '' ELSE text END text FROM conversations"
 _DIGITS = "(strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1"
 _SPLIT = f"list_filter(string_split(regexp_replace(t, '({T.marker_pattern().replace(chr(39), chr(39) * 2)})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '')"
-QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, vocab_lookup, encode_with_bos, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
+QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, control_marker_split_whole, has_control_marker_whole, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, vocab_lookup, encode_with_bos, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
 ORACLE_SQL = {
     "format_user_message": f"SELECT doc_id, md5({_DEFAULT}) digest, length({_DEFAULT}) n_chars FROM documents",
     "render_prompt": f"SELECT doc_id, md5({_OPEN} || {_DEFAULT} || '[/INST]') digest, length({_OPEN} || {_DEFAULT} || '[/INST]') n_chars FROM documents",
