@@ -195,6 +195,37 @@ def gather_rows(spark, sf_dir):
     return tokens.join(v.select("vec_id", "x"), "vec_id").select("pos", F.col("vec_id").alias("token"), V.rounded(V.total(F.col("x"))).alias("row_sum"))
 
 
+def parity_report_full(spark, sf_dir):
+    """All vectors are expected; those of labelled documents have an actual one."""
+    a = _v(spark, sf_dir).select("vec_id", "x")
+    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("vec_id"))
+    actual = a.join(labelled, "vec_id", "left_semi").select("vec_id", F.transform("x", lambda t: t * 1.01).alias("a"))
+    return a.join(actual, "vec_id", "left").select("vec_id", V.rounded(V.relative_l2("a", "x")).alias("relative_l2"))
+
+
+def matmul_full(spark, sf_dir):
+    """All vectors by the first sixteen rows of a weight."""
+    v = _v(spark, sf_dir)
+    y = v.crossJoin(F.broadcast(_head(v, 16))).select(F.col("vec_id").alias("token"), F.posexplode(F.transform("head", lambda w: V.dot("x", w))).alias("row_id", "y"))
+    return y.select("token", "row_id", V.rounded(F.col("y")).alias("y"))
+
+
+def matmul_rows_full(spark, sf_dir):
+    """All vectors by the rows asked for, in that order, repeated ones too."""
+    v = _v(spark, sf_dir)
+    ids = spark.createDataFrame(list(enumerate(ROW_IDS)), "pos int, row_id long")
+    w = ids.join(v.select(F.col("vec_id").alias("row_id"), F.col("x").alias("w")), "row_id")
+    return v.crossJoin(F.broadcast(w)).select(F.col("vec_id").alias("token"), "pos", V.rounded(V.dot("x", "w")).alias("y"))
+
+
+def gather_rows_full(spark, sf_dir):
+    """Embedding rows of token ids that range over the whole table."""
+    v = _v(spark, sf_dir)
+    last = v.agg(F.max("vec_id").alias("last"))
+    tokens = v.select(F.col("vec_id").alias("pos")).crossJoin(F.broadcast(last)).select("pos", F.pmod(F.col("pos") * 7, F.col("last") + 1).alias("vec_id"))
+    return tokens.join(v.select("vec_id", "x"), "vec_id").select("pos", F.col("vec_id").alias("token"), V.rounded(V.total(F.col("x"))).alias("row_sum"))
+
+
 def id_range_check(spark, sf_dir):
     """Which ids are not rows of the table."""
     v = _v(spark, sf_dir)
@@ -285,7 +316,7 @@ _ROPE = f"SELECT i::INTEGER pair, round(pow({BASE}, -2.0 * i / {DIM}), 8) freque
 _CORR = lambda b: f"{DIM} * ln({CONTEXT} / ({b} * 2 * pi())) / (2 * ln({BASE}))"
 _LOW, _HIGH = f"greatest(0, floor({_CORR('32.0')}))", f"least({DIM} / 2.0 - 1, ceil({_CORR('1.0')}))"
 _TURN = "CASE WHEN j % 32 >= 24 THEN x[j + 1] WHEN j % 2 = 0 THEN x[j + 1] * cos(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) - x[j + 2] * sin(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) ELSE x[j] * sin(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) + x[j + 1] * cos(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) END"
-QUERIES = {f.__name__: f for f in (verdict_from_hidden, verdict_threshold_sweep, verdict_by_label, verdict_vs_label, verdict_logits_full, top_verdict_token, top20_logits, top20_overlap, verdict_string, verdict_json, dot, dot4, checksum, rms_norm, softmax, softmax_masked, swiglu, sigmoid, add_scaled, argmax, relative_l2, worst_relative_error, parity_report, matmul, matmul_rows, gather_rows, id_range_check, rope_freqs, yarn_freqs, yarn_magnitude, rope_rotate, attn_temperature, causal_attention, gqa_attention, last_position)}
+QUERIES = {f.__name__: f for f in (verdict_from_hidden, verdict_threshold_sweep, verdict_by_label, verdict_vs_label, verdict_logits_full, top_verdict_token, top20_logits, top20_overlap, verdict_string, verdict_json, dot, dot4, checksum, rms_norm, softmax, softmax_masked, swiglu, sigmoid, add_scaled, argmax, relative_l2, worst_relative_error, parity_report, matmul, matmul_rows, gather_rows, parity_report_full, matmul_full, matmul_rows_full, gather_rows_full, id_range_check, rope_freqs, yarn_freqs, yarn_magnitude, rope_rotate, attn_temperature, causal_attention, gqa_attention, last_position)}
 ORACLE_SQL = {
     "verdict_from_hidden": f"SELECT vec_id, round(s, 4) + 0.0 score, round(y, 4) + 0.0 yes_logit, round(n, 4) + 0.0 no_logit, round(s, 4) > 0.5 is_unsafe FROM ({_SCORED})",
     "verdict_threshold_sweep": f"SELECT round(t, 1) threshold, count(*) n, sum((round(s, 4) > t)::INTEGER)::BIGINT unsafe FROM ({_SCORED}), (SELECT unnest([{', '.join(map(repr, THRESHOLDS))}]::DOUBLE[]) t) GROUP BY 1",

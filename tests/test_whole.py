@@ -40,3 +40,22 @@ def test_prefixes_and_fingerprints_of_whole_documents(spark, sf_dir):
     assert {r["doc_id"]: r["prefilled"] for r in QUERIES["prefilled_tokens_whole"](spark, sf_dir).collect()} == {d: 2 * (n >= 2) for d, n in shared.items()}
     made = {d: hashlib.sha256(("tiny.gguf|1024|mistral3|2x64x32|" + ",".join(map(str, t))).encode()).hexdigest() for d, t in tokens.items()}
     assert {r["doc_id"]: r["fingerprint"] for r in QUERIES["fingerprint_whole"](spark, sf_dir).collect()} == made
+
+
+def test_products_of_all_vectors(spark, sf_dir):
+    e = pd.read_parquet(f"{sf_dir}/embeddings.parquet")
+    x = dict(zip(e.vec_id.tolist(), np.stack(e.embedding).astype(np.float64), strict=True))
+    close = lambda got, want: set(got) == set(want) and all(abs(got[k] - want[k]) < 1.01e-4 for k in want)
+    got = {(r["token"], r["row_id"]): r["y"] for r in QUERIES["matmul_full"](spark, sf_dir).collect()}
+    assert close(got, {(i, k): x[i] @ x[k] for i in x for k in range(16)})
+    got = {(r["token"], r["pos"]): r["y"] for r in QUERIES["matmul_rows_full"](spark, sf_dir).collect()}
+    assert close(got, {(i, k): x[i] @ x[w] for i in x for k, w in enumerate([5, 3, 5, 12])})
+    got = {(r["pos"], r["token"]): r["row_sum"] for r in QUERIES["gather_rows_full"](spark, sf_dir).collect()}
+    n = max(x) + 1
+    assert close(got, {(i, i * 7 % n): x[i * 7 % n].sum() for i in x}) and max(k for _, k in got) == max(x)
+
+
+def test_parity_of_all_vectors(spark, sf_dir):
+    ids, labelled = set(pd.read_parquet(f"{sf_dir}/embeddings.parquet").vec_id), set(pd.read_parquet(f"{sf_dir}/labels.parquet").doc_id)
+    got = {r["vec_id"]: r["relative_l2"] for r in QUERIES["parity_report_full"](spark, sf_dir).collect()}
+    assert got == {i: 0.01 if i in labelled else None for i in ids} and ids - labelled and ids & labelled
