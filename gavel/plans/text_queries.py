@@ -139,6 +139,14 @@ def byte_decode(spark, sf_dir):
     return shown.select("item_id", byte_decoded("shown").alias("text"))
 
 
+def byte_encode_whole(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", byte_encoded("text").alias("shown"))
+
+
+def byte_decode_whole(spark, sf_dir):
+    return byte_encode_whole(spark, sf_dir).select("doc_id", byte_decoded("shown").alias("text"))
+
+
 #: Pieces of the made-up vocabulary: so many of the commonest.
 VOCABULARY = 500
 
@@ -155,8 +163,8 @@ def vocab_lookup(spark, sf_dir):
 def encode_with_bos(spark, sf_dir):
     """Token ids by the tiny vocabulary: each distinct piece is merged once."""
     v = tiny_vocabulary()
-    out = encode_table(_table(spark, sf_dir, "benchmark"), "item_id", "text", v)
-    return out.select("item_id", F.size("tokens").cast("long").alias("n_tokens"), F.col("tokens")[0].alias("first"), F.md5(F.array_join("tokens", ",").cast("binary")).alias("digest"))
+    out = encode_table(_table(spark, sf_dir, "documents"), "doc_id", "text", v)
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.col("tokens")[0].alias("first"), F.md5(F.array_join("tokens", ",").cast("binary")).alias("digest"))
 
 
 PIECES = [" Yes", "yes.", '"No"', "no'", " YES ", "nope", ". no", "\tNo\n", "yes", "''yes''", "no .", "", "No.", "¡No!", " nO."]
@@ -346,7 +354,7 @@ _CODES = "list_transform(string_split(substr(text, 1, 12), ''), lambda c: unicod
 _ODD = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'tool' ELSE role END role, CASE WHEN conv_id % 7 = 0 AND role = 'assistant' THEN '' ELSE text END text FROM conversations"
 _DIGITS = "(strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1"
 _SPLIT = f"list_filter(string_split(regexp_replace(t, '({T.marker_pattern().replace(chr(39), chr(39) * 2)})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '')"
-QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, control_marker_split_whole, has_control_marker_whole, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, vocab_lookup, encode_with_bos, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
+QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, control_marker_split_whole, has_control_marker_whole, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, byte_encode_whole, byte_decode_whole, vocab_lookup, encode_with_bos, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
 ORACLE_SQL = {
     "format_user_message": f"SELECT doc_id, md5({_DEFAULT}) digest, length({_DEFAULT}) n_chars FROM documents",
     "render_prompt": f"SELECT doc_id, md5({_OPEN} || {_DEFAULT} || '[/INST]') digest, length({_OPEN} || {_DEFAULT} || '[/INST]') n_chars FROM documents",

@@ -6,9 +6,13 @@ import re
 import numpy as np
 import pandas as pd
 
-from gavel.functions.bpe import tiny_vocabulary
+from gavel import cli
+from gavel.functions.bpe import tiny_vocabulary, to_alphabet
 from gavel.functions.text import marker_pattern
+from gavel.operators.model import Moderator
+from gavel.plans.model_queries import model_path
 from gavel.plans.registry import QUERIES
+from gavel.plans.text_queries import POLICIES
 
 
 def _texts(sf_dir):
@@ -59,3 +63,52 @@ def test_parity_of_all_vectors(spark, sf_dir):
     ids, labelled = set(pd.read_parquet(f"{sf_dir}/embeddings.parquet").vec_id), set(pd.read_parquet(f"{sf_dir}/labels.parquet").doc_id)
     got = {r["vec_id"]: r["relative_l2"] for r in QUERIES["parity_report_full"](spark, sf_dir).collect()}
     assert got == {i: 0.01 if i in labelled else None for i in ids} and ids - labelled and ids & labelled
+
+
+def test_encoded_whole_documents(spark, sf_dir):
+    texts, v = _texts(sf_dir), tiny_vocabulary()
+    assert {r["doc_id"]: r["shown"] for r in QUERIES["byte_encode_whole"](spark, sf_dir).collect()} == {d: to_alphabet(t) for d, t in texts.items()}
+    assert {r["doc_id"]: r["text"] for r in QUERIES["byte_decode_whole"](spark, sf_dir).collect()} == texts
+    got = {r["doc_id"]: (r["n_tokens"], r["digest"]) for r in QUERIES["encode_with_bos"](spark, sf_dir).collect()}
+    assert got == {d: (len(x), hashlib.md5(",".join(map(str, x)).encode()).hexdigest()) for d, x in ((d, v.encode(t)) for d, t in texts.items())}
+
+
+def test_verdict_ids_of_the_vocabulary(spark, sf_dir, tiny_model):
+    m = Moderator(tiny_model).model
+    got = {(r["verdict"], r["id"]) for r in QUERIES["verdict_vocabulary_ids"](spark, sf_dir).collect()}
+    assert got == {("yes", i) for i in m.yes} | {("no", i) for i in m.no}
+
+
+def _short(tmp_path, sf_dir):
+    """A folder with some documents of the table, one null and one of some thousand characters."""
+    d = pd.read_parquet(f"{sf_dir}/documents.parquet")[["doc_id", "text"]]
+    d = pd.concat([d[d.text.str.len() < 300].head(4), d[d.text.str.len().between(2000, 4000)].head(1), pd.DataFrame({"doc_id": [10**6], "text": [None]})])
+    d.to_parquet(tmp_path / "documents.parquet")
+    return str(tmp_path), dict(zip(d.doc_id.tolist(), d.text.tolist(), strict=True))
+
+
+def test_moderated_documents_by_policies(spark, sf_dir, tmp_path, monkeypatch):
+    where, texts = _short(tmp_path, sf_dir)
+    got = {(r["doc_id"], r["policy_id"]): r for r in QUERIES["calibration_logits"](spark, where).collect()}
+    scored = {(r["doc_id"], r["policy_id"]): r for r in QUERIES["moderate_prefix_cached"](spark, where).collect()}
+    assert set(got) == set(scored) == {(d, p) for d in texts for p, _, _ in POLICIES}
+    plain = Moderator(model_path(), use_prefix=False)
+    monkeypatch.setattr("gavel.operators.model.SCORES_HELD", 1 << 40)  # in one part
+    for (d, p), r in got.items():
+        if texts[d] is None:
+            assert r["logits"] is None and scored[d, p]["score"] is None
+            continue
+        i, q = next((i, q) for k, i, q in POLICIES if k == p)
+        want = plain.logits(cli.render(i, q, texts[d]))[0]
+        assert np.allclose(r["logits"], want, atol=1e-4) and len(r["logits"]) == len(plain.model.vocabulary.pieces)
+        assert scored[d, p]["prefilled_tokens"] > 0 and abs(scored[d, p]["yes_logit"] - want[plain.model.yes].max()) < 1e-4
+
+
+def test_long_prompts_go_in_parts(tiny_model, monkeypatch):
+    whole, parts = (Moderator(tiny_model) for _ in range(2))
+    p = cli.render("i", "q", "some words and more of them " * 40)
+    want = whole.logits(p)[0]
+    monkeypatch.setattr("gavel.operators.model.SCORES_HELD", 1 << 15)
+    sizes, forward = [], parts.model.forward
+    monkeypatch.setattr(parts.model, "forward", lambda tokens, *a, **b: sizes.append(len(tokens)) or forward(tokens, *a, **b))
+    assert np.allclose(parts.logits(p)[0], want, atol=1e-4) and len(sizes) > 10
