@@ -1,41 +1,45 @@
 """Operator 9: Jaccard join of 5-word shingle sets with a count-vector R-tree, and its components.
 
 1. Equal sets are one class; a class goes on with its smallest id.
-2. A sketch of how many documents have each shingle (a table of counters, summed
-   over all documents) puts shingles in one global order, rare ones first. Sets that reach
-   the threshold share a shingle among the first n - ceil(3n/4) + 1 of each, so
-   only those are dealt to buckets by shingle, and buckets of one row go.
-   Passages that many documents have come last in the order, so they are dealt
-   only for documents that hold little else.
-   Of buckets with the same members one stays.
-3. The members of a bucket are first compared with one of them only, another one in each
-   of TURNS turns, and the links found are united. A bucket whose members are in one
-   component is done.
-4. In each other bucket the members' count vectors (how many of a set's
-   shingles fall into each of GROUPS groups) are points of an R-tree, packed by
-   component and size. The tree is joined with itself from the root: two nodes go on only if
-   they hold different components, their sizes can match, and the sum of the
-   coordinate minima of their upper corners can reach the overlap needed. Large
-   buckets are cut into blocks, and a task joins two blocks.
-5. Pairs that survive are verified on the sets themselves.
-
-Every pair of different components that could link is verified, so the
+2. Shingles have one global order: by hash, but the COMMON ones (in a hundredth of the
+   documents or more, a list of bounded length) come last, and before them those
+   that would deal more than LARGE documents to one bucket. Sets that reach the threshold
+   share a shingle among the first n - ceil(3n/4) + 1 of each, so only those are
+   dealt to buckets by shingle; shingles of one document go at once. Where a bucket is found
+   to be LARGE its shingle moves back in the order, and its documents are dealt
+   again, until no bucket that could be smaller is LARGE.
+3. Count vectors (how many of a set's shingles fall into each of GROUPS groups) are
+   the points of an R-tree in each bucket. The tree is joined with itself from the root: two
+   nodes go on only if they hold different components, their sizes can match, and the sum
+   of the coordinate minima of their upper corners can reach the overlap needed. What
+   survives is verified on the sets in the same task, the nearest bound of each component first,
+   and united there; pairs inside a component are dropped. So a
+   task puts out at most one link for each of its documents.
+4. First each document meets one bucket, its fullest, in blocks; then a few members of each component of
+   a bucket that was cut into blocks meet; then all buckets that still hold different
+   components are joined whole. In a bucket of many blocks the rows of its largest component
+   are not compared with each other, and each other block meets every block.
+   Points go first, and the sets of those documents alone whose points come near enough.
+
+Every pair of different components that could link is compared, so the
 components are exact. Links, ids and sets stay in tables; the driver gets
-counts and the sketch, which has a fixed size.
+counts and the list of common shingles.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles
-and link with nothing; equal texts link; rows with the same doc_id are one
-document; a row without doc_id has no component; other columns are ignored.
+and link with nothing; equal texts link, ties included; rows with the same doc_id are one
+document; a row without doc_id has no component; an empty table gives no rows; a very long text is
+one set, held whole by a task; other columns, also those named like this operator's own, are ignored.
 Where ids repeat, each differing text of an id is a row with a number of its own
 until the links are found, so that buckets and points hold every row once.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.llm.common import map_slices, slices, small_or_not, stored
@@ -44,14 +48,15 @@ from gavel.llm.hashing import mix, shingle_sets
 
 SHINGLE = 5
 GROUPS = 128
-SKETCH_BITS, SKETCH_PARTS = 22, 64
 FANOUT = 8
-#: Rows of one block of a large bucket, and node pairs held at once.
-BLOCK_ROWS, AT_ONCE = 2_048, 20_000
-#: Candidate pairs of one key that wait to be united.
-PAIRS_WAIT = 1_000_000
-#: Turns in which the members of a bucket are compared with one of them only.
-TURNS = 1
+#: Common shingles that are sent to all tasks at most (8 MB); they affect the order only.
+COMMON = 1_000_000
+#: Documents of a bucket beyond which its shingle moves back in the order.
+LARGE = 4_096
+#: Documents and shingles of one block of a bucket, and node pairs held at once.
+BLOCK_ROWS, BLOCK_SHINGLES, AT_ONCE = 1_024, 1 << 21, 20_000
+#: Members that stand for a component of a bucket that was cut into blocks.
+STAND_IN = 4
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -66,69 +71,139 @@ def _class_keys(s: np.ndarray) -> tuple[int, int]:
     return int(np.array([a.sum() + np.uint64(len(s))]).view(np.int64)[0]), int(np.array([np.bitwise_xor.reduce(b * np.uint64(3))]).view(np.int64)[0])
 
 
-def members_and_sketch(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (doc_id, n, k1, k2) and, at the end of a task, its part of the sketch (part, counts)."""
+def members_and_common(docs: DataFrame, size: int) -> DataFrame:
+    """Rows of documents (doc_id, n, k1, k2), and of the shingles that many sets of a slice have (token, seen)."""
 
-    def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        none = lambda n, kind: pa.nulls(n, kind)
-        names, any_row = ["doc_id", "n", "k1", "k2", "part", "counts"], False
-        for part in slices(batches):
-            any_row = True
+    def make():
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(part.column(1).to_pylist(), size)
             keys = [_class_keys(s) for s in sets]
-            every = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
-            at, n = np.unique(every, return_counts=True)
-            counts[at.astype(np.int64)] += n.astype(np.uint32)
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), none(m, pa.int32()), none(m, pa.binary())], names=names)
-        for i, x in enumerate(counts.reshape(SKETCH_PARTS, -1)) if any_row else ():
-            yield pa.RecordBatch.from_arrays([none(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=names)
+            differing = dict(zip(keys, sets, strict=True)).values()
+            token, seen = np.unique(np.concatenate(list(differing)), return_counts=True)
+            often = seen >= max(4, len(sets) // 128)
+            m, k = len(sets), int(often.sum())
+            ids = part.column(0)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([ids, pa.nulls(k, ids.type)]), pa.array([len(s) for s in sets] + [None] * k, pa.int64()), pa.array([x[0] for x in keys] + [None] * k, pa.int64()),
+                    pa.array([x[1] for x in keys] + [None] * k, pa.int64()), pa.concat_arrays([pa.nulls(m, pa.int64()), _signed(token[often])]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(seen[often].astype(np.int64))]),
+                ],
+                names=["doc_id", "n", "k1", "k2", "token", "seen"],
+            )
+
+        return run
+
+    return map_slices(docs, make, "doc_id long, n long, k1 long, k2 long, token long, seen long")
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, part int, counts binary")
 
+def common_shingles(both: DataFrame, documents: int) -> np.ndarray:
+    """The sorted shingles that about a hundredth of the documents have, the commonest COMMON at most."""
+    seen = both.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= max(16, documents // 100))
+    found = seen.orderBy(F.desc("seen"), "token").limit(COMMON).select("token").toArrow().column("token")
+    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
 
-def sketch_of(parts: DataFrame) -> np.ndarray:
-    """The summed sketch, as 16-bit counters that stop at their maximum."""
 
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
-        for x in g["counts"]:
-            total += np.frombuffer(x, np.uint32)
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "salt": [0], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known) or not len(x):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
-    shape = "part int, salt int, counts binary"
-    salted = parts.select("part", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int").alias("salt"), "counts").groupBy("part", "salt").applyInPandas(add, shape)
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint16)
-    for r in salted.groupBy("part").applyInPandas(add, shape).collect():
-        out[r["part"]] = np.minimum(np.frombuffer(r["counts"], np.uint32), 0xFFFF)
-    return out.ravel()
 
+def signatures(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
+    """(token, doc, late) of documents (doc_id, text, large): the first shingles of each in the global order, as many as the threshold needs.
 
-def signatures(docs: DataFrame, order: np.ndarray, size: int) -> DataFrame:
-    """(token, doc, n): the first shingles of each document in the global order, as many as the threshold needs."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # 8 MB, whatever the input
+    late is 0, 1 for shingles of `large`, 2 for common ones.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
-        rank = shared.value
+        known = shared.value
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(part.column(1).to_pylist(), size)
-            tokens, n = [], []
-            for s in sets:
+            n = np.array([len(s) for s in sets])
+            back = _within(np.concatenate(sets), known).astype(np.int8) * 2
+            token, late, count, at = [], [], [], 0
+            for i, s in enumerate(sets):
                 k = len(s) - -(-3 * len(s) // 4) + 1 if len(s) else 0
-                if k < len(s):
-                    key = (rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s & np.uint64((1 << 48) - 1))
-                    s = s[np.argsort(key, kind="stable")[:k]]
-                tokens.append(s)
-                n.append(k)
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
-            lengths = np.repeat([len(s) for s in sets], n)
-            return pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(ids.astype(np.int64)), pa.array(lengths.astype(np.int32))], names=["token", "doc", "n"])
+                c = back[at : at + len(s)]
+                at += len(s)
+                large = part.column(2)[i].as_py()
+                if large:
+                    c = np.maximum(c, _within(s, np.sort(np.array(large, np.int64).view(np.uint64))))
+                if c[:k].any():
+                    order = np.argsort(c, kind="stable")[:k]
+                    s, c = s[order], c[order]
+                token.append(s[:k])
+                late.append(c[:k])
+                count.append(min(k, int(n[i])))
+            ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate(token)), pa.array(np.repeat(ids, count)), pa.array(np.concatenate(late))], names=["token", "doc", "late"])
 
         return run
 
-    return map_slices(docs, make, "token long, doc long, n int")
+    return map_slices(docs, make, "token long, doc long, late byte")
+
+
+def shared_shingles(rows: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """(token, doc, late, n_docs, same): rows whose shingle another document has too.
+
+    same stands for the bucket's members. n_docs is LARGE + 1 for all buckets that are larger, and for the
+    shingles `moved`, which only have late rows in the end. Rows stream through in order; at most LARGE and a batch are held.
+    """
+
+    def whole(t, d, c):
+        head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        n = np.diff(np.append(head, len(t)))
+        mark = np.repeat(c[head] < 0, n)
+        same = np.repeat(np.add.reduceat(mix(d.view(np.uint64)), head), n).view(np.int64)
+        n = np.repeat(n, n)
+        large = mark | (n > LARGE)
+        keep = (n > 1) & (c >= 0)
+        return out(t[keep], d[keep], c[keep], np.where(large, LARGE + 1, n)[keep], np.where(large, t, same)[keep])
+
+    def out(t, d, c, n, same):
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(d), pa.array(c), pa.array(n.astype(np.int32)), pa.array(same)], names=["token", "doc", "late", "n_docs", "same"])
+
+    def run(batches):
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8))
+        held, running = none, None
+        for b in chain(batches, [None]):
+            t, d, c = (b.column(i).to_numpy() for i in range(3)) if b is not None else none
+            if running is not None and len(t):
+                k = int(np.searchsorted(t, running, side="right"))
+                if k:
+                    yield out(t[:k], d[:k], c[:k], np.full(k, LARGE + 1), t[:k])
+                running = running if k == len(t) else None
+                t, d, c = t[k:], d[k:], c[k:]
+            t, d, c = (np.concatenate(x) for x in zip(held, (t, d, c), strict=True))
+            last = len(t) if b is None or not len(t) else int(np.searchsorted(t, t[-1]))
+            if last:
+                yield whole(t[:last], d[:last], c[:last])
+            held = t[last:], d[last:], c[last:]
+            if len(held[0]) > LARGE:
+                keep = held[2] >= 0
+                yield out(held[0][keep], held[1][keep], held[2][keep], np.full(int(keep.sum()), LARGE + 1), held[0][keep])
+                held, running = none, int(held[0][0])
+
+    if moved is not None:
+        rows = rows.unionByName(moved.select("token", F.lit(0).cast("long").alias("doc"), F.lit(-1).cast("byte").alias("late")))
+    return rows.repartition("token").sortWithinPartitions("token", "late").mapInArrow(run, "token long, doc long, late byte, n_docs int, same long")
+
+
+def buckets(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
+    """Stored shared_shingles of documents (doc_id, text), after as many turns as large buckets need."""
+    given = docs.withColumn("large", F.lit(None).cast("array<bigint>"))
+    moved = own = None
+    while True:
+        found = stored(shared_shingles(signatures(given, common, size), moved))
+        over = found.filter((F.col("n_docs") > LARGE) & (F.col("late") == 0)).select("token", "doc")
+        if not over.limit(1).count():
+            return found
+        # a document's own shingles, so a list is no longer than its text
+        own = stored(over if own is None else own.unionByName(over))
+        moved = stored(own.select("token").distinct())
+        given = docs.join(own.groupBy("doc").agg(F.collect_set("token").alias("large")).withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "large")
 
 
 def count_vector(s: np.ndarray) -> tuple[bytes, int]:
@@ -164,37 +239,11 @@ def _vectors(column: pa.Array, shift: np.ndarray) -> np.ndarray:
     return flat * (2.0**shift)[:, None].astype(np.float32)
 
 
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: first by the bound of their count vectors, then on their sets."""
-
-    def bounded(batches):
-        for b in batches:
-            a, c = _vectors(b.column(3), b.column(4).to_numpy()), _vectors(b.column(6), b.column(7).to_numpy())
-            n = b.column(2).to_numpy().astype(np.int64) + b.column(5).to_numpy()
-            keep = pa.array(7 * np.minimum(a, c).sum(1) >= 3 * n)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    def linked(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    side = lambda end, *cols: known.select(F.col("doc").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in cols])
-    near = pairs.join(side("a", "n", "vec", "shift"), "a").join(side("b", "n", "vec", "shift"), "b").select("a", "b", "n_a", "vec_a", "shift_a", "n_b", "vec_b", "shift_b")
-    near = stored(near.mapInArrow(bounded, "a long, b long"))
-    # sets are long: only those of the pairs' ends are sent
-    sets = lambda end: side(end, "shingles").join(small_or_not(near.select(end).distinct()), end, "left_semi")
-    return near.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(linked, "a long, b long")
-
-
 def tree_join(vec: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of different components (and blocks, if given) whose bound reaches the overlap needed."""
-    order = np.lexsort((n, comp))
+    # a component of one row is no use as a group
+    many = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.lexsort((n, np.where(many[2][many[1]] > 1, comp, -1)))
     levels = [(vec[order], n[order], n[order], comp[order], comp[order])]
     while len(levels[-1][0]) > 1:
         hi, low, top, c0, c1 = levels[-1]
@@ -233,126 +282,214 @@ def tree_join(vec: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def bucket_pairs(buckets: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the buckets (token, doc, comp, size, low, low_n).
-
-    Buckets with the same lowest member are dealt together, so that a member's point is sent once for
-    all of them and a pair that several of them hold comes out once. Large buckets are
-    dealt on their own, in pairs of blocks.
+def _overlaps(sets: list[np.ndarray]):
+    """A function of pairs (a, b) that gives the sizes of their common parts."""
+    if len(sets) < 8:
+        return lambda a, b: np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    cut = np.cumsum([0] + [len(s) for s in sets])
+    own = [flat[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+    has = np.zeros(len(names), bool)
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        order = np.argsort(a, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
+        for s, e in zip(head.tolist(), [*head[1:].tolist(), len(a)], strict=True):
+            has[own[a[order[s]]]] = True
+            for k in order[s:e].tolist():
+                out[k] = np.count_nonzero(has[own[b[k]]])
+            has[own[a[order[s]]]] = False
+        return out
+
+    return run
+
+
+def _rank_in(label: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of the same label, in the given order."""
+    order = np.argsort(label, kind="stable")
+    sorted_ = label[order]
+    head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    out = np.empty(len(label), np.int64)
+    out[order] = np.arange(len(label)) - np.repeat(head, np.diff(np.append(head, len(label))))
+    return out
+
+
+def united(a: np.ndarray, b: np.ndarray, bound: np.ndarray, n: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the candidate pairs (a, b): as many as it takes to unite every two components that a pair links.
+
+    Each turn verifies the candidates with the nearest bound of each component, one of each first and then twice as many in a turn;
+    a pair whose ends are in one component by then is dropped.
     """
-    large = F.col("size") > BLOCK_ROWS
-    rows = buckets.withColumns({
-        "own": large, "k": F.when(large, F.col("token")).otherwise(F.col("low")),
-        # a long lowest member has many buckets: they are spread
-        "part": F.when(large, F.lit(0)).otherwise(F.pmod(F.xxhash64("token"), F.ceil(F.col("low_n") / 4096))).cast("int"),
-        "blocks": F.when(large, F.ceil(F.col("size") / BLOCK_ROWS)).otherwise(1).cast("int"),
-    })
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # a row meets its own block and every other one
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    key = ["own", "k", "part", "bi", "bj"]
-    cells = rows.select(*key, "token", "doc", F.lit(None).cast("int").alias("block"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("binary").alias("vec"), F.lit(None).cast("int").alias("shift"))
-    places = rows.select(*key, "doc", "block", "comp").distinct().join(known.select("doc", "n", "vec", "shift"), "doc")
-    both = cells.unionByName(places.select(*key, F.lit(None).cast("long").alias("token"), "doc", "block", "n", "comp", "vec", "shift"))
-
-    def work(t: pa.Table, split: bool) -> pa.RecordBatch | None:
-        """One key's rows: first its members' points, then its buckets in order."""
-        m = t.num_rows - t.column("token").null_count
-        points, cells = t.slice(0, t.num_rows - m), t.slice(t.num_rows - m)
-        doc = points.column("doc").to_numpy()
-        order = np.argsort(doc, kind="stable")
-        doc = doc[order]
-        vec = _vectors(points.column("vec").combine_chunks(), points.column("shift").to_numpy())[order]
-        n, comp, block = (points.column(c).to_numpy().astype(np.int64)[order] for c in ("n", "comp", "block"))
-        token, at = cells.column("token").to_numpy(), np.searchsorted(doc, cells.column("doc").to_numpy())
-        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        # pairs as one number each, united now and then: the buckets of a key hold many pairs again
-        found, waiting = [], 0
-        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            i = at[s:e]
-            if waiting > PAIRS_WAIT:
-                found, waiting = [np.unique(np.concatenate(found))], 0
-            if e - s == 2:  # most buckets
-                x, y = i
-                if comp[x] == comp[y] or 100 * min(n[x], n[y]) < 75 * max(n[x], n[y]) or 7 * np.minimum(vec[x], vec[y]).sum() < 3 * (n[x] + n[y]):
-                    continue
-                found.append(np.array([min(x, y) * len(doc) + max(x, y)]))
-                continue
-            a, b = tree_join(vec[i], n[i], comp[i], block[i] if split else None)
-            if len(a):
-                found.append(np.minimum(i[a], i[b]) * len(doc) + np.maximum(i[a], i[b]))
-                waiting += len(a)
-        if not found:
+    order = np.argsort(-bound, kind="stable")
+    a, b = a[order], b[order]
+    parent = np.unique(comp, return_inverse=True)[1].astype(np.int64)
+    parent, label = np.arange(int(parent.max(initial=-1)) + 1), parent
+    common, most, out = None, 1, []
+    while len(a):
+        ca, cb = label[a], label[b]
+        pick = (_rank_in(ca) < most) | (_rank_in(cb) < most)
+        i, j = a[pick], b[pick]
+        common = common or _overlaps(sets)
+        both = common(i, j)
+        good = 100 * both >= 75 * (n[i] + n[j] - both)
+        for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            p, q = label[x], label[y]
+            while parent[p] != p:
+                p = parent[p]
+            while parent[q] != q:
+                q = parent[q]
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+        a, b = a[~pick], b[~pick]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        most *= 2
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+KEY = ["key", "bi", "bj"]
+
+
+def joined(places: DataFrame, known: DataFrame, verify: bool) -> DataFrame:
+    """R-tree joins of the documents placed (key, bi, bj, doc, comp, side): all of one key, or the two sides if bi and bj differ.
+
+    With verify the links (a, b) that unite components, else the places of documents that have a candidate at all.
+    """
+    sent = places.join(known.select("doc", "n", "vec", "shift", *["shingles"] * verify), "doc")
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        n, comp, side = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "side"))
+        if len(n) < 2 or comp.min() == comp.max():
             return None
-        pairs = np.unique(np.concatenate(found))
-        return pa.RecordBatch.from_arrays([pa.array(doc[pairs // len(doc)]), pa.array(doc[pairs % len(doc)])], names=["a", "b"])
+        vec = _vectors(t.column("vec").combine_chunks(), t.column("shift").to_numpy())
+        cross = t.column("bi")[0].as_py() != t.column("bj")[0].as_py()
+        a, b = tree_join(vec, n, comp, side if cross else None)
+        if not len(a):
+            return None
+        if not verify:
+            return t.take(pa.array(np.unique(np.concatenate([a, b])))).select([*KEY, "doc", "comp", "side"]).combine_chunks().to_batches()[0]
+        bound = np.concatenate([np.minimum(vec[x], vec[y]).sum(1) for x, y in zip(np.array_split(a, len(a) // AT_ONCE + 1), np.array_split(b, len(a) // AT_ONCE + 1), strict=True)]) / (n[a] + n[b])
+        a, b = united(a, b, bound, n, comp, [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()])
+        doc = t.column("doc").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b])], names=["a", "b"]) if len(a) else None
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def ends(t: pa.Table) -> np.ndarray:
-            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("own", "k", "part", "bi", "bj")], 1)
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in KEY], 1)
             return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
 
-        def finish(t: pa.Table, cut: np.ndarray):
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                out = work(t.slice(s, e - s), t.column("bi")[s].as_py() != t.column("bj")[s].as_py())
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                if b.num_rows == 0 or all(b.column(c)[0] == b.column(c)[b.num_rows - 1] == held[0].column(c)[0] for c in range(3)):
+                    continue  # the key goes on
+            t = pa.Table.from_batches(held, held[0].schema) if held else None
+            if t is None or not t.num_rows:
+                continue
+            cut = ends(t)
+            stop = len(cut) - 1 if b is None else len(cut) - 2
+            for s, e in zip(cut[:stop].tolist(), cut[1 : stop + 1].tolist(), strict=True):
+                out = work(t.slice(s, e - s))
                 if out is not None:
                     yield out
+            held = t.slice(int(cut[stop])).combine_chunks().to_batches()
 
-        for b in batches:
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            cut = ends(t)
-            if len(cut) > 2:  # the last key may go on
-                yield from finish(t, cut[:-1])
-                held = t.slice(int(cut[-2])).combine_chunks().to_batches()
-        if held and (t := pa.Table.from_batches(held)).num_rows:
-            yield from finish(t, ends(t))
+    shape = "a long, b long" if verify else "key long, bi int, bj int, doc long, comp long, side int"
+    return sent.select(*KEY, "doc", "comp", "side", *known.columns[1:4], *["shingles"] * verify).repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, shape)
+
+
+def _blocks(rows: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
-    dealt = both.repartition(*key).sortWithinPartitions(*key, F.col("token").asc_nulls_first())
-    return dealt.mapInArrow(run, "a long, b long").distinct()
 
+def _block(seed: int, blocks: str | Column) -> Column:
+    return F.pmod(F.xxhash64("doc", F.lit(seed)), blocks if isinstance(blocks, Column) else F.col(blocks)).cast("int")
 
-def centre_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each bucket's members beside one of them, another one each turn; pairs of one component or of unlike sizes go."""
-    bucket = Window.partitionBy("token")
-    centre = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("o"), "doc", "n", "comp")).over(bucket)
-    rows = rows.select("doc", "n", "comp", centre.alias("c"))
-    close = (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * 75) & (F.col("comp") != F.col("c.comp"))
-    return rows.filter(close).select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
+
+def alone(rows: DataFrame, blocks: str, seed: int) -> DataFrame:
+    """Places of rows (token, doc, comp) in blocks that don't meet."""
+    return rows.withColumn("bi", _block(seed, blocks)).select(F.col("token").alias("key"), "bi", F.col("bi").alias("bj"), "doc", "comp", F.lit(0).alias("side"))
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """Places of rows (key, doc, comp, n) so that every two of a key in different components meet.
+
+    Blocks of the largest component's rows come after those of the rest and don't meet each other.
+    """
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    sums = parts.groupBy("key").agg(F.max(F.struct("m", "w", "comp")).alias("big"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count("*").alias("comps")).filter("comps > 1")
+    sums = sums.select("key", F.col("big.comp").alias("big"), F.when(_blocks(F.col("m"), F.col("w")) == 1, 0).otherwise(_blocks(F.col("big.m"), F.col("big.w"))).alias("nb"), _blocks(F.col("m") - F.col("big.m"), F.col("w") - F.col("big.w")).alias("nr"))
+    own = rows.join(small_or_not(stored(sums)), "key")
+    in_big = (F.col("nb") > 0) & (F.col("comp") == F.col("big"))
+    own = own.withColumn("block", F.when(F.col("nb") == 0, 0).when(in_big, F.col("nr") + _block(0, "nb")).otherwise(_block(0, "nr")))
+    meets = F.when(F.col("nb") == 0, F.array(F.lit(0))).when(in_big, F.sequence(F.lit(0), F.col("nr") - 1)).otherwise(F.sequence(F.lit(0), F.col("nr") + F.col("nb") - 1))
+    out = own.select("key", "doc", "comp", "block", F.explode(meets).alias("other"))
+    return out.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "doc", "comp", (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
+def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with comp: the component of doc by the links."""
+    own = stored(components(links))
+    cols = [c for c in rows.columns if c != "comp"]
+    return rows.join(small_or_not(own), rows["doc"] == own["id"], "left").select(*[rows[c] for c in cols], F.coalesce("component", "doc").alias("comp"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """rows of buckets (token) that hold more than one component."""
+    many = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("token")
+    return stored(rows.join(small_or_not(stored(many)), "token", "left_semi"))
+
+
+def links_of(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) that unite all components, of the buckets `found` and the documents' points and sets `known`."""
+    # of buckets with the same members one is enough
+    rows = found.groupBy("doc", "same", "n_docs").agg(F.min("token").alias("token")).join(known.select("doc", "n"), "doc")
+    sums = rows.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min("doc").alias("low")).select("token", "m", "low", _blocks(F.col("m"), F.col("w")).alias("blocks"))
+    rows = stored(rows.select("token", "doc", "n").join(sums, "token"))
+
+    fullest = rows.groupBy("doc").agg(F.max(F.struct("m", "token", "blocks")).alias("x")).select(F.col("x.token").alias("token"), "doc", F.col("doc").alias("comp"), F.col("x.blocks").alias("blocks"))
+    links = stored(joined(alone(fullest, "blocks", 0), known, True))
+    rows = _open(_named(rows, links))
+    turn = 0
+    while True:
+        turn += 1
+        # members of the components of buckets that were cut meet, until nothing more unites
+        cut = rows.filter("blocks > 1")
+        least = [F.min(F.struct(F.xxhash64("doc", F.lit(100 * turn + i)).alias("h"), "doc", "n")).alias(f"x{i}") for i in range(STAND_IN)]
+        few = cut.groupBy("token", "comp").agg(*least).select("token", "comp", F.explode(F.array(*[f"x{i}" for i in range(STAND_IN)])).alias("x")).select("token", "comp", "x.doc", "x.n").distinct()
+        few = stored(few)
+        sums = few.groupBy("token").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+        more = stored(joined(alone(few.join(sums, "token"), "blocks", turn), known, True))
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        rows = _open(_named(rows, links))
+    # buckets with the same lowest member are one, so that a document is sent once for all of them
+    near = stored(joined(whole(rows.select(F.col("low").alias("key"), "doc", "comp", "n").distinct()), known, False))
+    return links.unionByName(stored(joined(near, known, True)))
 
 
 def _components_of(docs: DataFrame, size: int) -> DataFrame:
     """similar_components of rows (doc_id, text) whose ids differ; some may be null."""
-    both = stored(members_and_sketch(docs, size))
-    members = both.filter(F.col("part").isNull()).select("doc_id", "n", "k1", "k2")
-    order = sketch_of(both.filter(F.col("part").isNotNull()))
-    classes = members.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"))
-    classes = stored(classes)
+    both = stored(members_and_common(docs, size))
+    members = both.filter(F.col("token").isNull()).select("doc_id", "n", "k1", "k2")
+    common = common_shingles(both, members.count())
+    classes = stored(members.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc")))
     idle = members.select("doc_id").distinct().join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
     unique = docs.filter(F.col("doc_id").isNotNull()).join(small_or_not(stored(idle)), "doc_id", "left_anti").select("doc_id", "text")
 
-    bucket = Window.partitionBy("token")
-    xor = lambda k: F.bit_xor(F.xxhash64("doc", F.lit(k))).over(bucket)
-    dealt = signatures(unique, order, size).withColumns({"size": F.count("*").over(bucket), "low": F.min(F.struct("doc", "n")).over(bucket), "x1": xor(1), "x2": xor(2)})
-    # of buckets with the same members one is enough
-    dealt = dealt.filter("size > 1").groupBy("doc", "n", "x1", "x2", "size").agg(F.min("token").alias("token"), F.min("low").alias("low"))
-    dealt = stored(dealt.select("token", "doc", "n", "size", F.col("low.doc").alias("low"), F.col("low.n").alias("low_n")))
-    active = stored(dealt.select(F.col("doc").alias("doc_id")).distinct())
+    found = buckets(unique, common, size)
+    active = stored(found.select(F.col("doc").alias("doc_id")).distinct())
     known = stored(points(unique.join(small_or_not(active), "doc_id", "left_semi"), size))
-
-    links, rows = None, dealt.withColumn("comp", F.col("doc"))
-    for turn in range(TURNS):
-        more = stored(verified(centre_pairs(rows, turn), known))
-        links = more if links is None else links.unionByName(more)
-        united = components(links)
-        named = dealt.join(united, dealt["doc"] == united["id"], "left").select(*dealt.columns, F.coalesce("component", "doc").alias("comp"))
-        # buckets of one component are done
-        rows = named.withColumns({"c0": F.min("comp").over(bucket), "c1": F.max("comp").over(bucket)}).filter("c0 != c1").drop("c0", "c1")
-        rows = stored(rows)
-    links = stored(links.unionByName(verified(bucket_pairs(rows, known), known)))
-    final = components(links)
+    final = components(links_of(found, known))
 
     named = members.join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("doc")).alias("doc"))
     named = named.join(final, named["doc"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("own"))

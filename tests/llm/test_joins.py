@@ -101,12 +101,12 @@ def _classes(rows, size=5):
     return own
 
 
-@pytest.mark.parametrize("block, turns", [(2048, 3), (16, 1)])
-def test_similar_components_equal_brute_force(spark, monkeypatch, block, turns):
+@pytest.mark.parametrize("block, large", [(1024, 4096), (16, 8)])
+def test_similar_components_equal_brute_force(spark, monkeypatch, block, large):
     import gavel.llm.jaccard as j
 
     monkeypatch.setattr(j, "BLOCK_ROWS", block)
-    monkeypatch.setattr(j, "TURNS", turns)
+    monkeypatch.setattr(j, "LARGE", large)
     rows = _documents()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 n", "7 comp", "'x' token")
     got = {r["doc_id"]: r["component_id"] for r in similar_components(df).collect()}
