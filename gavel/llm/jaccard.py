@@ -19,7 +19,8 @@
    a bucket that was cut into blocks meet; then all buckets that still hold different
    components are joined whole. In a bucket of many blocks the rows of its largest component
    are not compared with each other, and each other block meets every block.
-   Points go first, and the sets of those documents alone whose points come near enough.
+   Points go first, and the texts of those documents alone whose points come near enough. Long sets have
+   finer groups, and a pair is bounded in the finest that both have; the tree has GROUPS.
 
 Every pair of different components that could link is compared, so the
 components are exact. Links, ids and sets stay in tables; the driver gets
@@ -57,6 +58,8 @@ LARGE = 4_096
 BLOCK_ROWS, BLOCK_SHINGLES, AT_ONCE = 1_024, 1 << 21, 20_000
 #: Members that stand for a component of a bucket that was cut into blocks.
 STAND_IN = 4
+#: Stand-ins meet again if one in so many found a link.
+WORTH = 50
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -207,10 +210,11 @@ def buckets(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
 
 
 def count_vector(s: np.ndarray) -> tuple[bytes, int]:
-    """Counts of the set in each group as bytes; large ones are halved upwards so many times."""
-    c = np.bincount((mix(s) >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    """Counts of the set in each group as bytes, GROUPS of them or, so that chance overlaps stay few, as many times 2 as give four to a group; counts over 255 are halved upwards so many times."""
+    bits = max(GROUPS.bit_length() - 1, (len(s) // 4 - 1).bit_length() if len(s) > 4 else 0)
+    c = np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     shift = max(0, int(c.max(initial=0)).bit_length() - 8)
-    c = -(-c >> shift) if not shift else (c + (1 << shift) - 1) >> shift
+    c = (c + (1 << shift) - 1) >> shift
     if c.max(initial=0) > 255:
         shift += 1
         c = (c + 1) >> 1
@@ -218,25 +222,37 @@ def count_vector(s: np.ndarray) -> tuple[bytes, int]:
 
 
 def points(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, vec, shift, shingles) of each document."""
+    """(doc, n, vec, shift) of each document."""
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(part.column(1).to_pylist(), size)
             vecs = [count_vector(s) for s in sets]
-            return pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([v for v, _ in vecs], pa.binary()), pa.array([k for _, k in vecs], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc", "n", "vec", "shift", "shingles"],
-            )
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([v for v, _ in vecs], pa.binary()), pa.array([k for _, k in vecs], pa.int32())], names=["doc", "n", "vec", "shift"])
 
         return run
 
-    return map_slices(docs, make, "doc long, n int, vec binary, shift int, shingles binary")
+    return map_slices(docs, make, "doc long, n int, vec binary, shift int")
+
 
+def _counts(vec: bytes, shift: int, groups: int) -> np.ndarray:
+    """The counts in so many groups; those of finer groups are summed."""
+    return np.frombuffer(vec, np.uint8).astype(np.uint32).reshape(groups, -1).sum(1) << shift
 
-def _vectors(column: pa.Array, shift: np.ndarray) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.float32)
-    return flat * (2.0**shift)[:, None].astype(np.float32)
+
+def bounds(vecs: list[bytes], shift: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of pairs: summed minima in the finest groups that both ends have."""
+    groups = np.array([len(v) for v in vecs])
+    level, out = np.minimum(groups[a], groups[b]), np.zeros(len(a), np.int64)
+    for g in np.unique(level).tolist():
+        at = np.flatnonzero(level == g)
+        own, where = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        counts = np.stack([_counts(vecs[i], int(shift[i]), g) for i in own.tolist()])
+        counts = counts.astype(np.uint8) if counts.max(initial=0) < 256 else counts
+        x, y = where[: len(at)], where[len(at) :]
+        for s in range(0, len(at), AT_ONCE):
+            out[at[s : s + AT_ONCE]] = np.minimum(counts[x[s : s + AT_ONCE]], counts[y[s : s + AT_ONCE]]).sum(1, dtype=np.int64)
+    return out
 
 
 def tree_join(vec: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -356,26 +372,31 @@ def united(a: np.ndarray, b: np.ndarray, bound: np.ndarray, n: np.ndarray, comp:
 KEY = ["key", "bi", "bj"]
 
 
-def joined(places: DataFrame, known: DataFrame, verify: bool) -> DataFrame:
+def joined(places: DataFrame, known: DataFrame, texts: DataFrame | None, size: int) -> DataFrame:
     """R-tree joins of the documents placed (key, bi, bj, doc, comp, side): all of one key, or the two sides if bi and bj differ.
 
-    With verify the links (a, b) that unite components, else the places of documents that have a candidate at all.
+    With texts (doc, text) the links (a, b) that unite components, else the places of documents that have a candidate at all.
     """
-    sent = places.join(known.select("doc", "n", "vec", "shift", *["shingles"] * verify), "doc")
+    sent, first = places.join(known, "doc"), texts is None
+    if not first:
+        sent = sent.join(texts, "doc")
 
     def work(t: pa.Table) -> pa.RecordBatch | None:
-        n, comp, side = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "side"))
+        n, comp, side, shift = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "side", "shift"))
         if len(n) < 2 or comp.min() == comp.max():
             return None
-        vec = _vectors(t.column("vec").combine_chunks(), t.column("shift").to_numpy())
+        vecs = t.column("vec").to_pylist()
+        vec = np.stack([_counts(v, int(k), GROUPS) for v, k in zip(vecs, shift, strict=True)]).astype(np.float32)
         cross = t.column("bi")[0].as_py() != t.column("bj")[0].as_py()
         a, b = tree_join(vec, n, comp, side if cross else None)
+        bound = bounds(vecs, shift, a, b)
+        near = 7 * bound >= 3 * (n[a] + n[b])
+        a, b, bound = a[near], b[near], bound[near]
         if not len(a):
             return None
-        if not verify:
+        if first:
             return t.take(pa.array(np.unique(np.concatenate([a, b])))).select([*KEY, "doc", "comp", "side"]).combine_chunks().to_batches()[0]
-        bound = np.concatenate([np.minimum(vec[x], vec[y]).sum(1) for x, y in zip(np.array_split(a, len(a) // AT_ONCE + 1), np.array_split(b, len(a) // AT_ONCE + 1), strict=True)]) / (n[a] + n[b])
-        a, b = united(a, b, bound, n, comp, [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()])
+        a, b = united(a, b, bound / (n[a] + n[b]), n, comp, shingle_sets(t.column("text").to_pylist(), size))
         doc = t.column("doc").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b])], names=["a", "b"]) if len(a) else None
 
@@ -402,8 +423,14 @@ def joined(places: DataFrame, known: DataFrame, verify: bool) -> DataFrame:
                     yield out
             held = t.slice(int(cut[stop])).combine_chunks().to_batches()
 
-    shape = "a long, b long" if verify else "key long, bi int, bj int, doc long, comp long, side int"
-    return sent.select(*KEY, "doc", "comp", "side", *known.columns[1:4], *["shingles"] * verify).repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, shape)
+    shape = "key long, bi int, bj int, doc long, comp long, side int" if first else "a long, b long"
+    return sent.select(*KEY, "doc", "comp", "side", "n", "vec", "shift", *[] if first else ["text"]).repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, shape)
+
+
+def linked(places: DataFrame, known: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Stored links (a, b) of the places: points meet first, then the texts of those that come near enough."""
+    near = stored(joined(places, known, None, size))
+    return stored(joined(small_or_not(near), known, texts, size))
 
 
 def _blocks(rows: Column, shingles: Column) -> Column:
@@ -448,33 +475,32 @@ def _open(rows: DataFrame) -> DataFrame:
     return stored(rows.join(small_or_not(stored(many)), "token", "left_semi"))
 
 
-def links_of(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) that unite all components, of the buckets `found` and the documents' points and sets `known`."""
+def links_of(found: DataFrame, known: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) that unite all components, of the buckets `found`, the documents' points `known` and their texts (doc, text)."""
     # of buckets with the same members one is enough
     rows = found.groupBy("doc", "same", "n_docs").agg(F.min("token").alias("token")).join(known.select("doc", "n"), "doc")
     sums = rows.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min("doc").alias("low")).select("token", "m", "low", _blocks(F.col("m"), F.col("w")).alias("blocks"))
     rows = stored(rows.select("token", "doc", "n").join(sums, "token"))
 
     fullest = rows.groupBy("doc").agg(F.max(F.struct("m", "token", "blocks")).alias("x")).select(F.col("x.token").alias("token"), "doc", F.col("doc").alias("comp"), F.col("x.blocks").alias("blocks"))
-    links = stored(joined(alone(fullest, "blocks", 0), known, True))
+    links = linked(alone(fullest, "blocks", 0), known, texts, size)
     rows = _open(_named(rows, links))
     turn = 0
     while True:
         turn += 1
-        # members of the components of buckets that were cut meet, until nothing more unites
+        # members of the components of buckets that were cut meet, as long as that unites some; what is left is compared whole below
         cut = rows.filter("blocks > 1")
         least = [F.min(F.struct(F.xxhash64("doc", F.lit(100 * turn + i)).alias("h"), "doc", "n")).alias(f"x{i}") for i in range(STAND_IN)]
         few = cut.groupBy("token", "comp").agg(*least).select("token", "comp", F.explode(F.array(*[f"x{i}" for i in range(STAND_IN)])).alias("x")).select("token", "comp", "x.doc", "x.n").distinct()
         few = stored(few)
         sums = few.groupBy("token").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
-        more = stored(joined(alone(few.join(sums, "token"), "blocks", turn), known, True))
-        if not more.limit(1).count():
-            break
+        more = linked(alone(few.join(sums, "token"), "blocks", turn), known, texts, size)
         links = links.unionByName(more)
         rows = _open(_named(rows, links))
+        if more.count() * WORTH <= few.count():
+            break
     # buckets with the same lowest member are one, so that a document is sent once for all of them
-    near = stored(joined(whole(rows.select(F.col("low").alias("key"), "doc", "comp", "n").distinct()), known, False))
-    return links.unionByName(stored(joined(near, known, True)))
+    return links.unionByName(linked(whole(rows.select(F.col("low").alias("key"), "doc", "comp", "n").distinct()), known, texts, size))
 
 
 def _components_of(docs: DataFrame, size: int) -> DataFrame:
@@ -489,7 +515,7 @@ def _components_of(docs: DataFrame, size: int) -> DataFrame:
     found = buckets(unique, common, size)
     active = stored(found.select(F.col("doc").alias("doc_id")).distinct())
     known = stored(points(unique.join(small_or_not(active), "doc_id", "left_semi"), size))
-    final = components(links_of(found, known))
+    final = components(links_of(found, known, unique.withColumnRenamed("doc_id", "doc"), size))
 
     named = members.join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("doc")).alias("doc"))
     named = named.join(final, named["doc"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("own"))

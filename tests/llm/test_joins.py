@@ -12,7 +12,7 @@ from conftest import by_sql, same
 from gavel.llm.components import components
 from gavel.llm.decontaminate import decontaminate
 from gavel.llm.hashing import shingle_sets, word_hashes
-from gavel.llm.jaccard import count_vector, similar_components, tree_join
+from gavel.llm.jaccard import bounds, count_vector, similar_components, tree_join
 from gavel.llm.neighbours import neighbours
 from gavel.llm.queries import ORACLE_SQL, QUERIES
 
@@ -69,8 +69,13 @@ def test_tree_join_finds_all_bounds():
         got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
         want = {(i, j) for i in range(m) for j in range(i + 1, m) if comp[i] != comp[j] and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]) and 7 * np.minimum(vec[i], vec[j]).sum() >= 3 * (n[i] + n[j])}
         assert got == want
-    big = count_vector(np.arange(200_000, dtype=np.uint64))
-    assert big[1] > 0 and np.frombuffer(big[0], np.uint8).astype(int).sum() << big[1] >= 200_000
+        long = [np.arange(i * 50, i * 50 + int(rng.integers(300, 5000)), dtype=np.uint64) for i in range(4)]
+        both = [count_vector(r) for r in rows[:3] + long]
+        i, j = (x.ravel() for x in np.indices((len(both), len(both))))
+        real = [len(np.intersect1d((rows[:3] + long)[x], (rows[:3] + long)[y])) for x, y in zip(i, j, strict=True)]
+        assert (bounds([v for v, _ in both], np.array([k for _, k in both]), i, j) >= real).all()
+    flat = count_vector(np.zeros(2000, np.uint64))  # all in one group
+    assert flat[1] == 3 and np.frombuffer(flat[0], np.uint8).astype(int).sum() << flat[1] >= 2000
 
 
 def _documents():
