@@ -430,7 +430,8 @@ def joined(places: DataFrame, known: DataFrame, texts: DataFrame | None, size: i
 def linked(places: DataFrame, known: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Stored links (a, b) of the places: points meet first, then the texts of those that come near enough."""
     near = stored(joined(places, known, None, size))
-    return stored(joined(small_or_not(near), known, texts, size))
+    texts = texts.join(small_or_not(stored(near.select("doc").distinct())), "doc", "left_semi")
+    return stored(joined(near, known, texts, size))
 
 
 def _blocks(rows: Column, shingles: Column) -> Column:
@@ -446,6 +447,15 @@ def alone(rows: DataFrame, blocks: str, seed: int) -> DataFrame:
     return rows.withColumn("bi", _block(seed, blocks)).select(F.col("token").alias("key"), "bi", F.col("bi").alias("bj"), "doc", "comp", F.lit(0).alias("side"))
 
 
+def banded(rows: DataFrame) -> DataFrame:
+    """rows (key, doc, comp, n) with keys of more than a block cut by set size: sets that can link are in one band or in neighbours, so a row goes to two."""
+    large = stored(rows.groupBy("key").count().filter(F.col("count") > BLOCK_ROWS).select("key"))
+    band = F.floor(F.log("n") / F.log(F.lit(1.34)))
+    cut = rows.join(small_or_not(large), "key", "left_semi").withColumn("band", F.explode(F.array(band, band + 1)))
+    cut = cut.select(F.xxhash64("key", "band").alias("key"), "doc", "comp", "n")
+    return rows.join(small_or_not(large), "key", "left_anti").unionByName(cut)
+
+
 def whole(rows: DataFrame) -> DataFrame:
     """Places of rows (key, doc, comp, n) so that every two of a key in different components meet.
 
@@ -500,7 +510,7 @@ def links_of(found: DataFrame, known: DataFrame, texts: DataFrame, size: int) ->
         if more.count() * WORTH <= few.count():
             break
     # buckets with the same lowest member are one, so that a document is sent once for all of them
-    return links.unionByName(linked(whole(rows.select(F.col("low").alias("key"), "doc", "comp", "n").distinct()), known, texts, size))
+    return links.unionByName(linked(whole(banded(stored(rows.select(F.col("low").alias("key"), "doc", "comp", "n").distinct()))), known, texts, size))
 
 
 def _components_of(docs: DataFrame, size: int) -> DataFrame:
