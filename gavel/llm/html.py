@@ -1,30 +1,37 @@
 """Operator 1: main text of web pages, with site templates removed.
 
 A page is read once by a tolerant tokenizer that keeps a stack of open elements
-(a block closes an open paragraph, a list item its predecessor, and so on).
-Elements that are never article text go by their tag, role, class or id. The
-subtrees of what remains are hashed (the last bit marks prose inside an article); Spark counts, per host, on how many
-different pages a subtree recurs, and those on many pages of their host are
-site template and are deleted. Pages that have the same text are one page
-for this count, so copies of an article don't make it a template.
-
-Of a page with `article` (or else `main`) elements their content is the main
-text, of others all that remains. Character references are decoded, white
-space inside a block becomes one space, blocks are trimmed and joined by \\n.
-
-Templates per host are few (a page has a bounded share of them), so they are
+(a block closes an open paragraph, a list item its predecessor, and so on). Each block
+element has a hash of its tags and text, built up from its children's; attributes
+(links, ids, the mark of the current page) are no part of it, and its last bit
+marks prose inside an article. Spark counts, per host, on how many different pages a
+subtree recurs, and those on many pages of their host are site template and are deleted: on
+LEAST_PAGES at least and on a share SHARE of the host's pages or, on larger hosts, ROOTS times the
+root of their number; prose inside an article on half of them. Pages that have the
+same text are one page for this count, so copies of an article don't make it a template.
+
+Beside the templates, elements that are never article text go by their tag, role or hidden state, and such that
+have a whole class or id word of a short list, but no paragraph, heading or quotation inside an article.
+Of a page with `main` elements their content is the main text, of others all that
+remains. Character references are decoded, white space inside a block becomes
+one space, blocks are trimmed and joined by \\n.
+
+Bounds: templates per host are few (a page has a bounded share of them), so they are
 joined as one array for each host; that table is broadcast only if its counted
 rows are within a bound.
 
 Defined results: null or empty html gives empty text; a null or odd url counts
-as host ''; unclosed elements end with their parent; repeated rows each give a
-row; other columns are ignored.
+as host ''; an empty table gives no rows; a very long or deeply nested page is read whole, in time that grows
+with its length; of equal pages with different subtrees the least list counts (ties are no matter of order);
+unclosed elements end with their parent; repeated rows each give a
+row; other columns, also those named like the result's, are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +42,26 @@ from pyspark.sql import functions as F
 from gavel.llm.common import map_slices, small_or_not, stored
 
 #: A subtree is template if so many different pages of its host, and so large a share of them, have it.
-LEAST_PAGES, SHARE = 5, 0.2
+LEAST_PAGES, SHARE, ROOTS = 5, 0.2, 5
 #: Paragraphs and headings inside an article may well be quoted or copied: only so large a share makes them template.
 PROSE, PROSE_SHARE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split()), 0.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select|button|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z", re.S | re.I)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z", re.S | re.I)
+#: One attribute after the other, its value with it, so that names inside values are none.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-GONE = frozenset("nav footer aside form head menu dialog audio video canvas fieldset input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace semantics".split())
+GONE = frozenset("nav footer aside form head menu dialog audio video canvas fieldset input annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 NAMES = frozenset(
     "nav navbar navigation menu footer sidebar aside ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond "
-    "search widget skip pagination pager copyright legal disclaimer alert toolbar topbar masthead form".split()
+    "overlay newsletter subscribe subscription signup login share sharing social related-posts recommended recommendations breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond "
+    "share-buttons ad-banner cookie-notice cookie-banner site-header site-footer widget skip pagination pager copyright legal disclaimer alert toolbar topbar masthead form".split()
 )
 #: What an opening tag ends, besides a paragraph ended by every block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that are never template as a whole.
+WHOLE = frozenset("html body main article".split())
 BARRIER = frozenset("ul ol dl table article main section div body html".split())
 
 
@@ -59,54 +69,67 @@ def _gone(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is no article text by its tag or attributes; inside: within an article."""
     if tag in GONE or (tag == "header" and not inside):
         return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif name == "role":
-            if value in ROLES:
-                return True
-        elif tag not in ("body", "html", "article", "main") and not NAMES.isdisjoint(words := re.split(r"[^a-z0-9]+", value)):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        elif "header" in words and not inside:
+        if name == "role" and value in ROLES:
             return True
+        if name in ("class", "id") and tag not in WHOLE and not (inside and tag in PROSE):
+            words = value.split()
+            if not NAMES.isdisjoint(words) or ("header" in words and not inside):
+                return True
     return False
 
 
+_MASK, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def _after(h: int, x: int) -> int:
+    h = ((h ^ x) * _FACTOR) & _MASK
+    return h ^ (h >> 29)
+
+
 def blocks(page: str, templates: frozenset[int] = frozenset(), hashes: list[int] | None = None) -> list[str]:
     """The blocks of main text; subtrees whose hash is in templates are left out. hashes gets those of all block subtrees."""
-    stack: list[list] = []  # [tag, start, first block, dropped, article depth]
-    found: list[tuple[str, int]] = []  # text of a block, 2 inside an article, 1 inside main
+    stack: list[list] = []  # [tag, first block, dropped, hash so far]
+    inner: list[list] = []  # the blocks among them
+    opened: Counter[str] = Counter()
+    found: list[tuple[str, int]] = []  # text of a block, 1 inside main
     text: list[str] = []
-    gone, kind, last = 0, [0], 0
+    gone, articles, mains, last = 0, 0, 0, 0
 
     def flush() -> None:
         if text:
             s = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if s:
-                found.append((s, kind[-1]))
+                found.append((s, mains > 0))
+                if inner:
+                    inner[-1][3] = _after(inner[-1][3], xxhash.xxh64_intdigest(s.encode("utf-8", "replace")))
 
-    def close(end: int) -> None:
-        nonlocal gone
-        tag, start, first, dropped, _ = stack.pop()
-        if tag not in INLINE:
+    def close() -> None:
+        nonlocal gone, articles, mains
+        if stack[-1][0] not in INLINE:
             flush()
-            if not gone and tag not in ("html", "body", "article", "main"):
-                h = xxhash.xxh64_intdigest(" ".join(page[start:end].split()).encode("utf-8", "replace")) - (1 << 63)
-                h = h | 1 if tag in PROSE and kind[-1] == 2 else h & ~1
-                if hashes is not None and len(found) > first:
-                    hashes.append(h)
-                if h in templates:
-                    del found[first:]
+        tag, first, dropped, h = stack.pop()
+        opened[tag] -= 1
+        if tag not in INLINE:
+            inner.pop()
+            if not gone:
+                if inner:
+                    inner[-1][3] = _after(inner[-1][3], h)
+                if tag not in WHOLE:
+                    h = (h | 1 if tag in PROSE and articles else h & ~1) - (1 << 63)
+                    if hashes is not None and len(found) > first:
+                        hashes.append(h)
+                    if h in templates:
+                        del found[first:]
         gone -= dropped
-        if tag in ("article", "main"):
-            kind.pop()
+        articles -= tag == "article"
+        mains -= tag == "main"
 
     for m in TOKEN.finditer(page):
         a, b = m.span()
@@ -118,11 +141,10 @@ def blocks(page: str, templates: frozenset[int] = frozenset(), hashes: list[int]
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    while len(stack) > i + 1:
-                        close(a)
-                    close(b)
+                    while len(stack) > i:
+                        close()
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
@@ -133,26 +155,31 @@ def blocks(page: str, templates: frozenset[int] = frozenset(), hashes: list[int]
             continue
         if tag not in INLINE:
             flush()
-            ends = ENDS.get(tag, ()) or ()
-            for i in range(len(stack) - 1, -1, -1):
+            ends = ENDS.get(tag, frozenset())
+            for i in range(len(stack) - 1, -1, -1) if opened["p"] or any(opened[x] for x in ends) else ():
                 if stack[i][0] == "p" or stack[i][0] in ends:
                     while len(stack) > i:
-                        close(a)
+                        close()
                     if stack[i - 1 : i] and stack[i - 1][0] in ends:
                         continue
                     break
                 if stack[i][0] in BARRIER:
                     break
-        if tag in ("article", "main"):
-            kind.append(max(kind[-1], 2 if tag == "article" else 1))
-        dropped = int(_gone(tag, m[4], kind[-1] == 2))
+        articles += tag == "article"
+        mains += tag == "main"
+        dropped = int(_gone(tag, m[4], articles > 0))
         gone += dropped
-        stack.append([tag, a, len(found), dropped, 0])
+        own = [tag, len(found), dropped, 0]
+        stack.append(own)
+        opened[tag] += 1
+        if tag not in INLINE:
+            own[3] = _after(1, xxhash.xxh64_intdigest(tag))
+            inner.append(own)
     if not gone and last < len(page):
         text.append(page[last:])
     flush()
     while stack:
-        close(len(page))
+        close()
     top = max((k for _, k in found), default=0)
     return [s for s, k in found if k == top]
 
@@ -179,10 +206,12 @@ def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SH
         return run
 
     own = map_slices(pages.select("host", F.col("html").alias("text")), make, "host string, page long, hashes array<bigint>")
-    different = stored(own.filter(F.size("hashes") > 0).groupBy("host", "page").agg(F.first("hashes").alias("hashes")))
+    different = stored(own.filter(F.size("hashes") > 0).groupBy("host", "page").agg(F.min("hashes").alias("hashes")))
     counts = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     totals = different.groupBy("host").agg(F.count("*").alias("pages"))
-    many = counts.join(totals, "host").filter(F.col("n") >= F.col("pages") * F.when(F.col("hash").bitwiseAND(F.lit(1)) == 1, max(share, PROSE_SHARE)).otherwise(share))
+    prose = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    enough = F.when(prose, F.col("pages") * max(share, PROSE_SHARE)).otherwise(F.least(F.col("pages") * share, ROOTS * F.sqrt("pages")))
+    many = counts.join(totals, "host").filter(F.col("n") >= enough)
     return stored(many.groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("templates")))
 
 

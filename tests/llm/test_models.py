@@ -1,7 +1,9 @@
 """Operators 1, 3, 6 and 10, and the pipeline."""
 
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -38,6 +40,104 @@ def test_page_text():
     assert page_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
 
 
+def test_attributes_are_read_one_by_one():
+    for page in ('<body class="home"><p>x</p></body>', '<html id="top"><article class="post"><p>x</p></article>', '<main id="content" class="ad"><p>x</p></main>'):
+        assert page_text(page) == "x"
+    article = "<article>%s</article>"
+    for part in ('<a href="/hidden-gems">x</a>', '<p data-id="ad">x</p>', '<p data-hidden="false">x</p>', '<p title="my id=form hidden">x</p>', "<p class='legal'>x</p>", '<p class="form-intro notice">x</p>', '<h2 id="search">x</h2>', "<div class='research-notice'>x</div>", "<p data-x=a/b class>x"):
+        assert page_text(article % part) == "x", part
+    for part in ("<p hidden>x</p>", '<div class="big ad">x</div>', "<section id=comments>x</section>", "<div role='navigation'>x</div>", '<p style="color:red; display : none">x', "<p aria-hidden=true>x</p>"):
+        assert page_text(article % part) == "", part
+    assert page_text("<p>teaser</p><article><p>a</p></article><article><p>b</p></article>") == "teaser\na\nb"
+    assert page_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "so x=2 holds"
+
+
+def test_deep_and_long_pages():
+    for tag in ("div", "b", "x", "li"):
+        began = time.time()
+        own = []
+        page = f"<{tag}>" * 10_000 + "deep<p>a</p>" + f"</{tag}>" * 10_000
+        assert " ".join(blocks(page, hashes=own)) == "deep a" and time.time() - began < 5
+    assert len(page_text("<p>word &amp; " * 100_000).split("\n")) == 100_000
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.open = [["", []]]
+
+    def handle_starttag(self, tag, attrs):
+        self.open[-1][1].append([tag, []])
+        self.open.append(self.open[-1][1][-1])
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][1].append(data)
+
+
+def _plain_main_text(pages):
+    """Two passes over trees of pages whose elements are all closed: count subtrees of each host's different pages, then print the rest."""
+    trees = []
+    for _, url, page in pages:
+        t = _Tree()
+        t.feed(page)
+        trees.append((url.split("/")[2], t.open[0]))
+
+    def text(node, gone, key, path):
+        for x in node[1]:
+            if isinstance(x, str):
+                yield " ".join(x.split())
+            elif x[0] != "nav" and key(x, path) not in gone:
+                yield from text(x, gone, key, (*path, x[0]))
+
+    def name(x):
+        return x if isinstance(x, str) else (x[0], tuple(name(y) for y in x[1] if isinstance(y, str) or y[0] != "nav"))
+
+    def key(x, path):
+        return None if x[0] in ("body", "article") else (name(x), x[0] == "p" and "article" in path)
+
+    def subtrees(x, path):
+        for y in x[1]:
+            if not isinstance(y, str) and y[0] != "nav":
+                if key(y, path) and any(text(y, (), key, path)):
+                    yield key(y, path)
+                yield from subtrees(y, (*path, y[0]))
+
+    seen, pages_of = {}, {}
+    for host, tree in trees:
+        own = "\n".join(text(tree, (), key, ()))
+        pages_of.setdefault(host, set()).add(own)
+        for k in set(subtrees(tree, ())):
+            seen.setdefault((host, k), set()).add(own)
+    out = []
+    for host, tree in trees:
+        n = len(pages_of[host])
+        gone = {k for (h, k), on in seen.items() if h == host and len(on) >= 5 and len(on) >= (n / 2 if k[1] else min(n / 5, 5 * n**0.5))}
+        out.append("\n".join(text(tree, gone, key, ())))
+    return out
+
+
+def test_main_text_equals_two_plain_passes(spark):
+    rng = random.Random(3)
+    parts = [f"<div class='c{rng.random()}'>menu {i}</div>" for i in range(6)] + [f"<p>common {i}</p>" for i in range(4)] + ["<section><p>one</p><div>two</div></section>", "<nav>home</nav>"]
+
+    def some(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            r = rng.random()
+            out.append(rng.choice(parts) if r < 0.5 else f"<p>own {rng.randint(0, 400)}</p>" if r < 0.75 or not depth else f"<{(t := rng.choice(['div', 'section']))}>{some(depth - 1)}</{t}>")
+        return "".join(out)
+
+    pages = [(i, f"https://{rng.choice('abc')}.example/{i}", f"<body>{some(2)}<article>{some(2)}</article></body>") for i in range(300)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = _plain_main_text(pages)
+    assert [got[i] for i, _, _ in pages] == want
+    alone = [page_text(page) for _, _, page in pages]
+    assert sum(a != b for a, b in zip(alone, want, strict=True)) > 100  # templates decide
+
+
 def test_template_hashes():
     own = []
     blocks("<body><div><p>a</p></div><p>b</p></body>", hashes=own)
@@ -186,4 +286,3 @@ def test_stages_on_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
-    assert random.random() >= 0
