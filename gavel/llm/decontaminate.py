@@ -1,19 +1,24 @@
 """Operator 8: benchmark decontamination by winnowing, DataFrame expressions only.
 
-A window is 13 consecutive words. Words are hashed, hashes of 12 consecutive
-words are k-grams, and the minimum k-gram hash of the k-grams inside a window
-is its fingerprint, so equal windows always have equal fingerprints. Documents
-and benchmark are joined on fingerprints; a hit is extended to its whole window
-by a hash of all 13 words that is built in another way, and windows that touch
-are united per document. Items of fewer than 13 words are one window of their
-own length; each length that occurs is looked up by a hash of so many words.
-
-The benchmark's fingerprints are broadcast only if they were counted and are
+1. Words are hashed, hashes of GRAM consecutive words are k-grams, and a document keeps the minimum
+   k-gram hash of each WINDOW of words once: its fingerprints, about 2 for 9 words. Equal windows have
+   equal minima at the same place, so documents that hold a window of the benchmark share a fingerprint with it.
+2. Fingerprints of documents and benchmark are joined. In the documents that are hit (few), the places of the
+   k-gram in document and item give a diagonal: an offset between the two.
+3. A diagonal is extended on the words themselves: document and item are laid side by side, and each run of WINDOW
+   equal words is a hit. So hashes only find candidates, and every shared window is found.
+
+Items of fewer than WINDOW words are one window of their own length; each length that occurs is looked up by a hash of
+so many words and then compared in the same way.
+
+Bounds: the benchmark's fingerprints are broadcast only if they were counted and are
 within a bound; otherwise the join is shuffled.
 
 Defined results: null and empty texts have no words (n_words 0, clean); an item
-without words is ignored; repeated documents each give the same row; equal
-items each count; other columns are ignored.
+without words is ignored; repeated documents each give the same row; rows without doc_id, and texts that share an id, are
+documents of their own; equal items each count (ties are no matter of order); an empty table of documents gives
+no rows, an empty benchmark clean ones; a very long text is one row's array; other columns, also those named like this
+operator's, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm.common import small_or_not, stored
 
-WINDOW, GRAM = 13, 12
+WINDOW, GRAM = 13, 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of what is neither an ASCII control, mark nor space; A-Z are words' characters too, lowered later.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -35,52 +40,89 @@ def _shifted(a: str, b: str, by: int, f) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(b, 1 + by, n), f)
 
 
-def _word_hash(w: Column) -> Column:
-    return F.xxhash64(F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER)))
+def _lowered(w: Column) -> Column:
+    return F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
 
 
-def _hashed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and h: the hash of each word."""
-    return df.select(*keys, F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), _word_hash).alias("h"))
+def _words() -> Column:
+    return F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
 
 
-def _windows(hashed: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each window of 13 words: keys, start, fp, win."""
-    both, low = (lambda x, y: F.xxhash64(x, y)), (lambda x, y: F.least(x, y))
-    df = hashed.filter(F.size("h") >= WINDOW)
+def _grams(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, h (the hash of each word) and g (that of GRAM words from there) of rows with text."""
+    both = lambda x, y: F.xxhash64(x, y)
+    df = _hashes(df, keys)
     df = df.select(*keys, "h", _shifted("h", "h", 1, both).alias("g2"))
-    df = df.select(*keys, "h", _shifted("g2", "g2", 2, both).alias("g4"))
-    df = df.select(*keys, "h", "g4", _shifted("g4", "g4", 4, both).alias("g8"))
-    df = df.select(*keys, "h", _shifted("g8", "g4", GRAM - 4, both).alias("g"))
-    df = df.select(*keys, _shifted("g", "h", GRAM, both).alias("win"), _shifted("g", "g", 1, low).alias("fp"))
-    return df.select(*keys, F.posexplode(F.arrays_zip("fp", "win")).alias("start", "x")).select(*keys, "start", F.col("x.fp").alias("fp"), F.col("x.win").alias("win"))
+    df = df.select(*keys, "h", "g2", _shifted("g2", "g2", 2, both).alias("g4"))
+    return df.select(*keys, "h", _shifted("g4", "g2", GRAM - 2, both).alias("g"))
+
+
+def fingerprints(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_words and the distinct fingerprints of each row's text."""
+    low = lambda x, y: F.least(x, y)
+    df = _grams(df, keys).select(*keys, F.greatest(F.size("h"), F.lit(0)).cast("long").alias("n_words"), "g")
+    for by in (1, 2, WINDOW - GRAM + 1 - 4):  # minima of 2, 4 and all 8 k-grams of a window
+        df = df.select(*keys, "n_words", _shifted("g", "g", by, low).alias("g"))
+    return df.select(*keys, "n_words", F.array_distinct("g").alias("prints"))
+
+
+def _hashes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and h: the hash of each word."""
+    return df.select(*keys, F.transform(_words(), lambda w: F.xxhash64(_lowered(w))).alias("h"))
 
 
 def _short(hashed: DataFrame, keys: list[str], words: int) -> DataFrame:
-    """A row for each run of so many words: keys, start, win."""
+    """A row for each run of so many words: keys, at, win."""
     runs = F.transform(F.sequence(F.lit(1), F.size("h") - words + 1), lambda i: F.xxhash64(F.lit(words), F.slice("h", i, words)))
-    return hashed.filter(F.size("h") >= words).select(*keys, F.posexplode(runs).alias("start", "win"))
+    return hashed.filter(F.size("h") >= words).select(*keys, F.posexplode(runs).alias("at", "win"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_hash"].eqNullSafe(b["text_hash"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
     keys = ["doc_id", "text_hash"]
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    items = stored(_hashed(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"), ["item_id"]).filter(F.size("h") > 0))
-    tests = _windows(items, ["item_id"])
-    short = [r[0] for r in items.filter(F.size("h") < WINDOW).select(F.size("h").alias("n")).distinct().orderBy("n").collect()]  # 12 values at most
-
-    hashed = _hashed(docs, keys)
-    prints = small_or_not(tests.select("fp").distinct())
-    hits = _windows(hashed, keys).join(prints, "fp", "left_semi").join(small_or_not(tests.select("fp", "win").distinct()), ["fp", "win"], "left_semi").select(*keys, "win", (F.col("start").cast("long") * 16 + WINDOW).alias("span"))
-    members = tests.select("win", "item_id")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", F.transform(_words(), _lowered).alias("item_words"))
+    items = stored(items.filter(F.size("item_words") > 0).select(F.xxhash64("item_id", "text").alias("item"), "*").distinct())
+    long = items.filter(F.size("item_words") >= WINDOW)
+    short = [r[0] for r in items.filter(F.size("item_words") < WINDOW).select(F.size("item_words").alias("n")).distinct().orderBy("n").collect()]  # 12 values at most
+
+    # which documents share a fingerprint with which items
+    # arrays are stored before they are exploded, or the filter on their size would compute each array again, level by level
+    tests = stored(fingerprints(long, ["item"])).select("item", F.explode("prints").alias("print"))
+    read = stored(fingerprints(docs, keys))
+    hits = stored(read.select(*keys, F.explode("prints").alias("print")).join(small_or_not(tests.select("print").distinct()), "print", "left_semi"))
+    hit = small_or_not(stored(hits.select(*keys).distinct()))
+    own = stored(docs.join(hit, _same(docs, hit), "left_semi").distinct())
+    # where: the diagonals of document and item, 0 where both begin together
+    places = stored(_grams(own, keys)).select(*keys, F.posexplode("g").alias("at", "print")).join(small_or_not(hits.select("print").distinct()), "print", "left_semi")
+    marks = stored(_grams(long, ["item"])).select("item", F.posexplode("g").alias("item_at", "print")).join(tests, ["item", "print"], "left_semi")
+    diagonals = places.join(small_or_not(marks), "print").select(*keys, "item", (F.col("at") - F.col("item_at")).alias("by"))
+    hashed = stored(_hashes(docs, keys)) if short else None
     for n in short:
-        own = _short(items.filter(F.size("h") == n), ["item_id"], n)
-        members = members.unionByName(own.select("win", "item_id"))
-        hits = hits.unionByName(_short(hashed, keys, n).join(small_or_not(own.select("win").distinct()), "win", "left_semi").select(*keys, "win", (F.col("start").cast("long") * 16 + n).alias("span")))
+        tiny = items.filter(F.size("item_words") == n)
+        found = _short(hashed, keys, n).join(small_or_not(_short(stored(_hashes(tiny, ["item"])), ["item"], n).select("item", "win")), "win")
+        diagonals = diagonals.unionByName(found.select(*keys, "item", F.col("at").alias("by")))
+    diagonals = stored(diagonals.distinct())
+
+    # the words side by side, and each run of a window's words that are equal
+    hit = small_or_not(stored(diagonals.select(*keys).distinct())) if short else hit
+    words = docs.join(hit, _same(docs, hit), "left_semi").distinct().select(*keys, F.transform(_words(), _lowered).alias("words"))
+    side = words.join(diagonals, _same(words, diagonals)).select(words["doc_id"], words["text_hash"], "item", "by", F.slice("words", F.greatest("by", F.lit(0)) + 1, F.lit(1 << 30)).alias("words"))
+    side = side.join(small_or_not(items.select("item", "item_id", "item_words")), "item")
+    equal = F.zip_with("words", F.slice("item_words", F.greatest(-F.col("by"), F.lit(0)) + 1, F.lit(1 << 30)), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    side = side.withColumn("words", F.slice("words", 1, F.size("item_words")))
+    need = F.least(F.size("item_words"), F.lit(WINDOW))
+    side = side.select(*keys, "item_id", need.alias("need"), F.greatest("by", F.lit(0)).cast("long").alias("start"), equal.alias("equal")).filter(F.size("equal") >= F.col("need"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("equal") - F.col("need") + 1), lambda i: F.forall(F.slice("equal", i, F.col("need")), lambda x: x))
+    # start and length are packed in a long, so sorting is by start
+    spans = F.transform(starts, lambda i: (F.col("start") + i - 1) * 16 + F.col("need"))
+    side = side.select(*keys, "item_id", spans.alias("spans")).filter(F.size("spans") > 0)
+    found = stored(side.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids")))
 
-    # one row for each document that has hits; start and length are packed in a long, so sorting is by start
-    found = stored(hits.groupBy(*keys).agg(F.collect_set("span").alias("spans"), F.collect_set("win").alias("wins")))
     size = lambda x: x.bitwiseAND(F.lit(15))
     start = lambda x: F.shiftright(x, 4)
     covered = F.aggregate(
@@ -89,13 +131,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda a, x: F.struct(F.greatest(a["end"], start(x) + size(x)).alias("end"), (a["n"] + F.greatest(F.lit(0), start(x) + size(x) - F.greatest(a["end"], start(x)))).alias("n")),
         lambda a: a["n"],
     )
-    named = found.select(*keys, F.explode("wins").alias("win")).join(small_or_not(members.distinct()), "win").groupBy(*keys).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_hash"].eqNullSafe(b["text_hash"])
-    spans = found.select(*keys, covered.alias("n_hit"))
-    both = spans.join(named, same(spans, named)).select(spans["doc_id"], spans["text_hash"], "n_hit", "item_ids")
-    n_words = docs.select(*keys, F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("n_words"))
-    n_words = n_words.withColumn("n_words", F.greatest("n_words", F.lit(0)))
-    joined = n_words.join(both, same(n_words, both), "left").select(n_words["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    both = small_or_not(found.select(*keys, covered.alias("n_hit"), "item_ids"))
+    joined = read.join(both, _same(read, both), "left").select(read["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     return joined.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "item_ids",
