@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from gavel.functions.text import PRE_TOKEN, marker_pattern, pre_tokens, split_markers
+from gavel.functions.text import PRE_TOKEN, marker_pattern
 
 CONTROL, USER_DEFINED = 3, 4
 
@@ -155,23 +155,13 @@ def ids_of(piece: Column, vocabulary: Vocabulary) -> Column:
 
 
 def encode_table(df: DataFrame, key: str, text: str, vocabulary: Vocabulary, special: bool = True) -> DataFrame:
-    """(key, tokens) for each row: split and pre-tokenize natively, merge each distinct piece once, join back, put in order.
-
-    key must tell rows apart. A null text has null tokens.
-    """
-    markers = vocabulary.markers
-    parts = F.transform(split_markers(text, markers) if markers else F.array(text), lambda p: F.when(p.isin(*markers), F.array(p)).otherwise(pre_tokens(p)) if markers else pre_tokens(p))
-    rows = df.select(key, F.posexplode(F.flatten(parts)).alias("pos", "piece"))
-    ids = rows.select("piece").distinct().select("piece", F.when(F.col("piece").isin(*markers), F.lit(True)).otherwise(False).alias("marker") if markers else F.lit(False).alias("marker"))
-    known = F.create_map(*[F.lit(x) for m in markers for x in (m, vocabulary.ids[m])]) if markers else None
-    merged = ids_of(F.when(~F.col("marker"), F.col("piece")), vocabulary)
-    ids = ids.select("piece", F.when(F.col("marker"), F.array(known[F.col("piece")])).otherwise(merged).alias("ids") if markers else merged.alias("ids"))
-    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]))
-    found = rows.join(ids, "piece").groupBy(key).agg(in_order.alias("tokens"))
-    first = F.array(F.lit(vocabulary.bos)) if special and vocabulary.add_bos else F.array().cast("array<int>")
-    last = F.array(F.lit(vocabulary.eos)) if special and vocabulary.add_eos else F.array().cast("array<int>")
-    joined = df.select(key, F.col(text).isNotNull().alias("_there")).join(found, key, "left")
-    return joined.select(key, F.when(F.col("_there"), F.concat(first, F.coalesce("tokens", F.array().cast("array<int>")), last)).alias("tokens"))
+    """(key, tokens) for each row, without a shuffle: a worker remembers the pieces it has merged. A null text has null tokens."""
+
+    @pandas_udf("array<int>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: vocabulary.encode(t, special), na_action="ignore")
+
+    return df.select(key, tokens(text).alias("tokens"))
 
 
 def derive_merges(pieces: list[str]) -> list[tuple[str, str]]:

@@ -59,28 +59,24 @@ def _nibbles(q: np.ndarray) -> np.ndarray:
     return np.concatenate([q & 15, q >> 4], axis=-1).astype(np.int32)
 
 
-_BYTE = np.arange(256)
-
-
-def _table(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The value of each byte's low and high nibble."""
-    values = np.asarray(values, np.float32)
-    return values[_BYTE & 15], values[_BYTE >> 4]
+def _codes(q: np.ndarray) -> np.ndarray:
+    """All low nibbles, then all high ones, as bytes: they become floats in the one step that scales them."""
+    k = q.shape[-1]
+    out = np.empty((*q.shape[:-1], 2 * k), np.uint8)
+    np.bitwise_and(q, 15, out=out[..., :k])
+    np.right_shift(q, 4, out=out[..., k:])
+    return out
 
 
-_PLAIN, _LESS_8, _LESS_16 = _table(np.arange(16)), _table(np.arange(16) - 8), _table(np.arange(16) - 16)
-_FIFTH = (((_BYTE[:, None] >> np.arange(8)) & 1) * 16).astype(np.float32)
+def _less(codes: np.ndarray, by: int) -> np.ndarray:
+    codes -= np.uint8(by)
+    return codes.view(np.int8)
 
 
-_TOP_BITS = (((_BYTE[:, None] >> (2 * np.arange(4))) & 3) * 16).astype(np.float32)
-
-
-def _nibble_values(q: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The values of all low nibbles, then of all high ones."""
-    k = q.shape[-1]
-    out = np.empty((*q.shape[:-1], 2 * k), np.float32)
-    out[..., :k], out[..., k:] = table[0][q], table[1][q]
-    return out
+def _looked_up(q: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of a 16-entry codebook, in the order of _codes."""
+    codes = _codes(q)
+    return np.frombuffer(codes.tobytes().translate(values.astype(np.int8).tobytes().ljust(256, b"\0")), np.int8).reshape(codes.shape)
 
 
 def _bits(x: np.ndarray, n: int) -> np.ndarray:
@@ -97,19 +93,23 @@ def _bf16(b):
 
 def _q4(at: int, offset: bool):
     def f(b):
-        x = _nibble_values(b[:, at:], _PLAIN if offset else _LESS_8)
-        x *= _half(b, 0)
-        return np.add(x, _half(b, 2), out=x) if offset else x
+        c = _codes(b[:, at:])
+        if not offset:
+            return _half(b, 0) * _less(c, 8)
+        x = _half(b, 0) * c
+        return np.add(x, _half(b, 2), out=x)
 
     return f
 
 
 def _q5(at: int, offset: bool):
     def f(b):
-        x = _nibble_values(b[:, at + 4 :], _PLAIN if offset else _LESS_16)
-        x += _FIFTH[b[:, at : at + 4]].reshape(len(b), 32)
-        x *= _half(b, 0)
-        return np.add(x, _half(b, 2), out=x) if offset else x
+        c = _codes(b[:, at + 4 :])
+        c |= np.unpackbits(b[:, at : at + 4], axis=1, bitorder="little") << 4
+        if not offset:
+            return _half(b, 0) * _less(c, 16)
+        x = _half(b, 0) * c
+        return np.add(x, _half(b, 2), out=x)
 
     return f
 
@@ -150,22 +150,21 @@ def _q45_k(fifth: bool):
     def f(b):
         scale, least = _six_bits(b[:, 4:16])
         at = 48 if fifth else 16
-        q = _nibble_values(b[:, at : at + 128].reshape(len(b), 4, 32), _PLAIN).reshape(len(b), 8, 32)
+        c = _codes(b[:, at : at + 128].reshape(len(b), 4, 32)).reshape(len(b), 8, 32)
         if fifth:
-            q += _FIFTH[b[:, 16:48]].transpose(0, 2, 1)
-        q *= (_half(b, 0) * scale)[:, :, None]
-        q -= (_half(b, 2) * least)[:, :, None]
-        return q.reshape(len(b), 256)
+            c |= ((b[:, None, 16:48] >> np.arange(8, dtype=np.uint8)[:, None]) & 1) << 4
+        x = (_half(b, 0) * scale)[:, :, None] * c
+        x -= (_half(b, 2) * least)[:, :, None]
+        return x.reshape(len(b), 256)
 
     return f
 
 
 def _q6_k(b):
-    x = _nibble_values(b[:, :128].reshape(len(b), 2, 64), _table(np.arange(16) - 32)).reshape(len(b), 2, 4, 32)
-    x += _TOP_BITS[b[:, 128:192]].reshape(len(b), 2, 32, 4).transpose(0, 1, 3, 2)
-    x = x.reshape(len(b), 16, 16)
-    x *= (_half(b, 208) * b[:, 192:208].view(np.int8))[:, :, None]
-    return x.reshape(len(b), 256)
+    c = _codes(b[:, :128].reshape(len(b), 2, 64)).reshape(len(b), 2, 4, 32)
+    c |= ((b[:, 128:192].reshape(len(b), 2, 1, 32) >> (2 * np.arange(4, dtype=np.uint8))[:, None]) & 3) << 4
+    scale = _half(b, 208) * b[:, 192:208].view(np.int8)
+    return (scale[:, :, None] * _less(c, 32).reshape(len(b), 16, 16)).reshape(len(b), 256)
 
 
 def signs(mask: np.ndarray) -> np.ndarray:
@@ -235,17 +234,14 @@ def _iq1_m(b):
 
 
 def _iq4_nl(b):
-    x = _nibble_values(b[:, 2:], _table(IQ4_VALUES))
-    x *= _half(b, 0)
-    return x
+    return _half(b, 0) * _looked_up(b[:, 2:], IQ4_VALUES)
 
 
 def _iq4_xs(b):
     high = (_u(b, 2, "<u2").astype(np.int32) >> (2 * np.arange(8))) & 3
     scale = (_nibble_scales(b[:, 4:8]).astype(np.int32) | (high << 4)) - 32
-    q = _nibble_values(b[:, 8:].reshape(len(b), 8, 16), _table(IQ4_VALUES))
-    q *= (_half(b, 0) * scale)[:, :, None]
-    return q.reshape(len(b), 256)
+    q = _looked_up(b[:, 8:].reshape(len(b), 8, 16), IQ4_VALUES)
+    return ((_half(b, 0) * scale).astype(np.float32)[:, :, None] * q).reshape(len(b), 256)
 
 
 def _tq1_0(b):
@@ -265,9 +261,7 @@ def half_power(e: np.ndarray) -> np.ndarray:
 
 
 def _mxfp4(b):
-    x = _nibble_values(b[:, 1:], _table(MXFP4_VALUES))
-    x *= half_power(b[:, :1])
-    return x
+    return half_power(b[:, :1]) * _looked_up(b[:, 1:], MXFP4_VALUES)
 
 
 DECODERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
@@ -326,6 +320,49 @@ def encode_q4_0(x: np.ndarray) -> bytes:
     return np.concatenate([d.astype("<f2").view(np.uint8), q[:, :16] | (q[:, 16:] << 4)], 1).tobytes()
 
 
+def _offset_blocks(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scale, least value and codes 0 to top of blocks of 32, each from its least to its greatest value."""
+    least = x.min(1, keepdims=True)
+    d = (x.max(1, keepdims=True) - least) / np.float32(top)
+    q = np.clip(np.floor(np.divide(x - least, d, out=np.zeros_like(x), where=d > 0) + np.float32(0.5)), 0, top)
+    return d, least, q.astype(np.uint8)
+
+
+def _packed(q: np.ndarray, *head: np.ndarray, fifth: bool = False) -> bytes:
+    """Head fields, the fifth bits of the codes if they have them, then their nibbles."""
+    parts = [x.astype("<f2").view(np.uint8) for x in head]
+    if fifth:
+        parts.append(np.packbits(q >> 4, axis=1, bitorder="little"))
+    return np.concatenate([*parts, (q[:, :16] & 15) | ((q[:, 16:] & 15) << 4)], 1).tobytes()
+
+
+def encode_q4_1(x: np.ndarray) -> bytes:
+    d, least, q = _offset_blocks(np.asarray(x, np.float32).reshape(-1, 32), 15)
+    return _packed(q, d, least)
+
+
+def encode_q5_1(x: np.ndarray) -> bytes:
+    d, least, q = _offset_blocks(np.asarray(x, np.float32).reshape(-1, 32), 31)
+    return _packed(q, d, least, fifth=True)
+
+
+def encode_q5_0(x: np.ndarray) -> bytes:
+    """The value of greatest size becomes -16."""
+    x = np.asarray(x, np.float32).reshape(-1, 32)
+    d = np.take_along_axis(x, np.abs(x).argmax(1)[:, None], 1) / np.float32(-16)
+    q = np.clip(np.floor(np.divide(x, d, out=np.zeros_like(x), where=d != 0) + np.float32(16.5)), 0, 31).astype(np.uint8)
+    return _packed(q, d, fifth=True)
+
+
+def encode_mxfp4(x: np.ndarray) -> bytes:
+    """A power of two that brings the greatest size to the codebook's top binade; the nearest code, the first of equals."""
+    x = np.asarray(x, np.float32).reshape(-1, 32)
+    top = np.abs(x).max(1, keepdims=True)
+    e = np.clip(np.where(top > 0, np.frexp(top)[1] - 1 - 2 + 127, 0), 0, 254).astype(np.uint8)
+    q = np.abs((x / half_power(e))[:, :, None] - MXFP4_VALUES).argmin(2).astype(np.uint8)
+    return np.concatenate([e, (q[:, :16] & 15) | (q[:, 16:] << 4)], 1).tobytes()
+
+
 def encode(kind: str, x: np.ndarray) -> bytes:
     x = np.asarray(x, np.float32).ravel()
     if kind == "F32":
@@ -334,6 +371,7 @@ def encode(kind: str, x: np.ndarray) -> bytes:
         return x.astype("<f2").tobytes()
     if kind == "BF16":
         return ((x.view(np.uint32) + 0x7FFF + ((x.view(np.uint32) >> 16) & 1)) >> 16).astype("<u2").tobytes()
-    if kind in ("Q8_0", "Q4_0"):
-        return {"Q8_0": encode_q8_0, "Q4_0": encode_q4_0}[kind](x)
+    blocks = {"Q8_0": encode_q8_0, "Q4_0": encode_q4_0, "Q4_1": encode_q4_1, "Q5_0": encode_q5_0, "Q5_1": encode_q5_1, "MXFP4": encode_mxfp4}
+    if kind in blocks:
+        return blocks[kind](x)
     raise ValueError(f"no encoder for {kind}")

@@ -69,9 +69,9 @@ def marker_pattern(markers=MARKERS) -> str:
 def split_markers(text: Column | str, markers=MARKERS) -> Column:
     """The text in parts: control markers, wherever they stand, and what is between them."""
     col = F.col(text) if isinstance(text, str) else text
-    cut = "\ue000"  # private use: stands for the cut
-    marked = F.regexp_replace(F.replace(col, F.lit(cut), F.lit("")), f"({marker_pattern(markers)})", f"{cut}$1{cut}")
-    return F.filter(F.split(marked, cut), lambda x: x != "")
+    # a marker, or all up to the next one; possessive, so that long texts need no stack
+    parts = F.regexp_extract_all(col, F.lit(f"(?s)(?:{marker_pattern(markers)})|(?:(?!{marker_pattern(markers)}).)++"), F.lit(0))
+    return F.when(col == "", F.array().cast("array<string>")).when(has_marker(col, markers), parts).otherwise(F.array(col))
 
 
 def has_marker(text: Column | str, markers=MARKERS) -> Column:

@@ -192,7 +192,9 @@ def gather_rows(spark, sf_dir):
     """Embedding rows of token ids, joined before anything is computed; an id out of range is an error."""
     v = _v(spark, sf_dir)
     tokens = v.select(F.col("vec_id").alias("pos"), (F.col("vec_id") * 7 % 50).alias("vec_id"))
-    return tokens.join(v.select("vec_id", "x"), "vec_id").select("pos", F.col("vec_id").alias("token"), V.rounded(V.total(F.col("x"))).alias("row_sum"))
+    rows = tokens.join(v.select("vec_id", "x"), "vec_id", "left")
+    x = F.when(F.col("x").isNull(), F.raise_error(F.concat(F.lit("no row for token "), F.col("vec_id").cast("string"))).cast("array<double>")).otherwise(F.col("x").cast("array<double>"))
+    return rows.select("pos", F.col("vec_id").alias("token"), V.rounded(V.total(x)).alias("row_sum"))
 
 
 def parity_report_full(spark, sf_dir):

@@ -132,3 +132,27 @@ def test_strict_rendering_fails(spark):
     with pytest.raises(Exception):  # noqa: B017
         text.render_conversations(turns, strict=True).collect()
     assert text.render_conversations(turns).first()["error"] == "unknown role: tool"
+
+
+def test_split_markers_keeps_every_character(spark):
+    from gavel.functions import text as T
+
+    texts = ["a\ue000b", "", "[INST]x[/INST]\n", "[INST][INST]", "plain \U0001f6a8", "x" * 200_000 + "[INST]" + "y\n" * 100_000, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["p"] for r in df.select("k", T.split_markers("t").alias("p")).collect()}
+    assert got[0] == ["a\ue000b"] and got[1] == [] and got[2] == ["[INST]", "x", "[/INST]", "\n"] and got[3] == ["[INST]", "[INST]"]
+    assert all("".join(got[i]) == t for i, t in enumerate(texts) if t is not None) and len(got[5]) == 3
+
+
+def test_encoders_round_trip():
+    from gavel.functions.quant import decode, encode
+
+    x = np.random.default_rng(1).standard_normal((50, 32)).astype(np.float32)
+    x[3] = 0
+    span = x.max(1, keepdims=True) - x.min(1, keepdims=True)
+    top = np.abs(x).max(1, keepdims=True)
+    for kind, step in {"Q4_1": span / 15, "Q5_1": span / 31, "Q5_0": top / 16, "Q4_0": top / 8, "Q8_0": top / 127, "MXFP4": top / 2}.items():
+        y = decode(kind, encode(kind, x.ravel())).reshape(x.shape)
+        assert (np.abs(x - y) <= step * 1.03 + 1e-3 * top).all() and (y[3] == 0).all(), kind
+        again = decode(kind, encode(kind, y.ravel())).reshape(x.shape)
+        assert np.allclose(again, y, atol=float(top.max()) * 2e-3), kind

@@ -126,7 +126,8 @@ def test_prefix(tiny_model, tmp_path):
     with_, without = Moderator(tiny_model), Moderator(tiny_model, use_prefix=False)
     p = cli.render("i", "q", "the document")
     a, b = with_.verdict(p), without.verdict(p)
-    assert a[:3] == pytest.approx(b[:3], abs=1e-6) and a[4] == len(with_.prefix.tokens) and b[4] == 0
+    # float32 sums are rounded in another order when the prefix is not in the same batch
+    assert a[:3] == pytest.approx(b[:3], abs=1e-5) and a[4] == len(with_.prefix.tokens) and b[4] == 0
     assert with_.verdict("no prefix")[4] == 0
     path = str(tmp_path / "prefix")
     with_.prefix.save(path)
