@@ -23,22 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (local tests)."""
+    """The cluster's shared folder; one of this machine only where none is named and all runs on this machine (local tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gavel-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, lost executors cost nothing."""
+    """Write df to the shared folder and read it again: lineage ends there, lost executors cost nothing.
+
+    A result reads such tables when it is computed, so they stay until clear_stored() is called.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gavel-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Remove all tables that stored() has written to the shared folder; call it when results have been read."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "gavel-*")) or ():
+        files.delete(found.getPath(), True)
+
+
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if its counted rows are within the bound, else leave the join to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

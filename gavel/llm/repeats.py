@@ -21,7 +21,8 @@ A byte is removed if it is in a string of WINDOW bytes that also starts earlier
 Lists that are sent to all tasks are counted first (SENT at most); longer ones
 are joined. Defined results: null or empty texts have 0 bytes; equal rows of one
 id are one document and give equal rows; different texts of one id are ordered
-by their hash; a null id counts as the largest; other columns are ignored.
+by their hash (so ties have one order); a null id counts as the largest; an empty table gives no rows; a very long text is
+cut into contexts as any other; other columns are ignored, or passed through where asked for, also those named like this operator's own.
 """
 
 from __future__ import annotations
@@ -262,10 +263,12 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, window: in
     columns = columns or ["doc_id"]
     spans = repeated_spans(docs, window, gram, most)
     others = [c for c in columns if c not in ("doc_id", "text")]
-    own = docs.select(*[F.col(c) for c in others], "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), "text")
-    joined = own.join(spans, (own["_key"] == spans["key"]) & (own["_hash"] == spans["text_hash"]), "left").select("doc_id", *others, "spans", "text")
+    # the input's columns may have any name, so they go by their place here
+    hidden = [f"_o{i}" for i in range(len(others))]
+    own = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(others, hidden, strict=True)], "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), "text")
+    joined = own.join(spans, (own["_key"] == spans["key"]) & (own["_hash"] == spans["text_hash"]), "left").select("doc_id", *hidden, "spans", "text")
     kinds = dict(docs.dtypes)
-    names = ["doc_id", *others, "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["doc_id", *hidden, "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -284,5 +287,6 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, window: in
 
         return run
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ["doc_id", *others]] + ["text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    return map_slices(joined, make, schema)
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", *[f"{h} {kinds[c]}" for c, h in zip(others, hidden, strict=True)], "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
+    out = map_slices(joined, make, schema)
+    return out.select("doc_id", *[F.col(h).alias(c) for c, h in zip(others, hidden, strict=True)], *[c for c in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256") if c not in others])

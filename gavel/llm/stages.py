@@ -1,4 +1,11 @@
-"""The corpus pipeline's stages: each takes (spark, docs, sf_dir), works on all of docs and returns a table."""
+"""The corpus pipeline's stages: each takes (spark, docs, sf_dir), works on all of docs and returns a table.
+
+Defined results of every stage: an empty table gives an empty one; a null or empty text is a text of no bytes, words and
+shingles (its quality is scored, it links with nothing and is clean); rows of one doc_id are decided together by the join and by
+decontamination, and each by its own text by the classifier and the removal of repeats; a row without doc_id is never
+dropped but by the classifier; of equal documents that with the smallest id stays; a very long text is worked on whole;
+other columns, also those named like an operator's, pass through as they are.
+"""
 
 from __future__ import annotations
 

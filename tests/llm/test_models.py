@@ -286,3 +286,29 @@ def test_stages_on_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+    from gavel.llm.common import clear_stored, shared_dir
+
+    good = next(r["text"] for r in keep_good(_docs(spark).limit(200), fit_quality(_docs(spark), _docs(spark, "labels"))).filter("length(text) > 600").collect())
+    other = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, good), (2, good), (2, good), (3, None), (4, ""), (None, other), (5, other), (6, good + " " + other), (7, "x " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars", "1 token", "2 comp", "3 key", "'h' hash", "4 n", "5 spans")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / str(i)))
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        if i < 4:
+            assert out.columns == docs.columns
+        ids = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in out.select("doc_id").collect())
+        want = {1: [-1, 1, 3, 4, 5, 6, 7], 2: [-1, 1, 2, 2, 3, 4, 5, 6, 7], 3: [-1, 1, 2, 2, 3, 4, 5, 6, 7], 4: [-1, 1, 2, 2, 3, 4, 5, 6, 7]}
+        assert i == 0 or ids == want[i], name
+        if i == 2:
+            left = {(r["doc_id"], r["text"]) for r in out.collect()}
+            assert {(1, good), (2, ""), (3, None), (4, ""), (5, other), (None, "")} <= left
+    clear_stored(spark)
+    import os
+
+    assert not [x for x in os.listdir(shared_dir(spark)) if x.startswith("gavel-")]
