@@ -3,7 +3,8 @@
 The classic algorithm scans one suffix at a time; here a bucket at a time is
 induced with array operations, which gives the same order: within a bucket the
 entries placed by smaller characters come first and in scan order, and those
-that the bucket places into itself follow in rounds.
+that the bucket places into itself follow in rounds. Names of the reduced string
+are written as two digits where there are many, so that buckets stay few.
 """
 
 from __future__ import annotations
@@ -12,101 +13,119 @@ import numpy as np
 
 from gavel.llm.hashing import _BASE, _BYTES, _INVERSE, _powers, mix
 
-#: Alphabets larger than this are sorted by doubling instead of bucket by bucket.
-BUCKETS = 4_096
+#: Reduced strings with more names than this are written in two digits a name, if that is still shorter than the string above.
+BUCKETS = 1_024
+#: Strings up to this long are induced one suffix at a time.
+SHORT = 1 << 15
 
 
 def _classify(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last suffix is larger (the end is smallest)."""
     n = len(t)
     s = np.zeros(n, bool)
-    if n > 1:
-        rise = t[:-1] < t[1:]
-        differ = np.flatnonzero(t[:-1] != t[1:])
+    differ = np.flatnonzero(t[:-1] != t[1:])
+    if len(differ):
         # a run of equal characters has the class of its last one
-        nxt = np.searchsorted(differ, np.arange(n - 1))
-        known = nxt < len(differ)
-        s[:-1][known] = rise[differ[nxt[known]]]
+        s[: differ[-1] + 1] = np.repeat(t[differ] < t[differ + 1], np.diff(differ, prepend=-1))
     return s
 
 
+def _place(sa: np.ndarray, t: np.ndarray, j: np.ndarray, at: np.ndarray, step: int) -> None:
+    """Put suffixes j, in order, at the pointers of their characters' buckets, which move by step (1 or -1)."""
+    n = len(j)
+    if not n:
+        return
+    c = t[j]
+    order = c.argsort(kind="stable")
+    c = c[order]
+    edge = np.ones(n + 1, bool)
+    np.not_equal(c[1:], c[:-1], out=edge[1:n])
+    cut = edge.nonzero()[0]
+    first = cut[:-1]
+    size, buckets = cut[1:] - first, c[first]
+    free = at[buckets]
+    sa[(free - step * first).repeat(size) + np.arange(0, step * n, step)] = j[order]
+    at[buckets] = free + step * size
+
+
+def _induce_small(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
+    """_induce as the plain scan over positions, which is faster for short strings with many buckets."""
+    n = len(t)
+    end = np.cumsum(np.bincount(t, minlength=sigma))
+    head, tail = [0, *end[:-1].tolist()], end.tolist()
+    t, small, sa = t.tolist(), small.tolist(), [-1] * n
+    for j in reversed(seeds.tolist()):
+        tail[t[j]] -= 1
+        sa[tail[t[j]]] = j
+    seeded = set(seeds.tolist())
+    sa_at = head[t[-1]]
+    head[t[-1]] += 1
+    sa[sa_at] = n - 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not small[j]:
+            sa[head[t[j]]] = j
+            head[t[j]] += 1
+        if sa[i] in seeded:
+            sa[i] = -1
+    tail = end.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small[j]:
+            tail[t[j]] -= 1
+            sa[tail[t[j]]] = j
+    return np.array(sa, seeds.dtype)
+
+
 def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
     """Order of all suffixes, given leftmost-smaller suffixes (or substrings) in order of their rank."""
     n = len(t)
-    at = t[seeds]
-    cut = np.searchsorted(at[order := np.argsort(at, kind="stable")], np.arange(sigma + 1))
+    if n <= SHORT:
+        return _induce_small(t, small, seeds, sigma)
+    size = np.bincount(t, minlength=sigma)
+    end = np.cumsum(size)
+    begin = end - size
+    cut = np.searchsorted(t[seeds[order := np.argsort(t[seeds], kind="stable")]], np.arange(sigma + 1))
     seeds = seeds[order]
-    prev_ok = np.empty(n, bool)
-    prev_ok[0] = False
-    prev_ok[1:] = ~small[:-1]
-    large: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    large[t[n - 1]].append(np.array([n - 1], seeds.dtype))  # induced by the end
-
-    def place(into: list[list[np.ndarray]], j: np.ndarray, own: int) -> np.ndarray:
-        """Put suffixes j, in order, into the buckets of their characters; those of bucket own come back."""
-        c = t[j]
-        if not len(j):
-            return j
-        mine = c == own
-        rest, c = j[~mine], c[~mine]
-        if len(rest):
-            order = np.argsort(c, kind="stable")
-            rest, c = rest[order], c[order]
-            edges = np.flatnonzero(c[1:] != c[:-1]) + 1
-            starts = [0, *edges.tolist()]
-            for a, b in zip(starts, [*starts[1:], len(rest)], strict=True):
-                into[c[a]].append(rest[a:b])
-        return j[mine]
-
-    done_large: list[np.ndarray] = [None] * sigma
-    for c in range(sigma):
-        i = 0
-        while i < len(large[c]):
-            j = large[c][i]
-            j = j[prev_ok[j]] - 1
-            back = place(large, j, c)
-            if len(back):
-                large[c].append(back)
-            i += 1
-        done_large[c] = np.concatenate(large[c]) if large[c] else seeds[:0]
-        large[c] = []
+    sa = np.empty(n, seeds.dtype)
+    used = np.flatnonzero(size)
+    large_before = np.zeros(n, bool)
+    large_before[1:] = ~small[:-1]
+    head = begin.copy()
+    sa[head[t[n - 1]]] = n - 1  # induced by the end
+    head[t[n - 1]] += 1
+    for c in used.tolist():
+        i = begin[c]
+        while i < head[c]:
+            j = sa[i : head[c]]
+            i = head[c]
+            _place(sa, t, j[large_before[j]] - 1, head, 1)
         j = seeds[cut[c] : cut[c + 1]]
-        place(large, j[prev_ok[j]] - 1, c)
-    prev_ok[1:] = small[:-1]
-    smalls: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    out: list[np.ndarray] = [None] * sigma
-    for c in range(sigma - 1, -1, -1):  # everything runs from the right end
-        i = 0
-        while i < len(smalls[c]):
-            j = smalls[c][i]
-            back = place(smalls, j[prev_ok[j]] - 1, c)
-            if len(back):
-                smalls[c].append(back)
-            i += 1
-        j = done_large[c][::-1]
-        place(smalls, j[prev_ok[j]] - 1, c)
-        out[c] = np.concatenate([done_large[c], *[x[::-1] for x in reversed(smalls[c])]])
-        smalls[c] = []
-    return np.concatenate(out)
-
-
-def _doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet, by doubling ranks."""
-    n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(n - k, 0)] = rank[k:] + 1
-        key = rank * (n + 1) + after
-        sa = np.argsort(key, kind="stable")
-        key = key[sa]
-        new = np.zeros(n, np.int64)
-        new[sa] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = new
-        if rank[sa[-1]] == n - 1:
-            return sa
-        k *= 2
+        _place(sa, t, j[large_before[j]] - 1, head, 1)
+    small_before = np.zeros(n, bool)
+    small_before[1:] = small[:-1]
+    tail = end - 1
+    for c in used[::-1].tolist():  # everything runs from the right end
+        i = end[c] - 1
+        while i > tail[c]:
+            j = sa[tail[c] + 1 : i + 1][::-1]
+            i = tail[c]
+            _place(sa, t, j[small_before[j]] - 1, tail, -1)
+        j = sa[begin[c] : head[c]][::-1]
+        _place(sa, t, j[small_before[j]] - 1, tail, -1)
+    return sa
+
+
+def _reduced_order(names: np.ndarray, count: int, above: int) -> np.ndarray:
+    """Order of the suffixes of a reduced string with names below count; above: the length of the string it was made of."""
+    if count <= BUCKETS or 2 * len(names) >= above:
+        return suffix_array(names.astype(np.uint16 if count <= 1 << 16 else np.int64), count)
+    base = int(np.ceil(np.sqrt(count)))
+    digits = np.empty(2 * len(names), np.uint16 if base <= 1 << 16 else np.int64)
+    digits[::2], digits[1::2] = names // base, names % base
+    # digits of equal number keep the order, so suffixes that begin with a name's first digit have the order of names
+    order = suffix_array(digits, base)
+    return order[order % 2 == 0] // 2
 
 
 def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
@@ -124,29 +143,28 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     is_left[left] = True
     order = sa[is_left[sa]]
     # names: equal substrings from one leftmost-smaller position to the next
-    nxt = np.empty(n, np.int64)
-    nxt[left[:-1]] = left[1:]
-    nxt[left[-1]] = n - 1
-    length = nxt[order] - order + 1
-    length[order == left[-1]] = n - left[-1] + 1  # holds the end, so it equals no other
+    length = np.empty(n, left.dtype)
+    length[left[:-1]] = np.diff(left) + 1
+    length[left[-1]] = n - left[-1] + 1  # holds the end, so it equals no other
+    of = length[order]
     same = np.zeros(len(order), bool)
-    same[1:] = (length[1:] == length[:-1]) & (order[1:] != left[-1]) & (order[:-1] != left[-1])
+    same[1:] = (of[1:] == of[:-1]) & (order[1:] != left[-1]) & (order[:-1] != left[-1])
     pair = np.flatnonzero(same)
-    k = 0
+    a, b, left_over, k = order[pair], order[pair - 1], of[pair], 0
     while len(pair):
-        live = pair[length[pair] > k]
-        off = live[t[order[live] + k] != t[order[live - 1] + k]]
-        same[off] = False
-        pair = live[same[live]]
+        equal = t[a + k] == t[b + k]
+        same[pair[~equal]] = False
         k += 1
-    name_of = np.cumsum(~same) - 1
-    names = np.empty(n, np.int64)
+        equal &= left_over > k
+        pair, a, b, left_over = pair[equal], a[equal], b[equal], left_over[equal]
+    name_of = np.cumsum(~same, dtype=left.dtype) - 1
+    names = np.empty(n, left.dtype)
     names[order] = name_of
     reduced, count = names[left], int(name_of[-1]) + 1
     if count == len(left):
         rank = order
     else:
-        rank = left[suffix_array(reduced, count) if count <= BUCKETS else _doubling(reduced)]
+        rank = left[_reduced_order(reduced, count, n)]
     return _induce(t, small, rank, sigma)
 
 

@@ -4,16 +4,18 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gavel.llm import suffixes
-from gavel.llm.repeats import merged, remove_repeats
+from gavel.llm.repeats import SHARD, merged, remove_repeats
 from gavel.llm.suffixes import anchors, permuted_lcp, suffix_array
 
 
-@pytest.mark.parametrize("buckets", [0, 4096])
-def test_suffix_array_and_prefixes(monkeypatch, buckets):
+@pytest.mark.parametrize(("buckets", "short"), [(2, 0), (1024, 0), (2, 1 << 15), (1024, 1 << 15)])
+def test_suffix_array_and_prefixes(monkeypatch, buckets, short):
     monkeypatch.setattr(suffixes, "BUCKETS", buckets)
+    monkeypatch.setattr(suffixes, "SHORT", short)
     rng = np.random.default_rng(buckets)
     for trial in range(300):
         t = rng.integers(0, rng.integers(1, 5), rng.integers(1, 60)).astype(np.uint8)
@@ -31,6 +33,21 @@ def test_suffix_array_and_prefixes(monkeypatch, buckets):
                 assert min(k, 5) == min(lcp[b], 5)
 
 
+def test_a_full_shard_is_sorted_by_recursion(monkeypatch, sf_dir):
+    raw = "".join(t or "" for t in pd.read_parquet(f"{sf_dir}/documents.parquet").text).encode()
+    raw = (raw * (SHARD // len(raw) + 1))[:SHARD]
+    sizes, plain = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda t, sigma=256: sizes.append((len(t), sigma)) or plain(t, sigma))
+    sa = suffixes.suffix_array(np.frombuffer(raw, np.uint8))
+    assert len(sizes) > 2 and sizes[0][0] == SHARD and all(b[0] < a[0] for a, b in zip(sizes, sizes[1:], strict=False)) and max(s for _, s in sizes) <= suffixes.BUCKETS
+    assert (np.sort(sa) == np.arange(SHARD)).all()
+    rank = np.empty(SHARD + 1, np.int64)
+    rank[sa], rank[SHARD] = np.arange(SHARD), -1
+    t = np.frombuffer(raw, np.uint8)
+    a, b = sa[:-1], sa[1:]  # neighbours are in order by their first byte, then by the rank of the rest
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
 def test_equal_strings_have_equal_anchors():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 100, 5000).astype(np.uint8)
