@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,32 +126,35 @@ class _All:
     value = None
 
 
-def shard_spans(raws: list[bytes], rank: np.ndarray, start: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(context, from, to) to be removed: strings of a shard's contexts that also start earlier, by (rank, start)."""
-    t = np.frombuffer(b"".join(raws), np.uint8)
-    size = np.array([len(r) for r in raws])
+def shard_spans(t: np.ndarray, size: np.ndarray, rank: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, from, to) to be removed: strings of a shard's contexts that also start earlier, by (rank, start).
+
+    t, size: the contexts' bytes, one after the other, and how many each has.
+    """
+    none = (np.zeros(0, np.int64),) * 3
     ends = np.cumsum(size)
     if len(t) < 2:
-        return []
-    sa = suffix_array(t).astype(np.int64)
-    lcp = permuted_lcp(t, sa, window)[sa]
-    own = np.repeat(np.arange(len(raws)), size)
-    offset = np.arange(len(t)) - (ends - size)[own]
-    run = np.cumsum(lcp < window)
+        return none
+    sa = suffix_array(t)
+    run = np.cumsum(permuted_lcp(t, sa, window)[sa] < window, dtype=np.int32)
+    own = np.repeat(np.arange(len(size), dtype=np.int32), size)
     valid = (ends[own] - np.arange(len(t)) >= window)[sa]
     sa, run = sa[valid], run[valid]
     if not len(sa):
-        return []
-    place = (rank[own[sa]].astype(np.int64) << 40) + start[own[sa]] + offset[sa]
-    head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    least = np.minimum.reduceat(place, head)[np.cumsum(np.concatenate([[0], (run[1:] != run[:-1]).astype(np.int64)]))]
+        return none
+    begins = ends - size
+    c = own[sa]
+    place = (rank[c] << 40) + (start - begins)[c] + sa
+    new = run[1:] != run[:-1]
+    least = np.minimum.reduceat(place, np.flatnonzero(np.concatenate([[True], new])))[np.cumsum(np.concatenate([[False], new]), dtype=np.int32)]
     gone = np.sort(sa[place > least])
     if not len(gone):
-        return []
+        return none
     cut = np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (own[gone[1:]] != own[gone[:-1]]), [True]])
     a, b = gone[cut[:-1]], gone[cut[1:]]
     c = own[a]
-    return list(zip(c.tolist(), (start[c] + offset[a]).tolist(), (start[c] + offset[b] + window).tolist(), strict=True))
+    shift = (start - begins)[c]
+    return c, shift + a, shift + b + window
 
 
 SPANS = "key long, text_hash long, s long, e long"
@@ -159,37 +163,37 @@ SPANS = "key long, text_hash long, s long, e long"
 def by_suffix_array(rows: DataFrame, window: int) -> DataFrame:
     """Spans found in shards: contexts are dealt by anchor, and a shard ends between two anchors."""
 
+    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        key, text, start = (rows.column(c).to_numpy() for c in ("key", "text_hash", "start"))
+        order = np.lexsort((text, key))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[False], (key[order][1:] != key[order][:-1]) | (text[order][1:] != text[order][:-1])]))
+        raws = rows.column("raw").cast(pa.large_binary()).combine_chunks()
+        edges = np.frombuffer(raws.buffers()[1], np.int64)[raws.offset : raws.offset + len(raws) + 1]
+        t = np.frombuffer(raws.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        c, s, e = shard_spans(t, np.diff(edges), rank, start, window)
+        return pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(text[c]), pa.array(s), pa.array(e)], names=["key", "text_hash", "s", "e"])
+
     def run(batches):
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size, last = 0, None
-
-        def work() -> pa.RecordBatch | None:
-            key = np.array([x[1] for x in held], np.int64)
-            text = np.array([x[2] for x in held], np.int64)
-            order = np.lexsort((text, key))
-            new = np.concatenate([[False], (key[order][1:] != key[order][:-1]) | (text[order][1:] != text[order][:-1])])
-            rank = np.empty(len(held), np.int64)
-            rank[order] = np.cumsum(new)
-            found = shard_spans([x[4] for x in held], rank, np.array([x[3] for x in held], np.int64), window)
-            if not found:
-                return None
-            c = [f[0] for f in found]
-            return pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(text[c]), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=["key", "text_hash", "s", "e"])
-
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if size > SHARD and x[0] != last:
-                    out = work()
-                    if out is not None:
-                        yield out
-                    held, size = [], 0
-                held.append(x)
-                size += len(x[4])
-                last = x[0]
+            if not b.num_rows:
+                continue
+            h = b.column(0).to_numpy()
+            bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(4)).to_numpy(), dtype=np.int64)])
+            firsts = np.flatnonzero(np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]]))
+            at = 0
+            for i in firsts.tolist():
+                if size + bytes_before[i] - bytes_before[at] > SHARD:
+                    yield work([*held, b.slice(at, i - at)])
+                    held, size, at = [], 0, i
+            held.append(b.slice(at))
+            size += bytes_before[-1] - bytes_before[at]
+            last = h[-1]
         if held:
-            out = work()
-            if out is not None:
-                yield out
+            yield work(held)
 
     return rows.select("hash", "key", "text_hash", "start", "raw").repartition("hash").sortWithinPartitions("hash").mapInArrow(run, SPANS)
 

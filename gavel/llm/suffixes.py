@@ -175,16 +175,16 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     others are one less than the value at the position in front.
     """
     n = len(t)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
-    pos = np.arange(n)
+    pos = np.arange(n, dtype=phi.dtype)
     first = np.ones(n, bool)
     first[1:] = (phi[1:] < 1) | (t[:-1] != t[np.maximum(phi[1:], 1) - 1])
     first[1:] |= phi[:-1] != phi[1:] - 1
     starts = pos[first & (phi >= 0)]
     other = phi[starts]
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, phi.dtype)
     # values carry over to following positions, so they are compared on, past `most`, eight bytes at a time
     wide = np.zeros(n + 16, np.uint8)
     wide[:n] = t
@@ -208,10 +208,10 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return np.maximum(value[base] - (pos - base), 0)
 
 
-def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of winnowed grams: each string of `window` bytes within a text has its least gram among them.
 
-    starts, ends: the texts' bytes in buf. The leftmost of equal grams counts, so the choice depends on the string alone.
+    starts, ends: the bytes in buf of the texts, none of them empty, which fill it. The leftmost of equal grams counts, so the choice depends on the string alone.
     """
     width = window - gram + 1
     power, inverse = _anchor_powers(block + window)
@@ -229,9 +229,10 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int,
             size *= 2
         if size < width:
             low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-        first = np.arange(lo, lo + len(low))
-        text = np.searchsorted(starts, first, side="right") - 1
-        low = low[first + window <= ends[text]]
+        first, hi = np.arange(lo, lo + len(low)), lo + len(low)
+        i, k = np.searchsorted(ends, [lo, hi - 1], side="right")  # texts of the block's first and last position
+        own_end = ends[i : k + 1]
+        low = low[first + window <= own_end.repeat(np.minimum(own_end, hi) - np.maximum(starts[i : k + 1], lo))]
         at = (low & np.uint64(0xFFFFF)).astype(np.int64)
         at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
         out_at.append(at + lo)
