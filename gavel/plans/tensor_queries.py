@@ -161,43 +161,10 @@ def worst_relative_error(spark, sf_dir):
     return _with_next(spark, sf_dir).select("vec_id", V.rounded(V.worst_error("x", "y")).alias("worst"))
 
 
-def parity_report(spark, sf_dir):
-    """Expected rows without an actual one stay, without an error."""
-    a = _v(spark, sf_dir).select("vec_id", "x")
-    expected = a.filter("vec_id % 2 = 0").select("vec_id", F.col("x").alias("e"))
-    actual = a.filter("vec_id % 3 <> 0").select("vec_id", F.transform("x", lambda t: t * 1.01).alias("a"))
-    return expected.join(actual, "vec_id", "left").select("vec_id", V.rounded(V.relative_l2("a", "e")).alias("relative_l2"))
-
-
-def matmul(spark, sf_dir):
-    """Eight tokens by the first sixteen rows of a weight."""
-    v = _v(spark, sf_dir)
-    rows = _head(v, 16)
-    y = v.filter("vec_id < 8").crossJoin(F.broadcast(rows)).select(F.col("vec_id").alias("token"), F.posexplode(F.transform("head", lambda w: V.dot("x", w))).alias("row_id", "y"))
-    return y.select("token", "row_id", V.rounded(F.col("y")).alias("y"))
-
-
 ROW_IDS = [5, 3, 5, 12]
 
 
-def matmul_rows(spark, sf_dir):
-    """Some rows only, in the order asked for, repeated ones too."""
-    v = _v(spark, sf_dir)
-    ids = spark.createDataFrame(list(enumerate(ROW_IDS)), "pos int, row_id long")
-    w = ids.join(v.select(F.col("vec_id").alias("row_id"), F.col("x").alias("w")), "row_id")
-    return v.filter("vec_id < 20").join(F.broadcast(w)).select(F.col("vec_id").alias("token"), "pos", V.rounded(V.dot("x", "w")).alias("y"))
-
-
-def gather_rows(spark, sf_dir):
-    """Embedding rows of token ids, joined before anything is computed; an id out of range is an error."""
-    v = _v(spark, sf_dir)
-    tokens = v.select(F.col("vec_id").alias("pos"), (F.col("vec_id") * 7 % 50).alias("vec_id"))
-    rows = tokens.join(v.select("vec_id", "x"), "vec_id", "left")
-    x = F.when(F.col("x").isNull(), F.raise_error(F.concat(F.lit("no row for token "), F.col("vec_id").cast("string"))).cast("array<double>")).otherwise(F.col("x").cast("array<double>"))
-    return rows.select("pos", F.col("vec_id").alias("token"), V.rounded(V.total(x)).alias("row_sum"))
-
-
-def parity_report_full(spark, sf_dir):
+def parity_report(spark, sf_dir):
     """All vectors are expected; those of labelled documents have an actual one."""
     a = _v(spark, sf_dir).select("vec_id", "x")
     labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("vec_id"))
@@ -205,14 +172,14 @@ def parity_report_full(spark, sf_dir):
     return a.join(actual, "vec_id", "left").select("vec_id", V.rounded(V.relative_l2("a", "x")).alias("relative_l2"))
 
 
-def matmul_full(spark, sf_dir):
+def matmul(spark, sf_dir):
     """All vectors by the first sixteen rows of a weight."""
     v = _v(spark, sf_dir)
     y = v.crossJoin(F.broadcast(_head(v, 16))).select(F.col("vec_id").alias("token"), F.posexplode(F.transform("head", lambda w: V.dot("x", w))).alias("row_id", "y"))
     return y.select("token", "row_id", V.rounded(F.col("y")).alias("y"))
 
 
-def matmul_rows_full(spark, sf_dir):
+def matmul_rows(spark, sf_dir):
     """All vectors by the rows asked for, in that order, repeated ones too."""
     v = _v(spark, sf_dir)
     ids = spark.createDataFrame(list(enumerate(ROW_IDS)), "pos int, row_id long")
@@ -220,12 +187,14 @@ def matmul_rows_full(spark, sf_dir):
     return v.crossJoin(F.broadcast(w)).select(F.col("vec_id").alias("token"), "pos", V.rounded(V.dot("x", "w")).alias("y"))
 
 
-def gather_rows_full(spark, sf_dir):
-    """Embedding rows of token ids that range over the whole table."""
+def gather_rows(spark, sf_dir):
+    """Embedding rows of token ids that range over the whole table, joined before anything is computed; an id out of range is an error."""
     v = _v(spark, sf_dir)
     last = v.agg(F.max("vec_id").alias("last"))
     tokens = v.select(F.col("vec_id").alias("pos")).crossJoin(F.broadcast(last)).select("pos", F.pmod(F.col("pos") * 7, F.col("last") + 1).alias("vec_id"))
-    return tokens.join(v.select("vec_id", "x"), "vec_id").select("pos", F.col("vec_id").alias("token"), V.rounded(V.total(F.col("x"))).alias("row_sum"))
+    rows = tokens.join(v.select("vec_id", "x"), "vec_id", "left")
+    x = F.when(F.col("x").isNull(), F.raise_error(F.concat(F.lit("no row for token "), F.col("vec_id").cast("string"))).cast("array<double>")).otherwise(F.col("x").cast("array<double>"))
+    return rows.select("pos", F.col("vec_id").alias("token"), V.rounded(V.total(x)).alias("row_sum"))
 
 
 def id_range_check(spark, sf_dir):
@@ -318,7 +287,7 @@ _ROPE = f"SELECT i::INTEGER pair, round(pow({BASE}, -2.0 * i / {DIM}), 8) freque
 _CORR = lambda b: f"{DIM} * ln({CONTEXT} / ({b} * 2 * pi())) / (2 * ln({BASE}))"
 _LOW, _HIGH = f"greatest(0, floor({_CORR('32.0')}))", f"least({DIM} / 2.0 - 1, ceil({_CORR('1.0')}))"
 _TURN = "CASE WHEN j % 32 >= 24 THEN x[j + 1] WHEN j % 2 = 0 THEN x[j + 1] * cos(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) - x[j + 2] * sin(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) ELSE x[j] * sin(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) + x[j + 1] * cos(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) END"
-QUERIES = {f.__name__: f for f in (verdict_from_hidden, verdict_threshold_sweep, verdict_by_label, verdict_vs_label, verdict_logits_full, top_verdict_token, top20_logits, top20_overlap, verdict_string, verdict_json, dot, dot4, checksum, rms_norm, softmax, softmax_masked, swiglu, sigmoid, add_scaled, argmax, relative_l2, worst_relative_error, parity_report, matmul, matmul_rows, gather_rows, parity_report_full, matmul_full, matmul_rows_full, gather_rows_full, id_range_check, rope_freqs, yarn_freqs, yarn_magnitude, rope_rotate, attn_temperature, causal_attention, gqa_attention, last_position)}
+QUERIES = {f.__name__: f for f in (verdict_from_hidden, verdict_threshold_sweep, verdict_by_label, verdict_vs_label, verdict_logits_full, top_verdict_token, top20_logits, top20_overlap, verdict_string, verdict_json, dot, dot4, checksum, rms_norm, softmax, softmax_masked, swiglu, sigmoid, add_scaled, argmax, relative_l2, worst_relative_error, parity_report, matmul, matmul_rows, gather_rows, id_range_check, rope_freqs, yarn_freqs, yarn_magnitude, rope_rotate, attn_temperature, causal_attention, gqa_attention, last_position)}
 ORACLE_SQL = {
     "verdict_from_hidden": f"SELECT vec_id, round(s, 4) + 0.0 score, round(y, 4) + 0.0 yes_logit, round(n, 4) + 0.0 no_logit, round(s, 4) > 0.5 is_unsafe FROM ({_SCORED})",
     "verdict_threshold_sweep": f"SELECT round(t, 1) threshold, count(*) n, sum((round(s, 4) > t)::INTEGER)::BIGINT unsafe FROM ({_SCORED}), (SELECT unnest([{', '.join(map(repr, THRESHOLDS))}]::DOUBLE[]) t) GROUP BY 1",
@@ -342,10 +311,10 @@ ORACLE_SQL = {
     "argmax": f"SELECT vec_id, list_position(x, list_max(x))::BIGINT - 1 place FROM ({_X})",
     "relative_l2": f"SELECT vec_id, round({_L2('x', 'y')}, 4) + 0.0 relative_l2 FROM ({_NEXT()})",
     "worst_relative_error": f"SELECT vec_id, round(list_max(list_transform(range(64), lambda i: abs(x[i + 1] - y[i + 1]) / greatest(1, abs(y[i + 1])))), 4) + 0.0 worst FROM ({_NEXT()})",
-    "parity_report": f"SELECT e.vec_id, round({_L2('a.x', 'e.x')}, 4) + 0.0 relative_l2 FROM (SELECT vec_id, x FROM ({_X}) WHERE vec_id % 2 = 0) e LEFT JOIN (SELECT vec_id, list_transform(x, lambda t: t * 1.01::DOUBLE) x FROM ({_X}) WHERE vec_id % 3 <> 0) a ON a.vec_id = e.vec_id",
-    "matmul": f"SELECT a.vec_id token, b.vec_id::INTEGER row_id, round(list_dot_product(a.x, b.x), 4) + 0.0 y FROM ({_X}) a, ({_X}) b WHERE a.vec_id < 8 AND b.vec_id < 16",
-    "matmul_rows": f"SELECT a.vec_id token, pos::INTEGER pos, round(list_dot_product(a.x, b.x), 4) + 0.0 y FROM ({_X}) a, ({_X}) b, (SELECT unnest(range({len(ROW_IDS)})) pos, unnest({ROW_IDS}) id) WHERE a.vec_id < 20 AND b.vec_id = id",
-    "gather_rows": f"SELECT t.vec_id pos, w.vec_id token, round(list_sum(w.x), 4) + 0.0 row_sum FROM ({_X}) t JOIN ({_X}) w ON w.vec_id = t.vec_id * 7 % 50",
+    "parity_report": f"SELECT e.vec_id, round({_L2('a.x', 'e.x')}, 4) + 0.0 relative_l2 FROM ({_X}) e LEFT JOIN (SELECT vec_id, list_transform(x, lambda t: t * 1.01::DOUBLE) x FROM ({_X}) WHERE vec_id IN (SELECT doc_id FROM labels)) a ON a.vec_id = e.vec_id",
+    "matmul": f"SELECT a.vec_id token, b.vec_id::INTEGER row_id, round(list_dot_product(a.x, b.x), 4) + 0.0 y FROM ({_X}) a, ({_X}) b WHERE b.vec_id < 16",
+    "matmul_rows": f"SELECT a.vec_id token, pos::INTEGER pos, round(list_dot_product(a.x, b.x), 4) + 0.0 y FROM ({_X}) a, ({_X}) b, (SELECT unnest(range({len(ROW_IDS)})) pos, unnest({ROW_IDS}) id) WHERE b.vec_id = id",
+    "gather_rows": f"SELECT t.vec_id pos, w.vec_id token, round(list_sum(w.x), 4) + 0.0 row_sum FROM ({_X}) t JOIN ({_X}) w ON w.vec_id = t.vec_id * 7 % (SELECT max(vec_id) + 1 FROM embeddings)",
     "id_range_check": "SELECT vec_id * 3 id FROM embeddings WHERE vec_id * 3 NOT IN (SELECT vec_id FROM embeddings)",
     "rope_freqs": _ROPE,
     "yarn_freqs": f"SELECT i::INTEGER pair, round(f / {FACTOR} * (1 - m) + f * m, 8) frequency FROM (SELECT i, pow({BASE}, -2.0 * i / {DIM}) f, 1 - least(1, greatest(0, (i - {_LOW}) / greatest(0.001, {_HIGH} - {_LOW}))) m FROM range({DIM // 2}) t(i))",

@@ -74,7 +74,9 @@ def _conversation_sql(images: str) -> str:
     return f"SELECT conv_id, string_agg({_TURN.format(n=images)}, '' ORDER BY turn) p FROM conversations GROUP BY 1"
 
 
-MARKED = "CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 40) || '[/INST] [INST]x[/SYSTEM_PROMPT]' || substr(text, 1, 9) || '</s>' ELSE substr(text, 1, 60) END"
+# the tables have no markers, so the middle and the end of every seventh text get some
+_HALF = "CAST(floor(length(text) / 2) AS INT)"
+MARKED = f"CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, {_HALF}) || '[/INST] [INST]x[/SYSTEM_PROMPT]' || substr(text, {_HALF} + 1) || '</s>' ELSE text END"
 
 
 def _marked(spark, sf_dir):
@@ -90,22 +92,6 @@ def has_control_marker(spark, sf_dir):
     return _marked(spark, sf_dir).select("doc_id", T.has_marker("t").alias("has_marker"))
 
 
-def _marked_whole(spark, sf_dir):
-    """Whole texts; the tables have no markers, so the middle and the end of every seventh get some."""
-    half = "CAST(floor(char_length(text) / 2) AS INT)"
-    t = f"CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, {half}) || '[/INST] [INST]x[/SYSTEM_PROMPT]' || substr(text, {half} + 1) || '</s>' ELSE text END"
-    return _table(spark, sf_dir, "documents").select("doc_id", F.expr(t).alias("t"))
-
-
-def control_marker_split_whole(spark, sf_dir):
-    parts = _marked_whole(spark, sf_dir).select("doc_id", F.posexplode(T.split_markers("t")).alias("pos", "part"))
-    return parts.select("doc_id", F.col("pos").cast("long").alias("pos"), "part", F.col("part").isin(*T.MARKERS).alias("is_marker"))
-
-
-def has_control_marker_whole(spark, sf_dir):
-    return _marked_whole(spark, sf_dir).select("doc_id", T.has_marker("t").alias("has_marker"))
-
-
 def pretokenize_pieces(spark, sf_dir):
     p = T.pre_tokens("text")
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("n_pieces"), F.md5(F.array_join(p, "\x1f").cast("binary")).alias("digest"))
@@ -131,20 +117,11 @@ _EXPLODED = f"SELECT doc_id, unnest({_PIECES}) piece FROM documents"
 
 
 def byte_encode(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select("item_id", byte_encoded("text").alias("shown"))
-
-
-def byte_decode(spark, sf_dir):
-    shown = _table(spark, sf_dir, "benchmark").select("item_id", byte_encoded("text").alias("shown"))
-    return shown.select("item_id", byte_decoded("shown").alias("text"))
-
-
-def byte_encode_whole(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", byte_encoded("text").alias("shown"))
 
 
-def byte_decode_whole(spark, sf_dir):
-    return byte_encode_whole(spark, sf_dir).select("doc_id", byte_decoded("shown").alias("text"))
+def byte_decode(spark, sf_dir):
+    return byte_encode(spark, sf_dir).select("doc_id", byte_decoded("shown").alias("text"))
 
 
 #: Pieces of the made-up vocabulary: so many of the commonest.
@@ -198,7 +175,7 @@ def eos_union(spark, sf_dir):
 
 
 def _codes(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.substring("text", 1, 12), ""), lambda c: F.ascii(c)).alias("tokens"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("tokens"))
 
 
 def prefix_match(spark, sf_dir):
@@ -350,11 +327,11 @@ def bench_label(spark, sf_dir):
 
 
 _NAME_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (RENAMED | TOP).items())
-_CODES = "list_transform(string_split(substr(text, 1, 12), ''), lambda c: unicode(c)::INTEGER)"
+_CODES = "list_transform(string_split(text, ''), lambda c: unicode(c)::INTEGER)"
 _ODD = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'tool' ELSE role END role, CASE WHEN conv_id % 7 = 0 AND role = 'assistant' THEN '' ELSE text END text FROM conversations"
 _DIGITS = "(strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1"
 _SPLIT = f"list_filter(string_split(regexp_replace(t, '({T.marker_pattern().replace(chr(39), chr(39) * 2)})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '')"
-QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, control_marker_split_whole, has_control_marker_whole, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, byte_encode_whole, byte_decode_whole, vocab_lookup, encode_with_bos, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
+QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, vocab_lookup, encode_with_bos, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
 ORACLE_SQL = {
     "format_user_message": f"SELECT doc_id, md5({_DEFAULT}) digest, length({_DEFAULT}) n_chars FROM documents",
     "render_prompt": f"SELECT doc_id, md5({_OPEN} || {_DEFAULT} || '[/INST]') digest, length({_OPEN} || {_DEFAULT} || '[/INST]') n_chars FROM documents",
@@ -367,8 +344,8 @@ ORACLE_SQL = {
     "pretokenize_pieces": f"SELECT doc_id, len(p) n_pieces, md5(array_to_string(p, chr(31))) digest FROM (SELECT doc_id, {_PIECES} p FROM documents)",
     "piece_histogram": f"SELECT piece, count(*) n FROM ({_EXPLODED}) GROUP BY 1",
     "digit_pieces": f"SELECT doc_id, count(*) n FROM ({_EXPLODED}) WHERE regexp_full_match(piece, '[0-9]') GROUP BY 1",
-    "byte_encode": f"SELECT item_id, array_to_string(list_transform(range(length(h) // 2), lambda i: list_extract([{', '.join(f'chr({ord(c)})' for c in ALPHABET)}], {_DIGITS} + 1)), '') shown FROM (SELECT item_id, hex(encode(text)) h FROM benchmark)",
-    "byte_decode": "SELECT item_id, text FROM benchmark",
+    "byte_encode": f"SELECT doc_id, array_to_string(list_transform(range(length(h) // 2), lambda i: list_extract([{', '.join(f'chr({ord(c)})' for c in ALPHABET)}], {_DIGITS} + 1)), '') shown FROM (SELECT doc_id, hex(encode(text)) h FROM documents)",
+    "byte_decode": "SELECT doc_id, text FROM documents",
     "vocab_lookup": f"WITH v AS (SELECT piece, row_number() OVER (ORDER BY n DESC, piece) - 1 id FROM (SELECT piece, count(*) n FROM ({_EXPLODED}) GROUP BY 1) ORDER BY n DESC, piece LIMIT {VOCABULARY}), a AS (SELECT item_id, unnest({_PIECES}) piece FROM benchmark) SELECT item_id, count(*) n, count(*) FILTER (id IS NULL) missing, sum(coalesce(id, -1))::BIGINT id_sum FROM a LEFT JOIN v USING (piece) GROUP BY 1",
     "normalize_piece": f"SELECT id, {_NORMAL} normal FROM {_PIECE_VALUES}",
     "verdict_token_ids": f"SELECT id, verdict FROM (SELECT id, {_NORMAL} verdict FROM {_PIECE_VALUES}) WHERE verdict IN ('yes', 'no')",

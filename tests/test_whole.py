@@ -28,11 +28,11 @@ def test_markers_of_whole_documents(spark, sf_dir):
         parts[d] = [p for p in re.split(f"({marker_pattern()})", t) if p]
         flags[d] = d % 7 == 0
     got = {}
-    for r in sorted(QUERIES["control_marker_split_whole"](spark, sf_dir).collect(), key=lambda r: (r["doc_id"], r["pos"])):
+    for r in sorted(QUERIES["control_marker_split"](spark, sf_dir).collect(), key=lambda r: (r["doc_id"], r["pos"])):
         assert r["is_marker"] == bool(re.fullmatch(marker_pattern(), r["part"]))
         got.setdefault(r["doc_id"], []).append(r["part"])
     assert got == {d: p for d, p in parts.items() if p} and max(len(p) for v in got.values() for p in v) > 1000
-    assert {r["doc_id"]: r["has_marker"] for r in QUERIES["has_control_marker_whole"](spark, sf_dir).collect()} == flags
+    assert {r["doc_id"]: r["has_marker"] for r in QUERIES["has_control_marker"](spark, sf_dir).collect()} == flags
 
 
 def test_prefixes_and_fingerprints_of_whole_documents(spark, sf_dir):
@@ -50,25 +50,25 @@ def test_products_of_all_vectors(spark, sf_dir):
     e = pd.read_parquet(f"{sf_dir}/embeddings.parquet")
     x = dict(zip(e.vec_id.tolist(), np.stack(e.embedding).astype(np.float64), strict=True))
     close = lambda got, want: set(got) == set(want) and all(abs(got[k] - want[k]) < 1.01e-4 for k in want)
-    got = {(r["token"], r["row_id"]): r["y"] for r in QUERIES["matmul_full"](spark, sf_dir).collect()}
+    got = {(r["token"], r["row_id"]): r["y"] for r in QUERIES["matmul"](spark, sf_dir).collect()}
     assert close(got, {(i, k): x[i] @ x[k] for i in x for k in range(16)})
-    got = {(r["token"], r["pos"]): r["y"] for r in QUERIES["matmul_rows_full"](spark, sf_dir).collect()}
+    got = {(r["token"], r["pos"]): r["y"] for r in QUERIES["matmul_rows"](spark, sf_dir).collect()}
     assert close(got, {(i, k): x[i] @ x[w] for i in x for k, w in enumerate([5, 3, 5, 12])})
-    got = {(r["pos"], r["token"]): r["row_sum"] for r in QUERIES["gather_rows_full"](spark, sf_dir).collect()}
+    got = {(r["pos"], r["token"]): r["row_sum"] for r in QUERIES["gather_rows"](spark, sf_dir).collect()}
     n = max(x) + 1
     assert close(got, {(i, i * 7 % n): x[i * 7 % n].sum() for i in x}) and max(k for _, k in got) == max(x)
 
 
 def test_parity_of_all_vectors(spark, sf_dir):
     ids, labelled = set(pd.read_parquet(f"{sf_dir}/embeddings.parquet").vec_id), set(pd.read_parquet(f"{sf_dir}/labels.parquet").doc_id)
-    got = {r["vec_id"]: r["relative_l2"] for r in QUERIES["parity_report_full"](spark, sf_dir).collect()}
+    got = {r["vec_id"]: r["relative_l2"] for r in QUERIES["parity_report"](spark, sf_dir).collect()}
     assert got == {i: 0.01 if i in labelled else None for i in ids} and ids - labelled and ids & labelled
 
 
 def test_encoded_whole_documents(spark, sf_dir):
     texts, v = _texts(sf_dir), tiny_vocabulary()
-    assert {r["doc_id"]: r["shown"] for r in QUERIES["byte_encode_whole"](spark, sf_dir).collect()} == {d: to_alphabet(t) for d, t in texts.items()}
-    assert {r["doc_id"]: r["text"] for r in QUERIES["byte_decode_whole"](spark, sf_dir).collect()} == texts
+    assert {r["doc_id"]: r["shown"] for r in QUERIES["byte_encode"](spark, sf_dir).collect()} == {d: to_alphabet(t) for d, t in texts.items()}
+    assert {r["doc_id"]: r["text"] for r in QUERIES["byte_decode"](spark, sf_dir).collect()} == texts
     got = {r["doc_id"]: (r["n_tokens"], r["digest"]) for r in QUERIES["encode_with_bos"](spark, sf_dir).collect()}
     assert got == {d: (len(x), hashlib.md5(",".join(map(str, x)).encode()).hexdigest()) for d, x in ((d, v.encode(t)) for d, t in texts.items())}
 
