@@ -41,7 +41,7 @@ from gavel.llm.suffixes import anchors, permuted_lcp, suffix_array
 
 WINDOW, GRAM = 100, 48
 #: Contexts of one anchor in a shard; hashes sent to all tasks; bytes of a shard.
-CONTEXTS, SENT, SHARD = 16_384, 4_000_000, 1 << 20
+CONTEXTS, SENT, SHARD = 16_384, 4_000_000, 1 << 19
 LAST = (1 << 63) - 1
 
 

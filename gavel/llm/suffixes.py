@@ -13,10 +13,10 @@ import numpy as np
 
 from gavel.llm.hashing import _BASE, _BYTES, _INVERSE, _powers, mix
 
-#: Reduced strings with more names than this are written in two digits a name, if that is still shorter than the string above.
+#: Reduced strings with more names than this are written in two digits a name, if that is still shorter by a quarter than the string above.
 BUCKETS = 1_024
-#: Strings up to this long are induced one suffix at a time.
-SHORT = 1 << 15
+#: Strings up to this long, or with more characters than MANY, are induced one suffix at a time.
+SHORT, MANY = 1 << 15, 1 << 12
 
 
 def _classify(t: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def _induce_small(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, sigma: in
 def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
     """Order of all suffixes, given leftmost-smaller suffixes (or substrings) in order of their rank."""
     n = len(t)
-    if n <= SHORT:
+    if n <= SHORT or sigma > MANY:
         return _induce_small(t, small, seeds, sigma)
     size = np.bincount(t, minlength=sigma)
     end = np.cumsum(size)
@@ -118,7 +118,7 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, sigma: int) ->
 
 def _reduced_order(names: np.ndarray, count: int, above: int) -> np.ndarray:
     """Order of the suffixes of a reduced string with names below count; above: the length of the string it was made of."""
-    if count <= BUCKETS or 2 * len(names) >= above:
+    if count <= BUCKETS or 8 * len(names) >= 3 * above:
         return suffix_array(names.astype(np.uint16 if count <= 1 << 16 else np.int64), count)
     base = int(np.ceil(np.sqrt(count)))
     digits = np.empty(2 * len(names), np.uint16 if base <= 1 << 16 else np.int64)
@@ -164,6 +164,7 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     if count == len(left):
         rank = order
     else:
+        del sa, is_left, order, length, of, same, pair, a, b, left_over, name_of, names  # deeper levels need the room
         rank = left[_reduced_order(reduced, count, n)]
     return _induce(t, small, rank, sigma)
 
