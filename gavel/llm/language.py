@@ -4,12 +4,16 @@ Texts are cut into chunks of CHUNK bytes. In each direction a gated recurrent
 unit reads a chunk byte by byte (the input weights are a table with a row for
 each byte value); from both states every position gets a label distribution,
 and a document's probabilities are the mean over all its positions. The network
-is trained in numpy by backpropagation through time, with Adam, on chunks of a
-bounded sample of documents (``SAMPLE_ROWS``); prediction reads whole texts.
+is trained in numpy by backpropagation through time, with Adam, on the whole
+texts of a bounded sample of documents (``SAMPLE_ROWS``): each step draws
+documents, then one chunk of each, so that a long text weighs as much as a short
+one. Prediction reads whole texts.
 
 Defined results: a text that is null, empty or without a letter is `und` with
-score 0; without any document to learn from all are `und`; repeated rows each
-give a row; other columns are ignored.
+score 0; without any document to learn from all are `und`; of labels with equal
+probability the first in order wins; an empty table gives an empty result; very
+long texts are read chunk by chunk; repeated rows each give a row; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from gavel.llm.common import held_out, map_slices
 
 SAMPLE_ROWS = 3_000
-CHUNK, CHUNKS_OF_EACH, STATES = 64, 6, 10
+CHUNK, STATES = 64, 10
 #: Chunks computed at once.
 AT_ONCE = 2_048
 
@@ -121,15 +125,20 @@ def chunks(raw: bytes) -> np.ndarray:
     return out.reshape(n, CHUNK)
 
 
-def train(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, labels: list[str], steps: int = 160, batch: int = 320, rate: float = 0.02, seed: int = 5) -> Network:
-    """x: chunks x CHUNK bytes; lengths: their bytes that are text; y: label numbers."""
+def train(texts: list[bytes], y: np.ndarray, labels: list[str], steps: int = 160, batch: int = 320, rate: float = 0.02, seed: int = 5) -> Network:
+    """texts: whole texts in UTF-8, none empty; y: their label numbers."""
     net = Network.new(labels)
     rng = np.random.default_rng(seed)
+    size = np.array([len(t) for t in texts])
+    count = -(-size // CHUNK)
+    first = np.cumsum(count) - count
+    x = np.concatenate([chunks(t) for t in texts])
     one, two = ({n: np.zeros_like(v) for n, v in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        pick = rng.integers(0, len(x), min(batch, len(x)))
-        mask = (np.arange(CHUNK)[:, None] < lengths[pick][None]).astype(np.float32)
-        _, g = net.gradients(x[pick].T, y[pick], mask)
+        doc = rng.integers(0, len(texts), batch)
+        at = rng.integers(0, count[doc])
+        mask = (np.arange(CHUNK)[:, None] < (size[doc] - at * CHUNK)[None]).astype(np.float32)
+        _, g = net.gradients(x[first[doc] + at].T, y[doc], mask)
         lr = rate * min(1, 2 * (1 - step / (steps + 1)))
         for n, v in net.p.items():
             one[n] = 0.9 * one[n] + 0.1 * g[n]
@@ -139,29 +148,17 @@ def train(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, labels: list[str],
 
 
 def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """Chunks are cut where the texts are, spread over the whole text; the driver gets CHUNKS_OF_EACH of each sampled document."""
-    usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_rows)
-
-    def make():
-        def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for d, lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                raw = (text or "").encode()
-                every = chunks(raw)
-                for i in sorted({round(j * (len(every) - 1) / max(1, CHUNKS_OF_EACH - 1)) for j in range(CHUNKS_OF_EACH)}) if len(every) else ():
-                    rows.append((str(d), lang, every[i].tobytes(), min(CHUNK, len(raw) - i * CHUNK)))
-            return pa.RecordBatch.from_pylist([dict(zip(("id", "lang", "chunk", "n"), r, strict=True)) for r in rows], pa.schema([("id", pa.string()), ("lang", pa.string()), ("chunk", pa.binary()), ("n", pa.int32())]))
-
-        return run
-
-    sample = docs.select(F.col("doc_id").alias("_d"), "text").join(F.broadcast(picked), F.col("_d") == F.col("doc_id")).select("doc_id", "lang", "text")
-    rows = sorted(map(tuple, map_slices(sample, make, "id string, lang string, chunk binary, n int").collect()))
+    """The driver gets the whole texts of at most sample_rows documents, the first by the hash of their ids."""
+    usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
+    usable = usable.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("raw") > 0) & ~held_out())
+    keys = ("doc_id", "lang", F.sha2("raw", 256).alias("digest"))
+    picked = usable.select(*keys).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "digest").limit(sample_rows)
+    of_sample = usable.select(*keys, "raw").join(F.broadcast(picked.distinct()), ["doc_id", "lang", "digest"])
+    rows = sorted((str(r.doc_id), r.lang, bytes(r.raw)) for r in of_sample.dropDuplicates(["doc_id", "lang", "digest"]).collect())
     labels = sorted({r[1] for r in rows})
     if not rows:
         return None
-    x = np.stack([np.frombuffer(bytes(r[2]), np.uint8) for r in rows])
-    return train(x, np.array([r[3] for r in rows]), np.array([labels.index(r[1]) for r in rows]), labels)
+    return train([r[2] for r in rows], np.array([labels.index(r[1]) for r in rows]), labels)
 
 
 def probabilities(net: Network, raws: list[bytes]) -> np.ndarray:
