@@ -85,7 +85,8 @@ def main(argv: list[str] | None = None) -> int:
                 if a.json:
                     print(json.dumps({"score": score, "unsafe_verdict": score > 0.5, "yes_logit": yes, "no_logit": no, "prompt_tokens": n, "prefilled_tokens": held, "load_ms": 1000 * (loaded - began), "inference_ms": 1000 * (time.time() - loaded)}))
                 else:
-                    print(f"{'UNSAFE' if score > 0.5 else 'safe'} (score {score:.6f}, yes {yes:.4f}, no {no:.4f})")
+                    print(f"{'UNSAFE' if score > 0.5 else 'safe'} score={score:.6f} (yes={yes:.4f} no={no:.4f})")
+                    print(f"  {n} prompt tokens ({held} from the cached prompt), load {1000 * (loaded - began):.0f} ms, inference {1000 * (time.time() - loaded):.0f} ms")
     except Exception as e:  # noqa: BLE001  the exit code tells
         print(f"error: {e}", file=sys.stderr)
         return 1

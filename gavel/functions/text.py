@@ -96,8 +96,15 @@ def is_unsafe(score: Column | str, threshold: float = 0.5) -> Column:
 
 
 def verdict_text(score: str, yes: str, no: str) -> Column:
-    """A verdict as text."""
-    return F.format_string("%s (score %.6f, yes %.4f, no %.4f)", F.when(is_unsafe(score), "UNSAFE").otherwise("safe"), score, yes, no)
+    """A verdict as text: the score with six decimals, the logits with four."""
+    return F.format_string("%s score=%.6f (yes=%.4f no=%.4f)", F.when(is_unsafe(score), "UNSAFE").otherwise("safe"), score, yes, no)
+
+
+def verdict_json(score: str, yes: str, no: str, prompt_tokens: Column, prefilled_tokens: Column, load_ms: Column, inference_ms: Column) -> Column:
+    """A verdict as JSON with its eight keys; numbers as plain decimals."""
+    shown = lambda c: F.col(c).cast("decimal(18,4)")
+    fields = {"score": shown(score), "unsafe_verdict": is_unsafe(score), "yes_logit": shown(yes), "no_logit": shown(no), "prompt_tokens": prompt_tokens, "prefilled_tokens": prefilled_tokens, "load_ms": load_ms, "inference_ms": inference_ms}
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
 def human_bytes(n: Column | str) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import os
 import re
 
-from gavel.functions.bpe import Vocabulary
+from gavel.functions.bpe import ALPHABET, Vocabulary
 from gavel.functions.geometry import parse
 from gavel.functions.quant import encode
 from gavel.sources.gguf import write_gguf
@@ -13,6 +16,10 @@ from gavel.sources.safetensors import header, load
 # Names in the checkpoint and in the file.
 LAYER = {"attention.wq": "attn_q", "attention.wk": "attn_k", "attention.wv": "attn_v", "attention.wo": "attn_output", "feed_forward.w1": "ffn_gate", "feed_forward.w2": "ffn_down", "feed_forward.w3": "ffn_up", "attention_norm": "attn_norm", "ffn_norm": "ffn_norm"}
 TOP = {"norm": "output_norm", "output": "output", "tok_embeddings": "token_embd"}
+# Keys of the file and of the checkpoint's parameters.
+ARCHITECTURE = "mistral3"
+WHOLE = {"context_length": "max_position_embeddings", "embedding_length": "dim", "block_count": "n_layers", "feed_forward_length": "hidden_dim", "attention.head_count": "n_heads", "attention.head_count_kv": "n_kv_heads", "attention.key_length": "head_dim", "attention.value_length": "head_dim", "vocab_size": "vocab_size", "rope.dimension_count": "head_dim"}
+REAL = {"attention.layer_norm_rms_epsilon": "norm_eps", "rope.freq_base": "rope_theta"}
 
 
 def file_name(name: str) -> str | None:
@@ -58,3 +65,39 @@ def convert(source: str, target: str, metadata: dict[str, tuple[str, object]], k
         tensors.append((new, tuple(reversed(x.shape)), own, encode(own, x)))
     write_gguf(target, metadata, tensors)
     return [t[0] for t in tensors]
+
+
+def read_vocabulary(tokenizer: dict) -> Vocabulary:
+    """Of a tokenizer file: special tokens by rank, then pieces by rank, their bytes in base64."""
+    by_rank = lambda xs: sorted(xs, key=lambda x: x["rank"])
+    special = by_rank(tokenizer["special_tokens"])
+    ranked = ["".join(ALPHABET[b] for b in base64.b64decode(x["token_bytes"])) for x in by_rank(tokenizer["vocab"])]
+    return build_vocabulary([x["token_str"] for x in special], ranked, frozenset(x["token_str"] for x in special if not x.get("is_control", True)))
+
+
+def read_params(params: dict, vocabulary: Vocabulary, chat_template: str | None = None) -> dict[str, tuple[str, object]]:
+    """The file's metadata from a checkpoint's parameters; a parameter that is missing is an error."""
+    own = {key: ("uint32", int(params[name])) for key, name in WHOLE.items()} | {key: ("float32", float(params[name])) for key, name in REAL.items()}
+    if yarn := params.get("yarn"):
+        own |= {"rope.scaling.type": ("string", "yarn"), "rope.scaling.original_context_length": ("uint32", int(yarn["original_max_position_embeddings"]))}
+        reals = {"factor": yarn["factor"], "yarn_beta_fast": yarn.get("beta", 32), "yarn_beta_slow": yarn.get("alpha", 1), "yarn_ext_factor": 1, "attn_factor": 1, "mscale": 1, "yarn_log_multiplier": 0 if yarn.get("apply_scale") else 1}
+        own |= {f"rope.scaling.{key}": ("float32", float(x)) for key, x in reals.items()}
+    if warm := params.get("llama_4_scaling"):
+        own |= {"attention.temperature_scale": ("float32", float(warm["beta"])), "attention.temperature_length": ("uint32", int(warm["original_max_position_embeddings"]))}
+    out = {"general.architecture": ("string", ARCHITECTURE)} | {f"{ARCHITECTURE}.{key}": x for key, x in own.items()}
+    words = {"model": ("string", "gpt2"), "pre": ("string", "tekken"), "tokens": ("array[string]", list(vocabulary.pieces)), "token_type": ("array[int32]", list(vocabulary.types)), "merges": ("array[string]", [" ".join(m) for m in vocabulary.merges])}
+    words |= {"bos_token_id": ("uint32", 1), "eos_token_id": ("uint32", 2), "unknown_token_id": ("uint32", 0), "padding_token_id": ("uint32", 11), "add_bos_token": ("bool", True), "add_eos_token": ("bool", False)}
+    out |= {f"tokenizer.ggml.{key}": x for key, x in words.items()}
+    return out | {"tokenizer.chat_template": ("string", chat_template)} if chat_template else out
+
+
+def convert_folder(folder: str, target: str, kind: str = "Q8_0") -> list[str]:
+    """A checkpoint's folder (params.json, tekken.json, consolidated.safetensors, a template if it has one) to one file."""
+
+    def held(name: str) -> str:
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            return f.read()
+
+    template = held("chat_template.jinja") if os.path.exists(os.path.join(folder, "chat_template.jinja")) else None
+    metadata = read_params(json.loads(held("params.json")), read_vocabulary(json.loads(held("tekken.json"))), template)
+    return convert(os.path.join(folder, "consolidated.safetensors"), target, metadata, kind)

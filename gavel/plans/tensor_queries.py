@@ -77,15 +77,21 @@ def top20_overlap(spark, sf_dir):
     return t.join(n, "vec_id").select("vec_id", F.size(F.array_intersect("s", "other")).cast("long").alias("shared"))
 
 
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("vec_id", *[V.rounded(F.col(c)).alias(c) for c in ("score", "yes", "no")])
+
+
 def verdict_string(spark, sf_dir):
-    s = _scored(spark, sf_dir).select("vec_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("score", "yes", "no")])
-    return s.select("vec_id", F.format_string("%s %.2f", F.when(T.is_unsafe("score"), "UNSAFE").otherwise("safe"), F.floor(F.col("score") * 10) / 10).alias("verdict"))
+    """Verdicts as text, of scores rounded to four decimals first."""
+    return _shown(spark, sf_dir).select("vec_id", T.verdict_text("score", "yes", "no").alias("verdict"))
 
 
 def verdict_json(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    j = F.to_json(F.struct(F.floor(F.round("score", 4) * 10).cast("int").alias("score_tenths"), T.is_unsafe(F.round("score", 4)).alias("unsafe_verdict")))
-    return s.select("vec_id", j.alias("verdict"))
+    """Verdicts as JSON; characters of the document of the same id stand for prompt tokens, and no model runs, so times are 0."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vec_id"), F.char_length("text").alias("n"))
+    none = F.lit(0)
+    j = T.verdict_json("score", "yes", "no", F.coalesce("n", none), none, none, none)
+    return _shown(spark, sf_dir).join(docs, "vec_id", "left").select("vec_id", j.alias("verdict"))
 
 
 def _with_next(spark, sf_dir, more: int = 1) -> DataFrame:
@@ -297,8 +303,8 @@ ORACLE_SQL = {
     "top_verdict_token": f"SELECT vec_id, list_position(l, list_max(l))::BIGINT - 1 token FROM ({_LOGITS(32)})",
     "top20_logits": f"SELECT vec_id, r::INTEGER rank, t token, round(lg, 4) + 0.0 logit FROM ({_TOP}) WHERE r < 20",
     "top20_overlap": f"WITH t AS (SELECT vec_id, list(t) s FROM ({_TOP}) WHERE r < 20 GROUP BY 1) SELECT a.vec_id, len(list_intersect(a.s, b.s)) shared FROM t a JOIN t b ON b.vec_id = a.vec_id + 1",
-    "verdict_string": f"SELECT vec_id, CASE WHEN round(s, 4) > 0.5 THEN 'UNSAFE' ELSE 'safe' END || ' ' || printf('%.2f', floor(round(s, 4) * 10) / 10) verdict FROM ({_SCORED})",
-    "verdict_json": f"""SELECT vec_id, '{{"score_tenths":' || floor(round(s, 4) * 10)::INTEGER || ',"unsafe_verdict":' || (round(s, 4) > 0.5) || '}}' verdict FROM ({_SCORED})""",
+    "verdict_string": f"SELECT vec_id, CASE WHEN round(s, 4) > 0.5 THEN 'UNSAFE' ELSE 'safe' END || printf(' score=%.6f (yes=%.4f no=%.4f)', round(s, 4) + 0.0, round(y, 4) + 0.0, round(n, 4) + 0.0) verdict FROM ({_SCORED})",
+    "verdict_json": f"""SELECT v.vec_id, printf('{{"score":%.4f,"unsafe_verdict":%s,"yes_logit":%.4f,"no_logit":%.4f,"prompt_tokens":%d,"prefilled_tokens":0,"load_ms":0,"inference_ms":0}}', round(s, 4) + 0.0, (round(s, 4) > 0.5)::VARCHAR, round(y, 4) + 0.0, round(n, 4) + 0.0, coalesce(length(d.text), 0)) verdict FROM ({_SCORED}) v LEFT JOIN documents d ON d.doc_id = v.vec_id""",
     "dot": f"SELECT vec_id, round(list_dot_product(x, y), 4) + 0.0 dot FROM ({_NEXT()})",
     "dot4": f"SELECT vec_id, {', '.join(f'round(list_dot_product(x, {c}), 4) + 0.0 dot{i}' for i, c in enumerate('yzuw'))} FROM ({_NEXT(4)})",
     "checksum": f"SELECT vec_id, round(list_dot_product(x, x), 4) + 0.0 squares FROM ({_X})",

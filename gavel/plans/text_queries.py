@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions import text as T
 from gavel.functions.bpe import ALPHABET, byte_decoded, byte_encoded, encode_table, tiny_vocabulary
 from gavel.functions.geometry import INTEGER, OFFSET, TYPES, ZERO_POINT
+from gavel.operators.convert import LAYER, TOP, file_name, output_type
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -267,9 +269,13 @@ def _tensors(spark):
 
 
 def output_type_choice(spark, sf_dir):
-    """What a tensor is written as when 8-bit blocks are asked for."""
-    kind = F.when(F.col("name").contains("_norm") | (F.col("r") == 1), "F32").when(F.col("c") % 32 != 0, "F16").otherwise("Q8_0")
-    return _tensors(spark).select("name", kind.alias("type"))
+    """What the conversion writes a tensor as when 8-bit blocks are asked for; a tensor of one row is a vector."""
+
+    @F.pandas_udf("string")
+    def kind(names: pd.Series, r: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([output_type(n, (int(x), int(y)) if x > 1 else (int(y),), "Q8_0") for n, x, y in zip(names, r, c, strict=True)])
+
+    return _tensors(spark).select("name", kind("name", "r", "c").alias("type"))
 
 
 def element_counts(spark, sf_dir):
@@ -297,17 +303,22 @@ def typed_getters(spark, sf_dir):
 
 
 NAMES = ["layers.0.attention.wq.weight", "layers.11.attention.wo.weight", "layers.2.feed_forward.w1.weight", "layers.2.feed_forward.w2.weight", "layers.2.feed_forward.w3.weight", "layers.5.attention_norm.weight", "layers.5.ffn_norm.weight", "norm.weight", "output.weight", "tok_embeddings.weight", "layers.1.strange.weight"]
-# Names in the source checkpoint and in the file.
-RENAMED = {"attention.wq": "attn_q", "attention.wk": "attn_k", "attention.wv": "attn_v", "attention.wo": "attn_output", "feed_forward.w1": "ffn_gate", "feed_forward.w2": "ffn_down", "feed_forward.w3": "ffn_up", "attention_norm": "attn_norm", "ffn_norm": "ffn_norm"}
-TOP = {"norm": "output_norm", "output": "output", "tok_embeddings": "token_embd"}
 
 
 def tensor_name_map(spark, sf_dir):
-    """File names of checkpoint tensors; a name without one is null."""
-    names = _rows(spark, [(n,) for n in NAMES], "name string")
-    known = F.create_map(*[F.lit(x) for kv in (RENAMED | TOP).items() for x in kv])
-    layer, rest = F.regexp_extract("name", r"^layers\.(\d+)\.", 1), F.regexp_replace(F.regexp_replace("name", r"^layers\.\d+\.", ""), r"\.weight$", "")
-    return names.select("name", F.concat(F.when(layer != "", F.concat(F.lit("blk."), layer, F.lit("."))).otherwise(""), known[rest], F.lit(".weight")).alias("file_name"))
+    """File names of checkpoint tensors as the conversion gives them; a name it refuses is null."""
+
+    @F.pandas_udf("string")
+    def named(names: pd.Series) -> pd.Series:
+        def one(n: str) -> str | None:
+            try:
+                return file_name(n)
+            except ValueError:
+                return None
+
+        return names.map(one)
+
+    return _rows(spark, [(n,) for n in NAMES], "name string").select("name", named("name").alias("file_name"))
 
 
 def marker_order(spark, sf_dir):
@@ -326,7 +337,7 @@ def bench_label(spark, sf_dir):
     return _rows(spark, [("tiny-model-Q8_0",), ("plain",)], "name string").select("name", F.substring_index("name", "-", -1).alias("label"))
 
 
-_NAME_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (RENAMED | TOP).items())
+_NAME_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (LAYER | TOP).items())
 _CODES = "list_transform(string_split(text, ''), lambda c: unicode(c)::INTEGER)"
 _ODD = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'tool' ELSE role END role, CASE WHEN conv_id % 7 = 0 AND role = 'assistant' THEN '' ELSE text END text FROM conversations"
 _DIGITS = "(strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1"

@@ -1,12 +1,16 @@
 """Integer products against floats, and conversion of a checkpoint."""
 
+import base64
+import json
+
 import numpy as np
 import pytest
 
 from gavel.functions.geometry import BY_NAME, INTEGER
 from gavel.functions.integer import Strategy, matmul, quantize
 from gavel.functions.quant import decode
-from gavel.operators.convert import build_vocabulary, convert, file_name, output_type
+from gavel.operators.convert import build_vocabulary, convert, convert_folder, file_name, output_type
+from gavel.operators.model import Config, vocabulary_of
 from gavel.sources.gguf import GgufFile
 from gavel.sources.safetensors import save
 
@@ -50,3 +54,25 @@ def test_convert(tmp_path):
     assert output_type("x.weight", (2, 64), "f16") == "F16"
     v = build_vocabulary(["<s>", "[INST]"], ["a", "b", "ab"], frozenset({"[INST]"}))
     assert v.types == (3, 4, 1, 1, 1) and v.merges == (("a", "b"),) and v.merge("ab") == [4]
+
+
+def test_folder(tmp_path):
+    """A checkpoint of parameters, tokenizer and tensors becomes a file whose configuration and vocabulary can be read."""
+    params = {"max_position_embeddings": 512, "dim": 64, "n_layers": 1, "hidden_dim": 96, "n_heads": 2, "n_kv_heads": 1, "head_dim": 32, "vocab_size": 262, "norm_eps": 1e-5, "rope_theta": 1e6}
+    params |= {"yarn": {"factor": 16, "original_max_position_embeddings": 64, "apply_scale": False}, "llama_4_scaling": {"beta": 0.1, "original_max_position_embeddings": 64}}
+    special = [{"rank": i, "token_str": t, "is_control": t != "[X]"} for i, t in enumerate(["<unk>", "<s>", "</s>", "[X]"])]
+    plain = [bytes([b]) for b in range(256)] + [b"th", b"the"]
+    vocab = [{"rank": i, "token_bytes": base64.b64encode(p).decode()} for i, p in enumerate(plain)]
+    (tmp_path / "params.json").write_text(json.dumps(params))
+    (tmp_path / "tekken.json").write_text(json.dumps({"special_tokens": special[::-1], "vocab": vocab[::-1]}))
+    save(str(tmp_path / "consolidated.safetensors"), {"tok_embeddings.weight": np.ones((262, 64), np.float32), "norm.weight": np.ones(64, np.float32), "vision_encoder.x": np.ones(2, np.float32)})
+    out = str(tmp_path / "m.gguf")
+    assert sorted(convert_folder(str(tmp_path), out)) == ["output_norm.weight", "token_embd.weight"]
+    file = GgufFile(out)
+    v = vocabulary_of(file)
+    assert v.types[:4] == (3, 3, 3, 4) and v.encode("the") == [1, 4 + 257] and v.encode("th") == [1, 4 + 256]
+    assert file.get("mistral3.attention.temperature_length") == 64 and file.get("mistral3.rope.scaling.yarn_log_multiplier") == 1
+    assert file.get("tokenizer.chat_template", None) is None and Config.of(file).layers == 1
+    (tmp_path / "params.json").write_text("{}")
+    with pytest.raises(KeyError):
+        convert_folder(str(tmp_path), out)

@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gavel import cli
 from gavel.functions.quant import decode, encode
@@ -162,12 +163,18 @@ def test_moderate(spark, tiny_model):
     assert {"embeddings", "final_norm", "logits", "output-1"} <= {a["name"] for a in seen}
 
 
-def test_scores_of_published_cases():
-    """The two logits of a case give its score; runs on made-up logits, and on a real model where one is named."""
+def test_scores_of_published_cases(spark):
+    """The two logits of a published case give its score and its texts; a real model is asked where one is named."""
+    from gavel.functions import text as T
+    from gavel.functions.tensors import verdict
     from gavel.functions.text import DEFAULT_INSTRUCT, DEFAULT_QUERY
 
-    y, n = 32.72747802734375, 26.83439064025879
-    assert 1 / (1 + math.exp(n - y)) == pytest.approx(0.997249140956678, abs=1e-6)
+    case = spark.createDataFrame([(32.72747802734375, 26.83439064025879)], "yes double, no double").withColumn("score", verdict(F.col("yes"), F.col("no")))
+    zero = F.lit(0)
+    row = case.select("score", T.verdict_text("score", "yes", "no").alias("t"), T.verdict_json("score", "yes", "no", F.lit(9), zero, zero, zero).alias("j")).first()
+    assert row["score"] == pytest.approx(0.997249140956678, abs=1e-6)
+    assert row["t"] == "UNSAFE score=0.997249 (yes=32.7275 no=26.8344)"
+    assert json.loads(row["j"]) == {"score": 0.9972, "unsafe_verdict": True, "yes_logit": 32.7275, "no_logit": 26.8344, "prompt_tokens": 9, "prefilled_tokens": 0, "load_ms": 0, "inference_ms": 0}
     if path := os.environ.get("GAVEL_MODEL"):
         assert Moderator(path).verdict(cli.render(DEFAULT_INSTRUCT, DEFAULT_QUERY, "How do I bake bread?"))[0] < 0.05
 
