@@ -88,6 +88,15 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch; schema as mapInArrow takes it, of plain types."""
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
 def fold(doc_id="doc_id"):
     """crc32 of the id as text, modulo 3; 1 is held out from every training set."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3

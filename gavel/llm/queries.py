@@ -12,6 +12,7 @@ from gavel.llm import language as _language
 from gavel.llm import neighbours as _near
 from gavel.llm import pieces as _pieces
 from gavel.llm import quality as _quality
+from gavel.llm import repair as _repair
 from gavel.llm import repeats as _repeats
 from gavel.llm import token_counts as _tokens
 from gavel.llm import toxicity as _toxic
@@ -62,5 +63,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality_scores(docs, _quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeats, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op9_jaccard, op10_quality)}
-ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE, "op9_jaccard": _jaccard.ORACLE}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repair.repair(_repair.damaged(table(spark, sf_dir, "conversations"))).drop("n_turns", "opens")
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeats, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op9_jaccard, op10_quality, op11_repair)}
+ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE, "op9_jaccard": _jaccard.ORACLE, "op11_repair": _repair.ORACLE}
