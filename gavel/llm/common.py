@@ -75,12 +75,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow over text slices; make() runs once in each task and returns the slice function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for part in slices(batches):
+        for part in slices(batches, text):
             out = f(part)
             if out is not None and out.num_rows:
                 yield out

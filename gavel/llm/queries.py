@@ -16,6 +16,7 @@ from gavel.llm import repair as _repair
 from gavel.llm import repeats as _repeats
 from gavel.llm import token_counts as _tokens
 from gavel.llm import toxicity as _toxic
+from gavel.llm import warc as _warc
 from gavel.llm.common import table
 
 
@@ -67,5 +68,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repair.repair(_repair.damaged(table(spark, sf_dir, "conversations"))).drop("n_turns", "opens")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeats, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op9_jaccard, op10_quality, op11_repair)}
-ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE, "op9_jaccard": _jaccard.ORACLE, "op11_repair": _repair.ORACLE}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _warc.new_folder(spark)
+    _warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return _warc.read_archives(spark, folder).drop("url", "file")
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeats, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op9_jaccard, op10_quality, op11_repair, op12_warc)}
+ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE, "op9_jaccard": _jaccard.ORACLE, "op11_repair": _repair.ORACLE, "op12_warc": _warc.ORACLE}
