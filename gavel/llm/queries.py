@@ -16,6 +16,7 @@ from gavel.llm import repair as _repair
 from gavel.llm import repeats as _repeats
 from gavel.llm import token_counts as _tokens
 from gavel.llm import toxicity as _toxic
+from gavel.llm import trie as _trie
 from gavel.llm import warc as _warc
 from gavel.llm.common import table
 
@@ -74,5 +75,9 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.read_archives(spark, folder).drop("url", "file")
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeats, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op9_jaccard, op10_quality, op11_repair, op12_warc)}
-ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE, "op9_jaccard": _jaccard.ORACLE, "op11_repair": _repair.ORACLE, "op12_warc": _warc.ORACLE}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trie.prefix_trie(_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_repeats, op3_toxicity, op4_token_counts, op5_neighbours, op6_language, op7_pieces, op8_decontaminate, op9_jaccard, op10_quality, op11_repair, op12_warc, op13_prefix_trie)}
+ORACLE_SQL = {"op8_decontaminate": _dec.ORACLE, "op9_jaccard": _jaccard.ORACLE, "op11_repair": _repair.ORACLE, "op12_warc": _warc.ORACLE, "op13_prefix_trie": _trie.ORACLE}

@@ -8,6 +8,7 @@ import pytest
 from conftest import by_sql, same
 
 from gavel.llm import repair as R
+from gavel.llm import trie as T
 from gavel.llm.queries import ORACLE_SQL, QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -125,6 +126,65 @@ def test_long_conversation_stays_linear():
     assert time.time() - began < 60
 
 
-@pytest.mark.parametrize("name", ["op11_repair"])
+def _plain_trie(rows, rebuild=True):
+    """The nodes as sorted tuples, from dictionaries of prefixes."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", hashlib.md5((text or "").encode()).digest(), text or ""))
+    own = {c: [(x[2], x[4]) for x in sorted(v)] for c, v in own.items()}
+    members = {}
+    ends = {}
+    for c, turns in own.items():
+        if rebuild:
+            h = zlib.crc32(str(c).encode()) % 6
+            turns = own.get(c - (c % 100 if c >= 0 else -(-c % 100)), [])[:h] + turns[h:]
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+        ends.setdefault(tuple(turns), []).append(c)
+    kids = {}
+    for k in members:
+        if k:
+            kids[k[:-1]] = kids.get(k[:-1], 0) + 1
+    leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for k, m in members.items():
+        value = (len(m) - 1) * len(k[-1][1]) if k else 0
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += k not in kids
+            saved[k[:d]] += value
+    digest = lambda k: hashlib.sha256(",".join(map(str, sorted(ends.get(k, [])))).encode()).hexdigest()
+    return sorted(repr((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), kids.get(k, 0), leaves[k], saved[k], digest(k))) for k, m in members.items())
+
+
+def _nodes(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+@pytest.mark.parametrize("path", [3, 16_384])
+def test_trie_equals_dictionaries(spark, monkeypatch, path):
+    monkeypatch.setattr(T, "PATH", path)
+    rng = random.Random(path)
+    rows = []
+    for c in [*range(95, 130), 200, 205, 300, 1007, -3, -100, 10**12]:
+        rows += [(c, rng.choice([None, t, t, t, t]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None, "é𝒜"])) for t in range(rng.choice([0, 1, 3, 7, 12]))]
+    rows += rows[:9] + [(None, 1, "user", "x")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], TURNS + ", node string")
+    assert _nodes(T.prefix_trie(T.rebuilt(df))) == _plain_trie(rows)
+
+
+def test_trie_of_chains_copies_and_nothing(spark, monkeypatch):
+    monkeypatch.setattr(T, "PIECE", 40)
+    rows = [(c, t, "user", f"{t if t < c % 7 else (c, t)}") for c in range(60) for t in range(c % 9)]  # combs
+    rows += [(c, t, "user", "same") for c in range(1000, 1080) for t in range(3)]  # many ends at one node
+    rows += [(5000, t, "user", "long") for t in range(150)]
+    df = spark.createDataFrame(rows, TURNS)
+    assert _nodes(T.prefix_trie(T.plain(df))) == _plain_trie(rows, rebuild=False)
+    assert T.prefix_trie(T.rebuilt(spark.createDataFrame([], TURNS))).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op11_repair", "op13_prefix_trie"])
 def test_queries_equal_sql(spark, sf_dir, name):
-    same(QUERIES[name](spark, sf_dir).toPandas(), by_sql(sf_dir, ORACLE_SQL[name]))
+    got, want = QUERIES[name](spark, sf_dir).toPandas(), by_sql(sf_dir, ORACLE_SQL[name])
+    if "parent_conv_id" in got:
+        got, want = (x.fillna({"parent_conv_id": -1}).astype({"parent_conv_id": int}) for x in (got, want))
+    same(got, want)
