@@ -42,6 +42,8 @@ LEAST_RANGE, MOST_RANGE = 4 << 20, 1 << 30
 #: Cells into which a stretch of the id range is cut at once: all that comes to the driver.
 CELLS = 4096
 SALTS = 64
+#: Tasks that read archives, at most; each reads one file after another.
+MOST_TASKS = 10_000
 DATE = "1970-01-01T00:00:00Z"
 PACKED = "shard long, page_id long, h long, digest string, kind int, ref_page long, ref_h long, url string, size long, record binary"
 FILES = "shard long, part long, temporary string, name string, records long, bytes long, sha256 string"
@@ -339,7 +341,8 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> Da
     """The records of all files that the folder's manifest names; payload adds the bytes of responses (null for revisits)."""
     read, schema = _reader(folder, payload)
     files = spark.read.parquet(f"{folder}/_manifest").select("name", "records")
-    return files.repartition("name").mapInArrow(read, schema)
+    tasks = min(max(1, files.count()), MOST_TASKS)  # stated, as Spark would put such small rows into one task
+    return files.repartition(tasks, "name").mapInArrow(read, schema)
 
 
 def new_folder(spark: SparkSession) -> str:
