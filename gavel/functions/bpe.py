@@ -1,8 +1,4 @@
-"""Byte-level byte-pair encoding: vocabulary, merges, encoding of distinct pieces, decoding.
-
-Pieces are encoded once each: a corpus has far fewer distinct pieces than
-pieces, so the Arrow function sees the distinct ones and the ids are joined back.
-"""
+"""Byte-level byte-pair encoding of one text: alphabet, vocabulary, merges, decoding. gavel.operators.tokenizer does tables."""
 
 from __future__ import annotations
 
@@ -12,8 +8,6 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
@@ -90,18 +84,19 @@ class Vocabulary:
         return self.ids.get(piece, -1)
 
     def merge(self, piece: str) -> list[int]:
-        """Merge the lowest rank first, leftmost of equals; symbols without an id are dropped."""
-        if piece in self.ids:
-            return [self.ids[piece]]
-        left, right = list(range(-1, len(piece) - 1)), [*range(1, len(piece)), -1]
-        symbol: list[str | None] = list(piece)
+        """Ids of a piece: its own, or those of its symbols after all merges; symbols without an id are dropped."""
+        return [self.ids[piece]] if piece in self.ids else [self.ids[s] for s in self.merged(list(piece)) if s in self.ids]
+
+    def merged(self, symbol: list[str | None]) -> list[str]:
+        """Merge the lowest rank first, leftmost of equals."""
+        left, right = list(range(-1, len(symbol) - 1)), [*range(1, len(symbol)), -1]
         queue: list[tuple[int, int, str, str]] = []
 
         def push(i: int, j: int) -> None:
             if i >= 0 and j >= 0 and (rank := self.ranks.get((symbol[i], symbol[j]))) is not None and symbol[i] + symbol[j] in self.ids:
                 heapq.heappush(queue, (rank, i, symbol[i], symbol[j]))
 
-        for i in range(len(piece) - 1):
+        for i in range(len(symbol) - 1):
             push(i, i + 1)
         while queue:
             _, i, a, b = heapq.heappop(queue)
@@ -114,10 +109,10 @@ class Vocabulary:
                 left[right[i]] = i
             push(left[i], i)
             push(i, right[i])
-        return [self.ids[s] for s in symbol if s is not None and s in self.ids]
+        return [s for s in symbol if s is not None]
 
     def encode(self, text: str, special: bool = True) -> list[int]:
-        """One text on one machine; encode_table does tables."""
+        """One text on one machine."""
         import regex
 
         out = [self.bos] if special and self.add_bos else []
@@ -144,26 +139,6 @@ class Vocabulary:
         return out.decode("utf-8", "replace")
 
 
-def ids_of(piece: Column, vocabulary: Vocabulary) -> Column:
-    """array<int>: the ids of one pre-token each."""
-
-    @pandas_udf("array<int>")
-    def f(pieces: pd.Series) -> pd.Series:
-        return pieces.map(lambda p: vocabulary.merge(to_alphabet(p)), na_action="ignore")
-
-    return f(piece)
-
-
-def encode_table(df: DataFrame, key: str, text: str, vocabulary: Vocabulary, special: bool = True) -> DataFrame:
-    """(key, tokens) for each row, without a shuffle: a worker remembers the pieces it has merged. A null text has null tokens."""
-
-    @pandas_udf("array<int>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: vocabulary.encode(t, special), na_action="ignore")
-
-    return df.select(key, tokens(text).alias("tokens"))
-
-
 def derive_merges(pieces: list[str]) -> list[tuple[str, str]]:
     """Merges of a vocabulary in rank order: a piece that the earlier ones split in two is the merge of these."""
     rank = {p: i for i, p in enumerate(pieces)}

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions import text as T
-from gavel.functions.bpe import ALPHABET, byte_decoded, byte_encoded, encode_table, tiny_vocabulary
+from gavel.functions.bpe import ALPHABET, byte_decoded, byte_encoded, tiny_vocabulary
 from gavel.functions.geometry import INTEGER, OFFSET, TYPES, ZERO_POINT
 from gavel.operators.convert import LAYER, TOP, file_name, output_type
+from gavel.operators.tokenizer import encode_in_sets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,13 +140,6 @@ def vocab_lookup(spark, sf_dir):
     return found.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") < 0, 1).otherwise(0)).alias("missing"), F.sum("id").alias("id_sum"))
 
 
-def encode_with_bos(spark, sf_dir):
-    """Token ids by the tiny vocabulary: each distinct piece is merged once."""
-    v = tiny_vocabulary()
-    out = encode_table(_table(spark, sf_dir, "documents"), "doc_id", "text", v)
-    return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.col("tokens")[0].alias("first"), F.md5(F.array_join("tokens", ",").cast("binary")).alias("digest"))
-
-
 PIECES = [" Yes", "yes.", '"No"', "no'", " YES ", "nope", ". no", "\tNo\n", "yes", "''yes''", "no .", "", "No.", "¡No!", " nO."]
 
 
@@ -197,13 +191,13 @@ def fingerprint(spark, sf_dir):
 
 
 def _tokens_whole(spark, sf_dir):
-    return encode_table(_table(spark, sf_dir, "documents"), "doc_id", "text", tiny_vocabulary(), special=False)
+    return encode_in_sets(_table(spark, sf_dir, "documents"), "doc_id", "text", tiny_vocabulary(), special=False)
 
 
 def prefix_match_whole(spark, sf_dir):
     """How many tokens of whole documents are those that document 0 begins with, and whether the first two are."""
     first = _table(spark, sf_dir, "documents").filter("doc_id = 0").limit(1)
-    prefix = encode_table(first, "doc_id", "text", tiny_vocabulary(), special=False).select(F.col("tokens").alias("prefix"))
+    prefix = encode_in_sets(first, "doc_id", "text", tiny_vocabulary(), special=False).select(F.col("tokens").alias("prefix"))
     both = _tokens_whole(spark, sf_dir).crossJoin(F.broadcast(prefix))
     differs = F.array_position(F.zip_with("tokens", "prefix", lambda a, b: a.eqNullSafe(b)), False)
     shared = F.when(differs > 0, differs - 1).otherwise(F.size("tokens").cast("long"))
@@ -342,7 +336,7 @@ _CODES = "list_transform(string_split(text, ''), lambda c: unicode(c)::INTEGER)"
 _ODD = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'tool' ELSE role END role, CASE WHEN conv_id % 7 = 0 AND role = 'assistant' THEN '' ELSE text END text FROM conversations"
 _DIGITS = "(strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1"
 _SPLIT = f"list_filter(string_split(regexp_replace(t, '({T.marker_pattern().replace(chr(39), chr(39) * 2)})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '')"
-QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, vocab_lookup, encode_with_bos, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
+QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, vocab_lookup, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
 ORACLE_SQL = {
     "format_user_message": f"SELECT doc_id, md5({_DEFAULT}) digest, length({_DEFAULT}) n_chars FROM documents",
     "render_prompt": f"SELECT doc_id, md5({_OPEN} || {_DEFAULT} || '[/INST]') digest, length({_OPEN} || {_DEFAULT} || '[/INST]') n_chars FROM documents",

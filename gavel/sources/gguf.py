@@ -4,17 +4,27 @@
 (key, value_type, value, item count), tensors (name, shape, type, offset, sizes)
 and rows (tensor, row_id, packed), which is split by ranges of rows so that a
 large tensor is read by many tasks. Paths must be visible to the workers.
+
+``df.write.format("gguf").option("type", ...).save(path)`` writes rows (tensor, row_id, values). Each task quantizes its rows into a part of its own
+beside the target; the commit checks that the parts hold every row of every tensor once, lays them out behind one header, a megabyte at a
+time, and renames the file; an abort, or a failed commit, leaves no file. write_tensors() sorts a table first, so that parts are long runs.
 """
 
 from __future__ import annotations
 
 import json
 import mmap
+import os
+import shutil
 import struct
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from gavel.functions.geometry import BY_CODE, BY_NAME, BlockType
 
@@ -154,8 +164,8 @@ class GgufFile:
         return self.values(name)
 
 
-def write_gguf(path: str, metadata: dict[str, tuple[str, object]], tensors: list[tuple[str, tuple[int, ...], str, bytes]], alignment: int = 32) -> None:
-    """Write version 3: metadata as key -> (type name, value), tensors as (name, shape, type, packed bytes)."""
+def _header(metadata: dict[str, tuple[str, object]], tensors: list[tuple[str, tuple[int, ...], str, int]], alignment: int) -> bytes:
+    """Header and fill of version 3; tensors as (name, shape, type, bytes), in the order of the data."""
     text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
 
     def value(kind: str, v) -> bytes:
@@ -169,14 +179,139 @@ def write_gguf(path: str, metadata: dict[str, tuple[str, object]], tensors: list
     head = MAGIC + struct.pack("<IQQ", 3, len(tensors), len(metadata))
     for key, (kind, v) in metadata.items():
         head += text(key) + struct.pack("<I", CODES["array" if kind.startswith("array[") else kind]) + value(kind, v)
-    at, body = 0, []
-    for name, shape, kind, raw in tensors:
+    at = 0
+    for name, shape, kind, size in tensors:
         head += text(name) + struct.pack("<I", len(shape)) + struct.pack(f"<{len(shape)}Q", *shape) + struct.pack("<IQ", BY_NAME[kind].code, at)
-        fill = -len(raw) % alignment
-        body.append(raw + b"\0" * fill)
-        at += len(raw) + fill
+        at += size + -size % alignment
+    return head + b"\0" * (-len(head) % alignment)
+
+
+def write_gguf(path: str, metadata: dict[str, tuple[str, object]], tensors: list[tuple[str, tuple[int, ...], str, bytes]], alignment: int = 32) -> None:
+    """Write version 3: metadata as key -> (type name, value), tensors as (name, shape, type, packed bytes)."""
     with open(path, "wb") as f:
-        f.write(head + b"\0" * (-len(head) % alignment) + b"".join(body))
+        f.write(_header(metadata, [(*t[:3], len(t[3])) for t in tensors], alignment))
+        for *_, raw in tensors:
+            f.write(raw + b"\0" * (-len(raw) % alignment))
+
+
+def _local(path: str) -> str:
+    """A path that open() takes: file: URIs and plain paths, of a folder that driver and executors share."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
+@dataclass(frozen=True)
+class Run:
+    """Consecutive rows of a tensor in a part."""
+
+    tensor: str
+    first: int
+    rows: int
+    cols: int
+    kind: str
+    part: str
+    offset: int
+    size: int
+
+
+@dataclass
+class _Runs(WriterCommitMessage):
+    runs: list[Run]
+
+
+class GgufWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict, overwrite: bool):
+        self.target = _local(options["path"])
+        if os.path.exists(self.target) and not overwrite:
+            raise GgufError(f"{self.target} exists")
+        self.kind, self.name = options.get("type", "F32"), options.get("tensor")
+        if self.kind.upper() not in BY_NAME:
+            raise GgufError(f"type {self.kind} is not known")
+        self.metadata = {k: tuple(v) for k, v in json.loads(options.get("metadata", "{}")).items()}
+        self.folder = f"{self.target}.parts-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from gavel.functions.quant import encode
+        from gavel.operators.convert import output_type
+
+        os.makedirs(self.folder, exist_ok=True)
+        part, runs, at = f"{self.folder}/{uuid.uuid4().hex}", [], 0
+        with open(part, "wb") as f:
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                names = batch.column("tensor").to_pylist() if "tensor" in batch.schema.names else [self.name] * batch.num_rows
+                ids, values = batch.column("row_id").to_pylist(), batch.column("values")
+                flat, lengths = values.flatten(), values.value_lengths().to_pylist()
+                if None in names or None in ids or None in lengths or flat.null_count:
+                    raise GgufError("a name, row or value is null")
+                x, ends = flat.to_numpy(zero_copy_only=False).astype(np.float32), np.cumsum([0, *lengths])
+                i = 0
+                while i < batch.num_rows:
+                    j = i + 1
+                    while j < batch.num_rows and names[j] == names[i] and ids[j] == ids[j - 1] + 1 and lengths[j] == lengths[i]:
+                        j += 1
+                    kind = output_type(names[i], (1, lengths[i]), self.kind)
+                    raw = encode(kind, x[ends[i] : ends[j]])
+                    f.write(raw)
+                    last = runs[-1] if runs else None
+                    if last and (last.tensor, last.first + last.rows, last.cols) == (names[i], ids[i], lengths[i]):
+                        runs[-1] = Run(last.tensor, last.first, last.rows + j - i, last.cols, kind, part, last.offset, last.size + len(raw))
+                    else:
+                        runs.append(Run(names[i], ids[i], j - i, lengths[i], kind, part, at, len(raw)))
+                    at += len(raw)
+                    i = j
+        return _Runs(runs)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        try:
+            self._lay_out([r for m in messages if m for r in m.runs])
+        finally:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+    def _lay_out(self, runs: list[Run], alignment: int = 32) -> None:
+        by_tensor: dict[str, list[Run]] = {}
+        for r in sorted(runs, key=lambda r: (r.tensor, r.first)):
+            by_tensor.setdefault(r.tensor, []).append(r)
+        tensors = []
+        for name, own in by_tensor.items():
+            n = 0
+            for r in own:
+                if r.first != n:
+                    raise GgufError(f"{name}: row {min(n, r.first)} is {'missing' if r.first > n else 'there twice'}")
+                if r.cols != own[0].cols:
+                    raise GgufError(f"{name}: rows of {own[0].cols} and of {r.cols} values")
+                n += r.rows
+            vector = n == 1 and name.endswith("norm.weight")
+            tensors.append((name, (own[0].cols,) if vector else (own[0].cols, n), own[0].kind, sum(r.size for r in own)))
+        new = f"{self.folder}/file"
+        os.makedirs(self.folder, exist_ok=True)
+        with open(new, "wb") as out:
+            out.write(_header(self.metadata, tensors, alignment))
+            for (_, _, _, size), own in zip(tensors, by_tensor.values(), strict=True):
+                for r in own:
+                    with open(r.part, "rb") as part:
+                        part.seek(r.offset)
+                        left = r.size
+                        while left:
+                            piece = part.read(min(left, 1 << 20))
+                            if not piece:
+                                raise GgufError(f"{r.part} is too short")
+                            out.write(piece)
+                            left -= len(piece)
+                out.write(b"\0" * (-size % alignment))
+        os.replace(new, self.target)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def write_tensors(df: DataFrame, path: str, kind: str = "Q8_0", metadata: dict[str, tuple[str, object]] | None = None) -> None:
+    """Write rows (tensor, row_id, values) as a GGUF file: sorted by ranges, so that each task quantizes long runs of rows and no task gathers a tensor."""
+    from gavel.sources import register
+
+    register(df.sparkSession)
+    rows = df.select("tensor", "row_id", "values").repartitionByRange("tensor", "row_id").sortWithinPartitions("tensor", "row_id")
+    rows.write.format("gguf").mode("overwrite").option("path", path).option("type", kind).option("metadata", json.dumps(metadata or {})).save()
 
 
 class _Rows(InputPartition):
@@ -187,7 +322,7 @@ class _Rows(InputPartition):
 
 class GgufReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.view, self.only = options["path"], options.get("view", "tensors"), options.get("tensor")
+        self.path, self.view, self.only = _local(options["path"]), options.get("view", "tensors"), options.get("tensor")
 
     def partitions(self):
         file = GgufFile(self.path)  # a broken file fails here, before any task
@@ -230,3 +365,6 @@ class GgufSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return GgufReader(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> GgufWriter:
+        return GgufWriter(dict(self.options), overwrite)

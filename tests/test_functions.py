@@ -79,21 +79,6 @@ def test_merges_equal_plain_loop():
         assert v.merge(p) == _merge_slowly(v, p)
 
 
-def test_encode_table_equals_encode(spark):
-    v = bpe.tiny_vocabulary()
-    texts = ["yes the man", "", None, "x[INST]no[/INST]</s>", "日本 🚨 test\n\n", "aaa [IMG][IMG] b"]
-    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
-    got = {r["k"]: r["tokens"] for r in bpe.encode_table(df, "k", "t", v).collect()}
-    assert got[2] is None
-    for k, t in enumerate(texts):
-        if t is not None:
-            assert got[k] == v.encode(t)
-            assert v.decode(v.encode(t), special=True) == "<s>" + t
-    assert v.lookup("no such") == -1
-    with pytest.raises(ValueError):
-        v.decode([10**6])
-
-
 def test_derived_merges_rebuild_the_vocabulary():
     v = bpe.tiny_vocabulary()
     merges = bpe.derive_merges(list(v.pieces[8:]))
