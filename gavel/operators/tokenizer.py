@@ -1,7 +1,8 @@
 """Byte-pair encoding of tables in sets: each distinct piece is merged once in the whole job, by rounds of joins.
 
-Encoding. Texts are cut into pieces; the distinct ones are the dictionary. A piece is a string of symbols, each between two
-spaces (which no symbol holds). In a round the adjacent pairs of all pieces are joined with the merge table, each piece takes the
+Encoding. Texts are cut into pieces, once; the distinct ones are the dictionary. A piece is a string with one character a symbol: those of the byte
+alphabet, and for each product of a merge a character that tells its id, so a pair of symbols is two characters and a merge replaces them by one. In a
+round the adjacent pairs of all pieces are joined with the merge table, each piece takes the
 least rank, and that pair is merged in all of them at once: everywhere, from the left, if no merge of a product comes before
 the merge that makes it (checked on the table), else at its leftmost place alone. Pieces without a pair in the table are done. Rounds of one
 job keep the pieces where they are: the dictionary is dealt by piece once, the merge table is broadcast if it is within a counted bound.
@@ -51,11 +52,30 @@ def raw_hex(piece: Column | str) -> Column:
     return F.when(col == "", "").otherwise(F.array_join(F.transform(F.split(col, ""), one), ""))
 
 
-def vocabulary_tables(spark: SparkSession, v: Vocabulary) -> tuple[DataFrame, DataFrame]:
-    """(token_id, piece, type) and (rank, left, right) of merges whose product is a piece."""
+def vocabulary_tables(spark: SparkSession, v: Vocabulary) -> DataFrame:
+    """(token_id, piece, type)."""
     rows = [(i, p, int(t)) for i, (p, t) in enumerate(zip(v.pieces, v.types, strict=True))]
-    merges = [(r, a, b) for (a, b), r in v.ranks.items() if a + b in v.ids]
-    return spark.createDataFrame(rows, "token_id int, piece string, type int"), spark.createDataFrame(merges, "rank int, left string, right string")
+    return spark.createDataFrame(rows, "token_id int, piece string, type int")
+
+
+#: The character of a product is this code point and its id.
+PRODUCT = 0x20000
+_PLACES = max(map(ord, ALPHABET)) + 1
+
+
+def merge_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
+    """(rank, pair, product) as characters; merges whose product is no piece, or whose parts are none, never happen."""
+    one = lambda x: x if len(x) == 1 else chr(PRODUCT + v.ids[x])
+    made = lambda x: len(x) == 1 or x in v.ids
+    rows = [(r, one(a) + one(b), one(a + b)) for (a, b), r in v.ranks.items() if a + b in v.ids and made(a) and made(b)]
+    return spark.createDataFrame(rows, "rank int, pair string, product string")
+
+
+def _ids(s: Column, v: Vocabulary) -> Column:
+    """Ids of a string of symbols; bytes without an id are dropped."""
+    own = F.array(*[F.lit(v.ids.get(chr(c), -1)) for c in range(_PLACES)])
+    code = lambda c: F.when(F.ascii(c) >= PRODUCT, F.ascii(c) - PRODUCT).otherwise(F.get(own, F.ascii(c)))
+    return F.filter(F.transform(F.split(s, ""), code), lambda i: i >= 0)
 
 
 def ordered_merges(v: Vocabulary) -> bool:
@@ -68,9 +88,9 @@ def ordered_merges(v: Vocabulary) -> bool:
 
 
 def cut(df: DataFrame, key: str, text: str, v: Vocabulary) -> DataFrame:
-    """(row, key, missing, pos, piece): a row for each piece of each text, in the row's order; a null or empty text has one without a piece."""
+    """(row, key, pieces): the pieces of each text, null for a null one; written once, as the pattern is the dearest step."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).repartition("row")
-    return rows.select("row", "key", F.col("text").isNull().alias("missing"), F.posexplode_outer(_pieces_of(v)).alias("pos", "piece"))
+    return stored(rows.select("row", "key", _pieces_of(v).alias("pieces")))
 
 
 def _pieces_of(v: Vocabulary) -> Column:
@@ -81,52 +101,43 @@ def _pieces_of(v: Vocabulary) -> Column:
     return F.when(has_marker("text", v.markers), parts).otherwise(whole)
 
 
-def _symbols(piece: Column) -> Column:
-    return F.regexp_replace(piece, "(?s).", " $0 ")
-
-
 def _round(df: DataFrame, merges: DataFrame, everywhere: bool) -> DataFrame:
-    """One merge of every piece that has one; done: none was left. Nothing is shuffled: the rows stay dealt by piece."""
-    parts = F.split(F.expr("substring(s, 2, length(s) - 2)"), "  ")
-    pairs = F.array_distinct(F.zip_with(F.expr("slice(p, 1, size(p) - 1)"), F.expr("slice(p, 2, size(p) - 1)"), lambda a, b: F.struct(a.alias("left"), b.alias("right"))))
-    open_ = df.withColumn("p", parts).select("piece", "s", F.explode_outer(F.when(~F.col("done") & (F.size("p") > 1), pairs)).alias("pair"))
-    by_pair = small_or_not(merges.select("rank", F.struct("left", "right").alias("pair")))
-    ranked = open_.join(by_pair, "pair", "left").groupBy("piece", "s").agg(F.min("rank").alias("rank"))
-    best = ranked.join(small_or_not(merges), "rank", "left")
-    old, new = F.expr("concat(' ', left, '  ', right, ' ')"), F.expr("concat(' ', left, right, ' ')")
-    merged = F.replace("s", old, new) if everywhere else F.overlay("s", new, F.instr("s", old), F.length(old))
+    """One merge of every piece that has one; done: none was left. With merges marked for broadcast nothing is shuffled: the rows stay dealt by piece."""
+    parts = F.split("s", "")
+    pairs = F.array_distinct(F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: F.concat(a, b)))
+    open_ = df.select("piece", "s", F.explode_outer(F.when(~F.col("done") & (F.char_length("s") > 1), pairs)).alias("pair"))
+    ranked = open_.join(merges, "pair", "left").groupBy("piece", "s").agg(F.min("rank").alias("rank"))
+    best = ranked.join(merges, "rank", "left")
+    merged = F.replace("s", F.col("pair"), F.col("product")) if everywhere else F.overlay("s", "product", F.instr("s", F.col("pair")), F.lit(2))
     return best.select("piece", F.when(F.col("rank").isNull(), F.col("s")).otherwise(merged).alias("s"), F.col("rank").isNull().alias("done"))
 
 
 def merge_pieces(pieces: DataFrame, v: Vocabulary) -> DataFrame:
     """(piece, ids) for distinct pieces (a column piece): a marker's or a whole piece's own id, else those of its symbols after all merges; unknown symbols are dropped."""
     spark = pieces.sparkSession
-    vocabulary, merges = vocabulary_tables(spark, v)
-    lowest = small_or_not(vocabulary.groupBy("piece").agg(F.min("token_id").alias("id")).withColumnRenamed("piece", "symbol"))
+    merges = small_or_not(merge_table(spark, v))
+    whole = small_or_not(spark.createDataFrame([(p, chr(PRODUCT + i)) for p, i in v.ids.items()], "s string, token string"))
     marker = F.col("piece").isin(*v.markers) if v.markers else F.lit(False)
-    named = pieces.select("piece", F.when(marker, F.col("piece")).otherwise(shown("piece")).alias("symbol")).join(lowest, "symbol", "left")
-    known = stored(named.repartition("piece"))
-    direct = known.filter("id is not null").select("piece", F.array("id").alias("ids"))
-    open_, finished = known.filter("id is null").select("piece", _symbols(F.col("symbol")).alias("s"), F.lit(False).alias("done")), []
+    named = pieces.select("piece", F.when(marker, F.col("piece")).otherwise(shown("piece")).alias("s")).join(whole, "s", "left")
+    # a piece that is one itself is done before the first round
+    open_, done = named.select("piece", F.coalesce("token", "s").alias("s"), F.col("token").isNotNull().alias("done")), None
     everywhere = ordered_merges(v)
     for _ in range(JOBS):
         step = open_.repartition("piece")
         for _ in range(ROUNDS):
             step = _round(step, merges, everywhere)
         step = stored(step)
-        finished.append(step.filter("done").select("piece", "s"))
+        ended = step.filter("done").select("piece", "s")
+        done = ended if done is None else done.union(ended)
         open_ = step.filter("not done")
         if open_.isEmpty():
             break
     else:
-        queue = pandas_udf(lambda xs: xs.map(lambda s: "".join(f" {p} " for p in v.merged(s[1:-1].split("  ")))), "string")
-        finished.append(open_.select("piece", queue("s").alias("s")))
-    done = finished[0]
-    for more in finished[1:]:
-        done = done.union(more)
-    symbols = done.select("piece", F.posexplode(F.split(F.expr("substring(s, 2, length(s) - 2)"), "  ")).alias("pos", "symbol")).join(lowest, "symbol", "left")
-    in_order = F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))), lambda x: x["id"])
-    return direct.union(symbols.groupBy("piece").agg(in_order.alias("ids")))
+        name = lambda c: v.pieces[ord(c) - PRODUCT] if ord(c) >= PRODUCT else c
+        sign = lambda x: x if len(x) == 1 else chr(PRODUCT + v.ids[x])
+        queue = pandas_udf(lambda xs: xs.map(lambda s: "".join(map(sign, v.merged(list(map(name, s)))))), "string")
+        done = done.union(open_.select("piece", queue("s").alias("s")))
+    return done.select("piece", _ids(F.col("s"), v).alias("ids"))
 
 
 def _common(counts: DataFrame) -> int:
@@ -142,12 +153,13 @@ def _common(counts: DataFrame) -> int:
 
 def encode_in_sets(df: DataFrame, key: str, text: str, v: Vocabulary, special: bool = True) -> DataFrame:
     """(key, tokens) for each row. A null text has null tokens, an empty one no pieces; rows of equal keys stay rows of their own."""
-    pieces = cut(df, key, text, v)
-    counts = stored(pieces.filter("piece is not null").groupBy("piece").agg(F.count("*").alias("n")))
+    rows = cut(df, key, text, v)
+    counts = stored(rows.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")))
     dictionary = stored(merge_pieces(counts.select("piece"), v).join(counts, "piece"))
     least = _common(counts)
     common = dictionary.filter((F.col("n") >= least) & (F.length("piece") <= SHORT)).select("piece", "ids")
     rare = dictionary.filter((F.col("n") < least) | (F.length("piece") > SHORT)).select("piece", "ids")
+    pieces = rows.repartition("row").select("row", "key", F.col("pieces").isNull().alias("missing"), F.posexplode_outer("pieces").alias("pos", "piece"))
     found = pieces.join(F.broadcast(common), "piece", "left")
     ids = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))
     out = found.groupBy("row").agg(F.first("key").alias("key"), F.first("missing").alias("missing"), ids.alias("own"))

@@ -31,7 +31,7 @@ def encode_with_bos(spark, sf_dir):
 
 def decode_tokens(spark, sf_dir):
     """Whole documents from their token ids: the texts again."""
-    vocabulary = vocabulary_tables(spark, tiny_vocabulary())[0]
+    vocabulary = vocabulary_tables(spark, tiny_vocabulary())
     text = decode_in_sets(_encoded(spark, sf_dir), "doc_id", "tokens", vocabulary)
     return text.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 

@@ -54,7 +54,7 @@ def test_long_pieces_end_in_the_queue(spark, monkeypatch):
 
 def test_decoding(spark):
     v = bpe.tiny_vocabulary()
-    vocabulary = T.vocabulary_tables(spark, v)[0]
+    vocabulary = T.vocabulary_tables(spark, v)
     texts = [t for t in TEXTS if t is not None and "▁" not in t] + _texts(60, 5)
     ids = [v.encode(t) for t in texts] + [[v.ids[c] for c in map(lambda b: bpe.ALPHABET[b], raw)] for raw in (b"\xff\xfea", b"\xe6\x97", b"\xf0\x9f\x9a", b"a\xc3\x28", b"\xed\xa0\x80x")]
     df = spark.createDataFrame([*enumerate(ids), (-1, None), (-2, [])], "k int, ids array<int>")
@@ -100,8 +100,8 @@ def test_corpus_vocabulary_makes_an_encoder(spark, sf_dir):
 
 def test_rounds_shuffle_nothing_and_pieces_are_dealt_once(spark):
     v = bpe.tiny_vocabulary()
-    _, merges = T.vocabulary_tables(spark, v)
-    df = spark.range(50).select(F.concat(F.lit("th"), F.col("id").cast("string")).alias("piece")).repartition("piece").select("piece", T._symbols(F.col("piece")).alias("s"), F.lit(False).alias("done"))
+    merges = T.small_or_not(T.merge_table(spark, v))
+    df = spark.range(50).select(F.concat(F.lit("th"), F.col("id").cast("string")).alias("piece")).repartition("piece").select("piece", T.shown("piece").alias("s"), F.lit(False).alias("done"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = T._round(T._round(df, merges, True), merges, True)._jdf.queryExecution().executedPlan().toString()
