@@ -3,13 +3,14 @@
 1. Words are hashed, hashes of GRAM consecutive words are k-grams, and a document keeps the minimum
    k-gram hash of each WINDOW of words once: its fingerprints, about 2 for 9 words. Equal windows have
    equal minima at the same place, so documents that hold a window of the benchmark share a fingerprint with it.
-2. Fingerprints of documents and benchmark are joined. In the documents that are hit (few), the places of the
-   k-gram in document and item give a diagonal: an offset between the two.
-3. A diagonal is extended on the words themselves: document and item are laid side by side, and each run of WINDOW
-   equal words is a hit. So hashes only find candidates, and every shared window is found.
+2. Fingerprints of documents and benchmark are joined. In the documents that are hit (few), the places of the shared
+   k-grams are found again.
+3. Each such place is extended on the words to every window of the document that holds it; overlapping places share their windows, so a
+   document has a window a word at most, however often it repeats itself. The words of these windows are looked up among the
+   benchmark's distinct windows. So hashes only find candidates, and every shared window is found.
 
 Items of fewer than WINDOW words are one window of their own length; each length that occurs is looked up by a hash of
-so many words and then compared in the same way.
+so many words and then by the words in the same way.
 
 Bounds: the benchmark's fingerprints are broadcast only if they were counted and are
 within a bound; otherwise the join is shuffled.
@@ -97,34 +98,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = stored(read.select(*keys, F.explode("prints").alias("print")).join(small_or_not(tests.select("print").distinct()), "print", "left_semi"))
     hit = small_or_not(stored(hits.select(*keys).distinct()))
     own = stored(docs.join(hit, _same(docs, hit), "left_semi").distinct())
-    # where: the diagonals of document and item, 0 where both begin together
-    places = stored(_grams(own, keys)).select(*keys, F.posexplode("g").alias("at", "print")).join(small_or_not(hits.select("print").distinct()), "print", "left_semi")
-    marks = stored(_grams(long, ["item"])).select("item", F.posexplode("g").alias("item_at", "print")).join(tests, ["item", "print"], "left_semi")
-    diagonals = places.join(small_or_not(marks), "print").select(*keys, "item", (F.col("at") - F.col("item_at")).alias("by"))
+    # where: the windows around each place of a shared k-gram, as start * 16 + length
+    size = lambda x: x.bitwiseAND(F.lit(15))
+    start = lambda x: F.shiftright(x, 4)
+    places = stored(_grams(own, keys)).select(*keys, F.size("h").alias("n"), F.posexplode("g").alias("at", "print")).join(small_or_not(hits.select("print").distinct()), "print", "left_semi")
+    from_ = F.greatest(F.col("at") - (WINDOW - GRAM), F.lit(0))
+    around = F.when(from_ <= F.col("n") - WINDOW, F.sequence(from_, F.least(F.col("at"), F.col("n") - WINDOW)))
+    near = places.select(*keys, F.explode(around).alias("start")).select(*keys, (F.col("start").cast("long") * 16 + WINDOW).alias("span"))
     hashed = stored(_hashes(docs, keys)) if short else None
     for n in short:
         tiny = items.filter(F.size("item_words") == n)
-        found = _short(hashed, keys, n).join(small_or_not(_short(stored(_hashes(tiny, ["item"])), ["item"], n).select("item", "win")), "win")
-        diagonals = diagonals.unionByName(found.select(*keys, "item", F.col("at").alias("by")))
-    diagonals = stored(diagonals.distinct())
-
-    # the words side by side, and each run of a window's words that are equal
-    hit = small_or_not(stored(diagonals.select(*keys).distinct())) if short else hit
-    words = docs.join(hit, _same(docs, hit), "left_semi").distinct().select(*keys, F.transform(_words(), _lowered).alias("words"))
-    side = words.join(diagonals, _same(words, diagonals)).select(words["doc_id"], words["text_hash"], "item", "by", F.slice("words", F.greatest("by", F.lit(0)) + 1, F.lit(1 << 30)).alias("words"))
-    side = side.join(small_or_not(items.select("item", "item_id", "item_words")), "item")
-    equal = F.zip_with("words", F.slice("item_words", F.greatest(-F.col("by"), F.lit(0)) + 1, F.lit(1 << 30)), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    side = side.withColumn("words", F.slice("words", 1, F.size("item_words")))
+        found = _short(hashed, keys, n).join(small_or_not(_short(stored(_hashes(tiny, ["item"])), ["item"], n).select("win").distinct()), "win", "left_semi")
+        near = near.unionByName(found.select(*keys, (F.col("at").cast("long") * 16 + n).alias("span")))
+    spans = stored(near.groupBy(*keys).agg(F.collect_set("span").alias("spans")))
+
+    # the words of these windows among those of the benchmark
     need = F.least(F.size("item_words"), F.lit(WINDOW))
-    side = side.select(*keys, "item_id", need.alias("need"), F.greatest("by", F.lit(0)).cast("long").alias("start"), equal.alias("equal")).filter(F.size("equal") >= F.col("need"))
-    starts = F.filter(F.sequence(F.lit(1), F.size("equal") - F.col("need") + 1), lambda i: F.forall(F.slice("equal", i, F.col("need")), lambda x: x))
-    # start and length are packed in a long, so sorting is by start
-    spans = F.transform(starts, lambda i: (F.col("start") + i - 1) * 16 + F.col("need"))
-    side = side.select(*keys, "item_id", spans.alias("spans")).filter(F.size("spans") > 0)
-    found = stored(side.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids")))
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("item_words") - need + 1), lambda i: F.array_join(F.slice("item_words", i, need), " ")))
+    listed = items.select("item_id", F.explode(windows).alias("window")).groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    listed = stored(stored(listed).withColumn("number", F.monotonically_increasing_id()))
+    words = docs.join(small_or_not(spans), _same(docs, spans)).select(docs["doc_id"], docs["text_hash"], "text", "spans")
+    words = words.dropDuplicates(keys).select(*keys, "spans", F.transform(_words(), _lowered).alias("words"))
+    texts = F.transform("spans", lambda x: F.struct(x.alias("span"), F.array_join(F.slice("words", (start(x) + 1).cast("int"), size(x).cast("int")), " ").alias("window")))
+    rows = stored(words).select(*keys, F.explode(texts).alias("w")).select(*keys, "w.*")
+    found = rows.join(small_or_not(listed.select("window", "number")), "window").groupBy(*keys).agg(F.collect_list("span").alias("spans"), F.collect_set("number").alias("numbers"))
+    found = stored(found)
+    which = found.select(*keys, F.explode("numbers").alias("number")).join(small_or_not(listed.select("number", "ids")), "number")
+    which = stored(which.select(*keys, F.explode("ids").alias("item_id")).groupBy(*keys).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")))
+    found = found.join(which, _same(found, which)).select(found["doc_id"], found["text_hash"], "spans", "item_ids")
 
-    size = lambda x: x.bitwiseAND(F.lit(15))
-    start = lambda x: F.shiftright(x, 4)
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),

@@ -211,6 +211,19 @@ def test_decontaminate_equals_brute_force(spark):
     assert {r["contaminated"] for r in decontaminate(df, bench.limit(0)).collect()} == {False}
 
 
+def test_decontaminate_repetitive_texts(spark):
+    """Cost follows the words, not the places of a word times its places in an item; ids that are null or shared; repeated rows."""
+    import time
+
+    docs = [(1, "la " * 100_000), (2, "la la"), (3, "x " + "la " * 12 + "y"), (3, "x " + "la " * 13 + "y"), (None, "la " * 14), (None, None), (4, "ab cd " * 30_000), (4, "ab cd " * 30_000)]
+    items = [(1, "la " * 1000), (2, "la " * 13), (3, "ab cd " * 500), (4, "cd ab " * 7)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, tuple(r.item_ids)) for r in decontaminate(df, bench).collect()))
+    assert got == [(0, 0, 0, ()), (0, 14, 14, ("1", "2")), (1, 100_000, 100_000, ("1", "2")), (2, 2, 0, ()), (3, 14, 0, ()), (3, 15, 13, ("1", "2")), *[(4, 60_000, 60_000, ("3", "4"))] * 2]
+    assert time.time() - began < 60
+
+
 def test_decontaminate_is_native(spark, sf_dir):
     plan = QUERIES["op8_decontaminate"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
