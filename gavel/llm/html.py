@@ -23,7 +23,8 @@ rows are within a bound.
 Defined results: null or empty html gives empty text; a null or odd url counts
 as host ''; an empty table gives no rows; a very long or deeply nested page is read whole, in time that grows
 with its length; of equal pages with different subtrees the least list counts (ties are no matter of order);
-unclosed elements end with their parent; repeated rows each give a
+unclosed elements end with their parent, unclosed controls (buttons, pictures, selections) with the next block or their parent, unclosed quotes and tags
+with their tag or the next one; self-closing elements have no content; an unclosed script or comment has all that follows; repeated rows each give a
 row; other columns, also those named like the result's, are ignored.
 """
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +48,23 @@ LEAST_PAGES, SHARE, ROOTS = 5, 0.2, 5
 #: Paragraphs and headings inside an article may well be quoted or copied: only so large a share makes them template.
 PROSE, PROSE_SHARE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split()), 0.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z", re.S | re.I)
+NAME, STOP = re.compile(r"[a-zA-Z][^\s/<>]*"), re.compile(r"[<>\"']")
+#: Elements whose content is no text of the page; those of the first kind, if they are never closed, have all that follows as their content, those of the second kind none of it.
+SWALLOWS = frozenset("script style noscript template textarea iframe title".split())
+CONTROLS = frozenset("svg select button object".split())
 #: One attribute after the other, its value with it, so that names inside values are none.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace semantics".split())
-GONE = frozenset("nav footer aside form head menu dialog audio video canvas fieldset input annotation annotation-xml".split())
+INLINE = frozenset("option optgroup a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace semantics".split())
+GONE = frozenset("nav footer aside head menu dialog audio video canvas fieldset input option optgroup annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 NAMES = frozenset(
     "nav navbar navigation menu footer sidebar aside ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal "
     "overlay newsletter subscribe subscription signup login share sharing social related-posts recommended recommendations breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond "
     "share-buttons ad-banner cookie-notice cookie-banner site-header site-footer widget skip pagination pager copyright legal disclaimer alert toolbar topbar masthead form".split()
 )
+#: A form with an article, a main heading or so many paragraphs is the page's frame and stays; of other forms nothing does.
+FORM = 3
 #: What an opening tag ends, besides a paragraph ended by every block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that are never template as a whole.
@@ -65,6 +72,73 @@ WHOLE = frozenset("html body main article".split())
 BARRIER = frozenset("ul ol dl table article main section div body html".split())
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag, from front to back.
+
+    Comments, declarations and elements whose content is no text are one tag without a name. A tag ends at its first `>` outside a quoted value, or where the next tag begins; a
+    quote opens a value only after `=` and if it is closed somewhere. What was looked for in vain is not looked for again, so the time is that of reading the page once.
+    """
+    n, at, absent = len(page), page.find("<"), set()
+
+    def after(what: str, start: int) -> int:
+        """Where the next `what` begins, or -1."""
+        found = -1 if what in absent else page.find(what, start)
+        if found < 0:
+            absent.add(what)
+        return found
+
+    while at >= 0:
+        mark = page[at + 1 : at + 2]
+        name = None if mark in ("!", "?") else NAME.match(page, at + 1 + (mark == "/"))
+        if name is None and mark not in ("!", "?"):
+            at = page.find("<", at + 1)  # a sign, no tag
+            continue
+        if name is None:
+            close = "-->" if page.startswith("<!--", at) else ">"
+            end = after(close, at + 4 if close == "-->" else at)
+            end = n if end < 0 else end + len(close)
+            yield at, end, False, "", ""
+        else:
+            k = name.end()
+            end = stop = n
+            while m := STOP.search(page, k):
+                sign, k = m[0], m.end()
+                if sign == ">":
+                    end, stop = k, k - 1
+                    break
+                if sign == "<":
+                    if page[k : k + 1].isalpha() or page[k : k + 1] in ("/", "!", "?"):
+                        end = stop = k - 1
+                        break
+                    continue
+                before = k - 2
+                while page[before].isspace():
+                    before -= 1
+                if page[before] == "=":
+                    value = after(sign, k)
+                    k = k if value < 0 else value + 1
+            tag, own = name[0].lower(), page[name.end() : stop]
+            if mark != "/" and (tag in SWALLOWS or tag in CONTROLS):
+                if own.endswith("/"):
+                    yield at, end, False, "", ""
+                else:
+                    close = None if f"</{tag}" in absent else _CLOSING[tag].search(page, end)
+                    if close:
+                        end = after(">", close.end())
+                        end = n if end < 0 else end + 1
+                        yield at, end, False, "", ""
+                    else:
+                        absent.add(f"</{tag}")
+                        end = n if tag in SWALLOWS else end
+                        yield at, end, False, tag if tag in CONTROLS else "", own
+            else:
+                yield at, end, mark == "/", tag, own
+        at = page.find("<", end)
+
+
+_CLOSING = {tag: re.compile(rf"</{tag}(?![^\s/>])", re.I) for tag in SWALLOWS | CONTROLS}
+
+
 def _gone(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is no article text by its tag or attributes; inside: within an article."""
     if tag in GONE or (tag == "header" and not inside):
@@ -94,12 +168,13 @@ def _after(h: int, x: int) -> int:
 
 def blocks(page: str, templates: frozenset[int] = frozenset(), hashes: list[int] | None = None) -> list[str]:
     """The blocks of main text; subtrees whose hash is in templates are left out. hashes gets those of all block subtrees."""
-    stack: list[list] = []  # [tag, first block, dropped, hash so far]
+    stack: list[list] = []  # [tag, first block, dropped, hash so far, prose before it]
     inner: list[list] = []  # the blocks among them
     opened: Counter[str] = Counter()
     found: list[tuple[str, int]] = []  # text of a block, 1 inside main
     text: list[str] = []
     gone, articles, mains, last = 0, 0, 0, 0
+    prose, muted = 0, False  # weight of articles, headings and paragraphs so far; inside a control that is never closed
 
     def flush() -> None:
         if text:
@@ -114,7 +189,9 @@ def blocks(page: str, templates: frozenset[int] = frozenset(), hashes: list[int]
         nonlocal gone, articles, mains
         if stack[-1][0] not in INLINE:
             flush()
-        tag, first, dropped, h = stack.pop()
+        tag, first, dropped, h, weight = stack.pop()
+        if tag == "form" and prose - weight < FORM:
+            del found[first:]
         opened[tag] -= 1
         if tag not in INLINE:
             inner.pop()
@@ -131,16 +208,17 @@ def blocks(page: str, templates: frozenset[int] = frozenset(), hashes: list[int]
         articles -= tag == "article"
         mains -= tag == "main"
 
-    for m in TOKEN.finditer(page):
-        a, b = m.span()
-        if not gone and a > last:
+    for a, b, closing, tag, attributes in tags(page):
+        if not gone and not muted and a > last:
             text.append(page[last:a])
         last = b
-        tag = m[3]
         if not tag:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if tag in CONTROLS and not closing:
+            muted = True
+            continue
+        muted = muted and tag in INLINE and not (closing and opened[tag])
+        if closing:
             for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     while len(stack) > i:
@@ -167,15 +245,16 @@ def blocks(page: str, templates: frozenset[int] = frozenset(), hashes: list[int]
                     break
         articles += tag == "article"
         mains += tag == "main"
-        dropped = int(_gone(tag, m[4], articles > 0))
+        prose += FORM if tag in ("article", "main", "h1") else tag == "p"
+        dropped = int(_gone(tag, attributes, articles > 0))
         gone += dropped
-        own = [tag, len(found), dropped, 0]
+        own = [tag, len(found), dropped, 0, prose]
         stack.append(own)
         opened[tag] += 1
         if tag not in INLINE:
             own[3] = _after(1, xxhash.xxh64_intdigest(tag))
             inner.append(own)
-    if not gone and last < len(page):
+    if not gone and not muted and last < len(page):
         text.append(page[last:])
     flush()
     while stack:

@@ -61,6 +61,35 @@ def test_deep_and_long_pages():
     assert len(page_text("<p>word &amp; " * 100_000).split("\n")) == 100_000
 
 
+def test_dirt():
+    cases = {
+        '<p>a<svg class="x"/>b</p><p>c</p>': "ab\nc",
+        "<p>a</p><iframe src=x /><p>b</p>": "a\nb",
+        "<p>a</p><button>Buy<p>b</p>": "a\nb",
+        "<p>a<button>Buy</p><p>b</p>": "a\nb",
+        "<p>a<select><option>x</p><p>b</p>": "a\nb",
+        "<p>a<button>Buy <b>now</b></button>b</p><p>c</p>": "ab\nc",
+        '<p title="oops>one</p><p>two</p>': "one\ntwo",
+        "<p don't>one</p><p class='x' title='a > b'>two</p>": "one\ntwo",
+        "<p>1 < 2 and <3 <b>x</b</p><p>y": "1 < 2 and <3 x\ny",
+        "<p>a<p <p>b": "a\nb",
+        "<body><form action=/><div><h1>Title</h1><p>all of the page</p></div><input></form></body>": "Title\nall of the page",
+        "<form><p>1</p><p>2</p><p>3</p></form><form><label>Mail</label><p>Join us</p></form>": "1\n2\n3",
+        "<SCRIPT>if (a<b) x('</p>')</Script ><p>a</p><style>p{}": "a",
+        "<title>t</title><textarea><p>x</p></textarea><p>a</p><!-- <p>b</p>": "a",
+        "<p>a</scripty><script>x</scripty>y</script>b</p>": "ab",
+    }
+    for page, want in cases.items():
+        assert page_text(page) == want, page
+
+
+def test_dirt_takes_no_more_time_than_text():
+    for dirt in ("<a ", '<p title="', "<p title='x\"", "<!--", "<!", "<script", "<script>", "</", "<", "<button>", "<svg ", "<p a='", '="', "<b", "</b ", "<form>", '<a href= "', "<p><select>"):
+        page, began = "<p>begin</p>" + dirt * (1_000_000 // len(dirt)), time.time()
+        text = page_text(page)
+        assert text.startswith("begin") and time.time() - began < (4 if dirt in ("<form>", "<p><select>", "<b", "</b ", "<a ") else 2), (dirt, time.time() - began)
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__()
