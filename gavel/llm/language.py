@@ -4,10 +4,12 @@ Texts are cut into chunks of CHUNK bytes. In each direction a gated recurrent
 unit reads a chunk byte by byte (the input weights are a table with a row for
 each byte value); from both states every position gets a label distribution,
 and a document's probabilities are the mean over all its positions. The network
-is trained in numpy by backpropagation through time, with Adam, on the whole
-texts of a bounded sample of documents (``SAMPLE_ROWS``): each step draws
-documents, then one chunk of each, so that a long text weighs as much as a short
-one. Prediction reads whole texts.
+is trained in numpy by backpropagation through time, with Adam, on a bounded
+sample of documents (``SAMPLE_ROWS``): each step draws documents, then one chunk
+of each, so that a long text weighs as much as a short one. The chunks that may
+be drawn are picked where the texts lie, from all chunks of a text by hash
+(``DRAWS`` of them, all if there are no more), so the driver gets at most
+SAMPLE_ROWS * DRAWS * CHUNK bytes, however long texts are. Prediction reads whole texts.
 
 Defined results: a text that is null, empty or without a letter is `und` with
 score 0; without any document to learn from all are `und`; of labels with equal
@@ -22,13 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.llm.common import held_out, map_slices
 
 SAMPLE_ROWS = 3_000
 CHUNK, STATES = 64, 10
+#: Chunks of a sampled document that come to the driver, at most.
+DRAWS = 64
 #: Chunks computed at once.
 AT_ONCE = 2_048
 
@@ -125,19 +129,19 @@ def chunks(raw: bytes) -> np.ndarray:
     return out.reshape(n, CHUNK)
 
 
-def train(texts: list[bytes], y: np.ndarray, labels: list[str], steps: int = 160, batch: int = 320, rate: float = 0.02, seed: int = 5) -> Network:
-    """texts: whole texts in UTF-8, none empty; y: their label numbers."""
+def train(texts: list[list[bytes]], y: np.ndarray, labels: list[str], steps: int = 160, batch: int = 320, rate: float = 0.02, seed: int = 5) -> Network:
+    """texts: of each text the chunks that may be drawn (its last chunk may be shorter), none empty; y: label numbers."""
     net = Network.new(labels)
     rng = np.random.default_rng(seed)
-    size = np.array([len(t) for t in texts])
-    count = -(-size // CHUNK)
+    count = np.array([len(t) for t in texts])
     first = np.cumsum(count) - count
-    x = np.concatenate([chunks(t) for t in texts])
+    left = np.array([len(c) for t in texts for c in t])
+    x = np.concatenate([chunks(c) for t in texts for c in t])
     one, two = ({n: np.zeros_like(v) for n, v in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         doc = rng.integers(0, len(texts), batch)
         at = rng.integers(0, count[doc])
-        mask = (np.arange(CHUNK)[:, None] < (size[doc] - at * CHUNK)[None]).astype(np.float32)
+        mask = (np.arange(CHUNK)[:, None] < left[first[doc] + at][None]).astype(np.float32)
         _, g = net.gradients(x[first[doc] + at].T, y[doc], mask)
         lr = rate * min(1, 2 * (1 - step / (steps + 1)))
         for n, v in net.p.items():
@@ -147,14 +151,23 @@ def train(texts: list[bytes], y: np.ndarray, labels: list[str], steps: int = 160
     return net
 
 
+def drawn() -> Column:
+    """The chunks of raw that may be drawn: all, or DRAWS of them picked by the text's digest."""
+    n = F.ceil(F.octet_length("raw") / CHUNK).cast("long")
+    some = F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda i: F.pmod(F.xxhash64("digest", i), n))
+    every = F.sequence(F.lit(0).cast("long"), n - 1)
+    return F.transform(F.when(n <= DRAWS, every).otherwise(some), lambda i: F.substring("raw", (i * CHUNK + 1).cast("int"), F.lit(CHUNK)))
+
+
 def fit_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """The driver gets the whole texts of at most sample_rows documents, the first by the hash of their ids."""
+    """The driver gets chunks of at most sample_rows documents, the first by the hash of their ids."""
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
-    usable = usable.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("raw") > 0) & ~held_out())
-    keys = ("doc_id", "lang", F.sha2("raw", 256).alias("digest"))
-    picked = usable.select(*keys).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "digest").limit(sample_rows)
-    of_sample = usable.select(*keys, "raw").join(F.broadcast(picked.distinct()), ["doc_id", "lang", "digest"])
-    rows = sorted((str(r.doc_id), r.lang, bytes(r.raw)) for r in of_sample.dropDuplicates(["doc_id", "lang", "digest"]).collect())
+    usable = usable.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("raw") > 0) & ~held_out())
+    usable = usable.withColumn("digest", F.sha2("raw", 256))
+    keys = ("doc_id", "lang", "digest")
+    picked = usable.select(*keys).orderBy(F.xxhash64("doc_id"), *keys).limit(sample_rows)
+    of_sample = usable.join(F.broadcast(picked.distinct()), list(keys)).select(*keys, drawn().alias("chunks"))
+    rows = sorted((str(r.doc_id), r.lang, [bytes(c) for c in r.chunks]) for r in of_sample.dropDuplicates(list(keys)).collect())
     labels = sorted({r[1] for r in rows})
     if not rows:
         return None

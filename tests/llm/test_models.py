@@ -221,6 +221,43 @@ def test_language_held_out(spark):
     assert identify(odd.limit(0), net).count() == 0
 
 
+def test_forward_pass_equals_a_plain_loop():
+    """One position after another, one chunk at a time, from the formulas of a gated recurrent unit."""
+    net = Network.new(["a", "b", "c"], seed=8)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 256, (9, 4))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    want = np.zeros((9, 4, 3))
+    for c in range(4):
+        scores = np.tile(net.p["bias"].astype(float), (9, 1))
+        for d in "fb":
+            table, state, out = (net.p[f"{n}_{d}"].astype(float) for n in ("table", "state", "out"))
+            k = len(state)
+            h = np.zeros(k)
+            for t in range(9) if d == "f" else range(8, -1, -1):
+                a, s = table[x[t, c]], h @ state
+                z, r = sig(a[:k] + s[:k]), sig(a[k : 2 * k] + s[k : 2 * k])
+                n = np.tanh(a[2 * k :] + r * s[2 * k :])
+                h = z * h + (1 - z) * n
+                scores[t] += h @ out
+        e = np.exp(scores - scores.max(1, keepdims=True))
+        want[:, c] = e / e.sum(1, keepdims=True)
+    got = net.positions(x)
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_drawn_chunks(spark):
+    """All chunks of short texts, DRAWS of long ones from everywhere, each as it stands in the text; bounded whatever the length."""
+    from gavel.llm.language import DRAWS, drawn
+
+    texts = ["x", "é" * 100, "".join(map(chr, range(300, 300 + 64 * DRAWS // 2))), "0123456789" * 500_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("cast(t as binary) raw", "sha2(t, 256) digest")
+    for t, row in zip(texts, df.select(drawn().alias("c")).collect(), strict=True):
+        raw, got = t.encode(), [bytes(c) for c in row.c]
+        every = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
+        assert got == every if len(every) <= DRAWS else len(got) == DRAWS and set(got) <= set(every)
+
+
 def test_pooling_is_the_mean_over_positions():
     net = Network.new(["a", "b", "c"])
     raw = b"some bytes " * 30
