@@ -52,19 +52,19 @@ def unpack(kind: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q - (16 if kind == "Q5_0" else 8), scale, np.zeros_like(scale)
 
 
-def matmul(kind: str, raw: bytes, rows: int, x: np.ndarray, strategy: Strategy = Strategy.AUTO, even: bool = False) -> np.ndarray:
-    """tokens x rows; integers where the type has them and columns are whole blocks, unless floats are asked for."""
+def matmul(kind: str, raw: bytes, rows: int, x: np.ndarray, strategy: Strategy = Strategy.AUTO, even: bool = False, sums: type = np.float32) -> np.ndarray:
+    """tokens x rows, added up in the type sums; integers where the type has them and columns are whole blocks, unless floats are asked for."""
     x = np.atleast_2d(np.asarray(x, np.float32))
     able = kind in INTEGER and x.shape[1] % 32 == 0
     if strategy is Strategy.INTEGER and not able:
         raise ValueError(f"no integer product for {kind}")
     if strategy is Strategy.FLOAT or not able:
-        return x @ decode(kind, raw).reshape(rows, -1).T
+        return x.astype(sums) @ decode(kind, raw).reshape(rows, -1).T.astype(sums)
     w, scale, offset = (a.reshape(rows, -1, *a.shape[1:]) for a in unpack(kind, raw))
     a, s = quantize(x, even)
-    out = np.zeros((len(x), rows), np.float32)
+    out, s, scale, offset = np.zeros((len(x), rows), sums), s.astype(sums), scale.astype(sums), offset.astype(sums)
     for k in range(w.shape[1]):
-        out += (a[:, k] @ w[:, k].T).astype(np.float32) * s[:, k, None] * scale[:, k]
+        out += (a[:, k] @ w[:, k].T).astype(sums) * s[:, k, None] * scale[:, k]
         if offset.any():
             out += (s[:, k] * a[:, k].sum(1))[:, None] * offset[:, k]
     return out

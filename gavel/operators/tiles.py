@@ -10,9 +10,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from gavel.functions.integer import Strategy, matmul
+from gavel.functions.quant import encode
 
 #: Rows of a block of each side.
 BLOCK = 512
@@ -32,12 +37,12 @@ def _block(rows: DataFrame, count: int, block: int):
     return F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // block)))).cast("int")
 
 
-def _tiles(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
-    """(i, j, side, id, x): rows of a (id, x) in every tile of their row of tiles, rows of b in every tile of their column."""
+def _tiles(a: DataFrame, b: DataFrame, block: int, *more: str) -> DataFrame:
+    """(i, j, side, id, x, more): rows of a (id, x) in every tile of their row of tiles, rows of b in every tile of their column."""
     na, nb = a.count(), b.count()
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // block)) - 1)))
-    left = a.select("id", "x", _block(a, na, block).alias("i")).select("i", every(nb).alias("j"), F.lit(0).alias("side"), "id", "x")
-    right = b.select("id", "x", _block(b, nb, block).alias("j")).select(every(na).alias("i"), "j", F.lit(1).alias("side"), "id", "x")
+    left = a.select("id", "x", *more, _block(a, na, block).alias("i")).select("i", every(nb).alias("j"), F.lit(0).alias("side"), "id", "x", *more)
+    right = b.select("id", "x", *more, _block(b, nb, block).alias("j")).select(every(na).alias("i"), "j", F.lit(1).alias("side"), "id", "x", *more)
     return left.union(right)
 
 
@@ -83,6 +88,40 @@ def largest_product(a: DataFrame, b: DataFrame, own: bool = False, block: int =
     return each.groupBy("row").agg(F.max(F.struct("y", (-F.col("col")).alias("c"))).alias("m")).select("row", (-F.col("m.c")).alias("col"), F.col("m.y").alias("y"))
 
 
+def packed_rows(rows: DataFrame, kind: str) -> DataFrame:
+    """(id, packed) of rows (id, x), quantized; x must be whole blocks."""
+
+    @pandas_udf("binary")
+    def pack(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: encode(kind, np.asarray(x)), na_action="ignore")
+
+    return rows.select("id", pack("x").alias("packed"))
+
+
+def integer_error(tokens: DataFrame, weights: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
+    """(row, relative_l2): how far the integer product of each token (id, x) with all packed rows (id, packed) is from the float product with their decoded values.
+
+    Both products are made tile by tile; the squares of difference and product are what a tile gives, and they are added up by token.
+    """
+
+    def squares(tile: pa.Table) -> pa.Table:
+        side, ids = tile.column("side").to_numpy(), tile.column("id").to_numpy()
+        asks, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        raw = b"".join(tile.column("packed").take(pa.array(cols)).to_pylist())
+        x = _matrix(tile.column("x").take(pa.array(asks)))
+        if not len(asks) or not len(cols):
+            return pa.table({"row": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "y": pa.array([], pa.float64())})
+        y = matmul(kind, raw, len(cols), x, Strategy.FLOAT, sums=np.float64)
+        d = matmul(kind, raw, len(cols), x, Strategy.INTEGER, sums=np.float64) - y
+        return pa.table({"row": ids[asks], "d": (d * d).sum(1), "y": (y * y).sum(1)})
+
+    left = tokens.select("id", "x", F.lit(None).cast("binary").alias("packed"))
+    right = weights.select("id", F.lit(None).cast(dict(tokens.dtypes)["x"]).alias("x"), "packed")
+    parts = _tiles(left, right, block, "packed").groupBy("i", "j").applyInArrow(squares, "row long, d double, y double")
+    norm, base = F.sqrt(F.sum("d")), F.sqrt(F.sum("y"))
+    return parts.groupBy("row").agg(F.when(base == 0, norm).otherwise(norm / base).alias("relative_l2"))
+
+
 def _attended(scale: float):
     def partial(tile: pa.Table) -> pa.Table:
         """A block of queries with a block of keys: of each query the greatest score, the sum of exponentials below it, and the values they weigh."""

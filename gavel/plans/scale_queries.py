@@ -62,6 +62,13 @@ def gguf_round_trip(spark, sf_dir):
     return both.select("type", "vec_id", V.rounded(F.array_max(off), 7).alias("worst"), V.rounded(F.sqrt(F.aggregate(off, F.lit(0.0), lambda a, d: a + d * d)), 6).alias("l2"))
 
 
+def integer_product_error(spark, sf_dir):
+    """Relative L2 of each vector's integer products with all vectors, quantized, from the float ones."""
+    v = _v(spark, sf_dir).select(F.col("vec_id").alias("id"), "x")
+    parts = [tiles.integer_error(v, tiles.packed_rows(v, kind), kind).select(F.lit(kind).alias("type"), F.col("row").alias("vec_id"), V.rounded(F.col("relative_l2"), 6).alias("relative_l2")) for kind in KINDS[:2]]
+    return parts[0].union(parts[1])
+
+
 _HALF = "(CASE WHEN {v} = 0 THEN 0 ELSE round_even({v}::DOUBLE / greatest(pow(2, floor(log2(abs({v}))) - 10), pow(2, -24)), 0) * greatest(pow(2, floor(log2(abs({v}))) - 10), pow(2, -24)) END)"
 _D8, _D5 = "(top / 127::FLOAT)", "((most - least) / 31::FLOAT)"
 _Q8 = f"sign(x) * least(127, floor(abs(x / {_D8}) + 0.5::FLOAT))"
@@ -74,9 +81,16 @@ _Y = {
     "Q5_1": f"((CASE WHEN most = least THEN 0 ELSE {_HALF.format(v=_D5)} * {_Q5} END)::FLOAT + {_HALF.format(v='least')}::FLOAT)",
     "MXFP4": _Y4,
 }
+_CODED = f"""SELECT *, CASE WHEN top = 0 THEN 0 ELSE {_Q8} END AS q8, {_HALF.format(v=_D8)} AS s8, CASE WHEN most = least THEN 0 ELSE {_Q5} END AS q5, {_HALF.format(v=_D5)} AS s5, {_HALF.format(v='least')} AS m5, {_Y['Q8_0']} AS y8, {_Y['Q5_1']} AS y5
+FROM (SELECT vec_id, i, x, max(abs(x)) OVER w AS top, min(x) OVER w AS least, max(x) OVER w AS most FROM (SELECT vec_id, i, embedding[i + 1]::FLOAT AS x FROM embeddings, (SELECT unnest(range(64)) AS i)) WINDOW w AS (PARTITION BY vec_id, i // 32))"""
+_ERRORS = f"""WITH e AS ({_CODED}),
+r AS (SELECT vec_id, list(x::DOUBLE ORDER BY i) AS x, list(q8::DOUBLE ORDER BY i) AS q8, list(q5::DOUBLE ORDER BY i) AS q5, list(y8::DOUBLE ORDER BY i) AS y8, list(y5::DOUBLE ORDER BY i) AS y5, {', '.join(f"max({c}) FILTER (i // 32 = {b})::DOUBLE AS {c}_{b}" for c in ('s8', 's5', 'm5') for b in (0, 1))} FROM e GROUP BY vec_id),
+p AS (SELECT a.vec_id, list_dot_product(a.x, w.y8) AS f8, list_dot_product(a.x, w.y5) AS f5,
+    {' + '.join(f'a.s8_{b} * w.s8_{b} * list_dot_product(a.q8[{32 * b + 1}:{32 * b + 32}], w.q8[{32 * b + 1}:{32 * b + 32}])' for b in (0, 1))} AS i8,
+    {' + '.join(f'a.s8_{b} * w.s5_{b} * list_dot_product(a.q8[{32 * b + 1}:{32 * b + 32}], w.q5[{32 * b + 1}:{32 * b + 32}]) + w.m5_{b} * a.s8_{b} * list_sum(a.q8[{32 * b + 1}:{32 * b + 32}])' for b in (0, 1))} AS i5 FROM r a, r w)"""
 _LONG_SQL = _ATT(1, 1, 64).replace(f"vec_id // {SEQ} ", f"vec_id // {LONG} ").replace(f"vec_id % {SEQ} ", f"vec_id % {LONG} ")
 
-QUERIES = {f.__name__: f for f in (largest_product, long_attention, top20_by_label, longest_prefix, gguf_round_trip)}
+QUERIES = {f.__name__: f for f in (largest_product, long_attention, top20_by_label, longest_prefix, gguf_round_trip, integer_product_error)}
 ORACLE_SQL = {
     "largest_product": f"WITH v AS ({_X}) SELECT a.vec_id, round(max(list_dot_product(a.x, b.x)), 4) + 0.0 AS product FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1",
     "long_attention": f"{_LONG_SQL}",
@@ -87,5 +101,6 @@ a AS (SELECT doc_id, max(i) AS n FROM documents JOIN s ON text[1:i] = s AND leng
 b AS (SELECT doc_id, text, p, least(length(text), length(p)) AS m FROM documents JOIN p ON text[1:8] = p[1:8] AND length(text) >= 8 AND length(p) >= 8),
 c AS (SELECT doc_id, max(i) AS n FROM (SELECT doc_id, text, p, unnest(range(8, m + 1)) AS i FROM b) WHERE text[1:i] = p[1:i] GROUP BY doc_id)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN greatest(coalesce(a.n, 0), coalesce(c.n, 0)) END::BIGINT AS shared FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "integer_product_error": _ERRORS + " UNION ALL ".join(f" SELECT '{k}' AS type, vec_id, round(sqrt(sum(pow(i{c} - f{c}, 2))) / sqrt(sum(pow(f{c}, 2))), 6) + 0.0 AS relative_l2 FROM p GROUP BY vec_id" for k, c in (("Q8_0", 8), ("Q5_1", 5))),
     "gguf_round_trip": f"WITH b AS ({_BLOCKS}) " + " UNION ALL ".join(f"SELECT '{k}' AS type, vec_id, round(max(abs(x::DOUBLE - y)), 7) + 0.0 AS worst, round(sqrt(sum(pow(x::DOUBLE - y, 2))), 6) + 0.0 AS l2 FROM (SELECT vec_id, x, {_Y[k]} AS y FROM b) GROUP BY vec_id" for k in KINDS),
 }

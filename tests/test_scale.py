@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import by_sql, same
 
+from gavel.functions.integer import Strategy, matmul
 from gavel.functions.quant import decode, encode
 from gavel.operators import prefixes, tables, tiles
 from gavel.plans.scale_queries import ORACLE_SQL, QUERIES
@@ -48,6 +49,17 @@ def test_largest_product_is_that_of_all(spark):
     assert tiles.largest_product(da.limit(1), da.limit(1)).count() == 0 and tiles.largest_product(da.limit(1), da.limit(1), own=True).count() == 1
 
 
+@pytest.mark.parametrize("kind", ["Q8_0", "Q4_0", "Q4_1", "Q5_0", "Q5_1"])
+def test_integer_products_are_near_the_float_ones(spark, kind):
+    x, rows = _vectors(spark, 40, 64, 6)
+    got = {r.row: r.relative_l2 for r in tiles.integer_error(rows, tiles.packed_rows(rows, kind), kind, block=8).collect()}
+    w, far = decode(kind, encode(kind, x)).reshape(40, 64).astype(float), matmul(kind, encode(kind, x), 40, x, Strategy.INTEGER)
+    want = np.sqrt(((far - x.astype(np.float32) @ w.T) ** 2).sum(1) / ((x.astype(np.float32) @ w.T) ** 2).sum(1))
+    assert len(got) == 40 and all(math.isclose(got[i * 7 - 20], want[i], rel_tol=1e-3) and got[i * 7 - 20] < 0.01 for i in range(40))
+    with pytest.raises(Exception, match="no integer product"):
+        tiles.integer_error(rows, tiles.packed_rows(rows, "MXFP4"), "MXFP4").collect()
+
+
 def test_tiles_are_shuffled_once_a_side_and_not_broadcast(spark):
     _, da = _vectors(spark, 20, 4, 5)
     plan = tiles.largest_product(da, da, block=8)._jdf.queryExecution().executedPlan().toString()
