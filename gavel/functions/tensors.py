@@ -111,6 +111,30 @@ def rope_frequencies(dim: int, base: float = 1e6, factor: float = 1.0, context:
     return out
 
 
+def frequencies(base: Column, factor: Column, dim: int) -> Column:
+    """Angle per position of each pair, by columns."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dim // 2 - 1)), lambda i: F.pow(base, -2.0 * i / dim) / factor)
+
+
+def stretched(base: Column, factor: Column, dim: int, context: int, fast: float = 32.0, slow: float = 1.0) -> Column:
+    """The same with low frequencies stretched by factor along a linear ramp of pairs; a factor of 1 stretches nothing."""
+    turns = lambda beta: dim * math.log(context / (beta * 2 * math.pi)) / (2 * F.log(base))
+    low, high = F.greatest(F.lit(0.0), F.floor(turns(fast)).cast("double")), F.least(F.lit(dim / 2 - 1), F.ceil(turns(slow)).cast("double"))
+
+    def one(i: Column) -> Column:
+        ramp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (i - low) / F.greatest(F.lit(0.001), high - low)))
+        pure = F.pow(base, -2.0 * i / dim)
+        return F.when(factor > 1, pure / factor * ramp + pure * (1 - ramp)).otherwise(pure)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(dim // 2 - 1)), one)
+
+
+def magnitude_of(factor: Column, m: Column, m_all: Column) -> Column:
+    """What stretched rotary positions scale queries and keys by, by columns."""
+    scale = lambda by: F.when(factor <= 1, 1.0).otherwise(0.1 * by * F.log(factor) + 1)
+    return F.when(m_all != 0, scale(F.when(m == 0, 1.0).otherwise(m)) / scale(m_all)).otherwise(scale(F.lit(1.0)))
+
+
 def rotate(x: Column | str, position: Column | str, frequencies: list[float], head: int, magnitude: float = 1.0) -> Column:
     """Turn neighbouring pairs of each head; elements beyond the frequencies stay."""
     p = _col(position)

@@ -7,6 +7,9 @@ import json
 import os
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from gavel.functions.bpe import ALPHABET, Vocabulary
 from gavel.functions.geometry import parse
 from gavel.functions.quant import encode
@@ -45,6 +48,21 @@ def output_type(name: str, shape: tuple[int, ...], asked: str) -> str:
     return kind.name if shape[-1] % kind.elements == 0 else "F16"
 
 
+def file_names(name: Column, strict: bool = False) -> Column:
+    """file_name as a column expression; an unknown layer tensor is null, or an error in strict mode."""
+    of = lambda names: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    layer, rest = F.regexp_extract(name, r"^layers\.(\d+)\.(.+)\.weight$", 1), F.regexp_extract(name, r"^layers\.(\d+)\.(.+)\.weight$", 2)
+    known = F.concat(F.lit("blk."), layer, F.lit("."), of(LAYER)[rest], F.lit(".weight"))
+    if strict:
+        known = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown tensor "), name)).cast("string"))
+    return F.when(layer != "", known).otherwise(F.concat(of(TOP)[F.regexp_replace(name, r"\.weight$", "")], F.lit(".weight")))
+
+
+def output_types(name: Column, rows: Column, cols: Column, asked: Column, elements: Column) -> Column:
+    """output_type as a column expression; elements: those of a block of the type asked for."""
+    return F.when(elements == 1, asked).when(name.endswith("norm.weight") | (rows == 1), "F32").when(cols % elements != 0, "F16").otherwise(asked)
+
+
 def build_vocabulary(special: list[str], ranked: list[str], user_defined: frozenset[str] = frozenset()) -> Vocabulary:
     """Special pieces first, then ranked ones; merges derived from the order of the latter."""
     from gavel.functions.bpe import CONTROL, USER_DEFINED, derive_merges

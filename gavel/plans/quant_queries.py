@@ -201,11 +201,6 @@ vals AS (SELECT doc_id, list_transform(range({n}), lambda e: CAST(CAST({v} AS FL
 SELECT doc_id, round(list_sum(v), 3) + 0.0 v_sum, round(list_sum(list_transform(range({n}), lambda i: v[i + 1] * (i + 1))), 2) + 0.0 v_weighted, round(v[1], 3) + 0.0 v_first, round(v[{n}], 3) + 0.0 v_last FROM vals"""
 
 
-def sign_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The byte of eight signs that seven stored bits stand for."""
-    i = spark.range(128).select(F.col("id").cast("int").alias("i"))
-    return i.select("i", F.col("i").bitwiseOR(F.shiftleft(F.bit_count("i") % 2, 7)).alias("signs"))
-
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, part, x): the vectors in blocks of 32."""
@@ -291,10 +286,9 @@ SELECT a.vec_id, round(sum({value} ORDER BY a.part), 4) + 0.0 dot FROM a JOIN w
 
 
 _DOT = "list_dot_product(w.q::DOUBLE[], a.q::DOUBLE[])"
-QUERIES = {f"dequant_{k.lower()}": _dequant(k) for k in FORMULAS} | {f.__name__: f for f in (sign_expand, _quantize(False), _quantize(True), q8_round_trip, int_dot_q8, int_dot_q4_1, gemm_q4_0)}
+QUERIES = {f"dequant_{k.lower()}": _dequant(k) for k in FORMULAS} | {f.__name__: f for f in (_quantize(False), _quantize(True), q8_round_trip, int_dot_q8, int_dot_q4_1, gemm_q4_0)}
 _SUMS = "round(d, 6) scale, list_sum(q)::BIGINT code_sum, list_sum(list_transform(q, lambda x: abs(x)))::BIGINT code_size"
 ORACLE_SQL = {f"dequant_{k.lower()}": _dequant_sql(k) for k in FORMULAS} | {
-    "sign_expand": "SELECT i::INTEGER i, (i + 128 * (bit_count(i::INTEGER) % 2))::INTEGER signs FROM range(128) t(i)",
     "quantize_q8_away": f"SELECT vec_id, part, {_SUMS} FROM ({_codes_sql()})",
     "quantize_q8_even": f"SELECT vec_id, part, {_SUMS} FROM ({_codes_sql(True)})",
     "q8_round_trip": f"SELECT vec_id, part, round(worst, 6) + 0.0 worst, worst <= d * 0.5 + 1e-9 within_half_step FROM (SELECT vec_id, part, d, list_max(list_transform(range(32), lambda i: abs(v[i + 1] - q[i + 1] * d))) worst FROM ({_codes_sql()}))",

@@ -210,24 +210,6 @@ def id_range_check(spark, sf_dir):
     return asked.join(v.select(F.col("vec_id").alias("id")), "id", "left_anti")
 
 
-DIM, BASE, FACTOR, CONTEXT = 32, 1e6, 16.0, 16384
-
-
-def rope_freqs(spark, sf_dir):
-    f = V.rope_frequencies(DIM, BASE)
-    return spark.createDataFrame([(i, round(x, 8)) for i, x in enumerate(f)], "pair int, frequency double")
-
-
-def yarn_freqs(spark, sf_dir):
-    f = V.rope_frequencies(DIM, BASE, FACTOR, CONTEXT, blend=1.0)
-    return spark.createDataFrame([(i, round(x, 8)) for i, x in enumerate(f)], "pair int, frequency double")
-
-
-def yarn_magnitude(spark, sf_dir):
-    rows = [(i, f, m, a, round(V.magnitude(f, m, a), 6)) for i, (f, m, a) in enumerate([(16.0, 0.0, 0.0), (16.0, 1.0, 1.0), (1.0, 0.0, 0.0), (8.0, 0.7, 1.0)])]
-    return spark.createDataFrame(rows, "id int, factor double, mscale double, mscale_all double, magnitude double")
-
-
 def rope_rotate(spark, sf_dir):
     """Two heads of 32, turned by their vector's position; the last eight of each head stay."""
     r = _v(spark, sf_dir).select("vec_id", V.rotate("x", "vec_id", V.rope_frequencies(24, 1e4), 32).alias("r"))
@@ -289,11 +271,8 @@ z AS (SELECT *, exp(s - max(s) OVER h) / sum(exp(s - m)) OVER h a FROM (SELECT *
 e AS (SELECT seq, pos, head, i, sum(a * k[i] ORDER BY p) v FROM z, (SELECT unnest(range(1, {dim} + 1)) i) GROUP BY ALL),
 o AS (SELECT seq, pos, head, list(v ORDER BY i) o FROM e GROUP BY ALL)
 SELECT seq, pos, {"head, " if heads > 1 else ""}{_digest_sql("o")} FROM o"""
-_ROPE = f"SELECT i::INTEGER pair, round(pow({BASE}, -2.0 * i / {DIM}), 8) frequency FROM range({DIM // 2}) t(i)"
-_CORR = lambda b: f"{DIM} * ln({CONTEXT} / ({b} * 2 * pi())) / (2 * ln({BASE}))"
-_LOW, _HIGH = f"greatest(0, floor({_CORR('32.0')}))", f"least({DIM} / 2.0 - 1, ceil({_CORR('1.0')}))"
 _TURN = "CASE WHEN j % 32 >= 24 THEN x[j + 1] WHEN j % 2 = 0 THEN x[j + 1] * cos(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) - x[j + 2] * sin(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) ELSE x[j] * sin(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) + x[j + 1] * cos(vec_id * pow(10000.0, -2.0 * ((j % 32) // 2) / 24)) END"
-QUERIES = {f.__name__: f for f in (verdict_from_hidden, verdict_threshold_sweep, verdict_by_label, verdict_vs_label, verdict_logits_full, top_verdict_token, top20_logits, top20_overlap, verdict_string, verdict_json, dot, dot4, checksum, rms_norm, softmax, softmax_masked, swiglu, sigmoid, add_scaled, argmax, relative_l2, worst_relative_error, parity_report, matmul, matmul_rows, gather_rows, id_range_check, rope_freqs, yarn_freqs, yarn_magnitude, rope_rotate, attn_temperature, causal_attention, gqa_attention, last_position)}
+QUERIES = {f.__name__: f for f in (verdict_from_hidden, verdict_threshold_sweep, verdict_by_label, verdict_vs_label, verdict_logits_full, top_verdict_token, top20_logits, top20_overlap, verdict_string, verdict_json, dot, dot4, checksum, rms_norm, softmax, softmax_masked, swiglu, sigmoid, add_scaled, argmax, relative_l2, worst_relative_error, parity_report, matmul, matmul_rows, gather_rows, id_range_check, rope_rotate, attn_temperature, causal_attention, gqa_attention, last_position)}
 ORACLE_SQL = {
     "verdict_from_hidden": f"SELECT vec_id, round(s, 4) + 0.0 score, round(y, 4) + 0.0 yes_logit, round(n, 4) + 0.0 no_logit, round(s, 4) > 0.5 is_unsafe FROM ({_SCORED})",
     "verdict_threshold_sweep": f"SELECT round(t, 1) threshold, count(*) n, sum((round(s, 4) > t)::INTEGER)::BIGINT unsafe FROM ({_SCORED}), (SELECT unnest([{', '.join(map(repr, THRESHOLDS))}]::DOUBLE[]) t) GROUP BY 1",
@@ -322,9 +301,6 @@ ORACLE_SQL = {
     "matmul_rows": f"SELECT a.vec_id token, pos::INTEGER pos, round(list_dot_product(a.x, b.x), 4) + 0.0 y FROM ({_X}) a, ({_X}) b, (SELECT unnest(range({len(ROW_IDS)})) pos, unnest({ROW_IDS}) id) WHERE b.vec_id = id",
     "gather_rows": f"SELECT t.vec_id pos, w.vec_id token, round(list_sum(w.x), 4) + 0.0 row_sum FROM ({_X}) t JOIN ({_X}) w ON w.vec_id = t.vec_id * 7 % (SELECT max(vec_id) + 1 FROM embeddings)",
     "id_range_check": "SELECT vec_id * 3 id FROM embeddings WHERE vec_id * 3 NOT IN (SELECT vec_id FROM embeddings)",
-    "rope_freqs": _ROPE,
-    "yarn_freqs": f"SELECT i::INTEGER pair, round(f / {FACTOR} * (1 - m) + f * m, 8) frequency FROM (SELECT i, pow({BASE}, -2.0 * i / {DIM}) f, 1 - least(1, greatest(0, (i - {_LOW}) / greatest(0.001, {_HIGH} - {_LOW}))) m FROM range({DIM // 2}) t(i))",
-    "yarn_magnitude": "SELECT id::INTEGER id, f::DOUBLE factor, m::DOUBLE mscale, a::DOUBLE mscale_all, round(CASE WHEN f <= 1 THEN 1 WHEN a <> 0 THEN (0.1 * CASE WHEN m = 0 THEN 1 ELSE m END * ln(f) + 1) / (0.1 * a * ln(f) + 1) ELSE 0.1 * ln(f) + 1 END, 6)::DOUBLE magnitude FROM (VALUES (0, 16.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 16, 1, 1), (2, 1, 0, 0), (3, 8, 0.7, 1)) t(id, f, m, a)",
     "rope_rotate": f"SELECT vec_id, {_digest_sql('r')} FROM (SELECT vec_id, list_transform(range(64), lambda j: {_TURN}) r FROM ({_X}))",
     "attn_temperature": "SELECT vec_id, round(1 + 0.1::DOUBLE * ln(1 + floor(vec_id / 64.0::DOUBLE)), 4) + 0.0 scale FROM embeddings",
     "causal_attention": _ATT(1, 1, 64),

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions import text as T
 from gavel.functions.bpe import ALPHABET, byte_decoded, byte_encoded, tiny_vocabulary
-from gavel.functions.geometry import INTEGER, OFFSET, TYPES, ZERO_POINT
-from gavel.operators.convert import LAYER, TOP, file_name, output_type
 from gavel.operators.tokenizer import encode_in_sets
 
 
@@ -140,34 +137,11 @@ def vocab_lookup(spark, sf_dir):
     return found.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("id") < 0, 1).otherwise(0)).alias("missing"), F.sum("id").alias("id_sum"))
 
 
-PIECES = [" Yes", "yes.", '"No"', "no'", " YES ", "nope", ". no", "\tNo\n", "yes", "''yes''", "no .", "", "No.", "¡No!", " nO."]
-
-
-def _literal_pieces(spark):
-    return _rows(spark, [(i, p) for i, p in enumerate(PIECES)], "id long, piece string")
-
-
-_PIECE_VALUES = "(VALUES " + ", ".join(f"({i}::BIGINT, {_q(p)})" for i, p in enumerate(PIECES)) + ") t(id, piece)"
 _NORMAL = r"lower(regexp_replace(regexp_replace(piece, '^\s+|\s+$', '', 'g'), '^[\"''.]+|[\"''.]+$', '', 'g'))".replace('\\"', '"')
 
 
-def normalize_piece(spark, sf_dir):
-    return _literal_pieces(spark).select("id", T.normal_piece("piece").alias("normal"))
-
-
-def verdict_token_ids(spark, sf_dir):
-    return _literal_pieces(spark).select("id", T.normal_piece("piece").alias("verdict")).filter(F.col("verdict").isin("yes", "no"))
-
-
-def verdict_union(spark, sf_dir):
-    ids = verdict_token_ids(spark, sf_dir)
-    side = lambda v, k: ids.filter(F.col("verdict") == v).select(F.lit(k).alias("side"), "id")
-    return side("yes", 0).unionAll(side("no", 1))
 
 
-def eos_union(spark, sf_dir):
-    sets = _rows(spark, [(1, 2, [2, 3, 4]), (2, 7, []), (3, 5, [9, 5, 9])], "id long, eos int, more array<int>")
-    return sets.select("id", F.posexplode(F.array_union(F.array("eos"), "more")).alias("pos", "token"))
 
 
 def _codes(spark, sf_dir):
@@ -213,130 +187,11 @@ def fingerprint_whole(spark, sf_dir):
     return _tokens_whole(spark, sf_dir).select("doc_id", F.sha2(made.cast("binary"), 256).alias("fingerprint"))
 
 
-def _geometry(spark):
-    return _rows(spark, [(k, *v) for k, v in TYPES.items()], "type string, code int, elements int, bytes int")
-
-
-_TYPE_VALUES = "(VALUES " + ", ".join(f"('{k}', {c}, {e}, {b})" for k, (c, e, b) in TYPES.items()) + ") t(type, code, elements, bytes)"
-
-
-def type_geometry(spark, sf_dir):
-    return _geometry(spark).select("type", "code", "elements", "bytes", (F.col("elements") > 1).alias("quantized"), F.round(F.col("bytes") * 8 / F.col("elements"), 4).alias("bits"))
-
-
-def row_bytes(spark, sf_dir):
-    """Bytes of rows of some widths; a width that is no multiple of the block has -1."""
-    widths = _rows(spark, [(w,) for w in (32, 64, 256, 3072, 9216, 100)], "width int")
-    both = _geometry(spark).crossJoin(F.broadcast(widths))
-    return both.select("type", "width", F.when(F.col("width") % F.col("elements") == 0, (F.col("width") / F.col("elements") * F.col("bytes")).cast("long")).otherwise(-1).alias("row_bytes"))
-
-
-def integer_path_flags(spark, sf_dir):
-    zero = F.create_map(*[F.lit(x) for kv in ZERO_POINT.items() for x in kv])
-    return _geometry(spark).select("type", F.col("type").isin(*INTEGER).alias("integer_dot"), F.col("type").isin(*OFFSET).alias("has_offset"), F.coalesce(zero[F.col("type")], F.lit(-1)).alias("zero_point"))
-
-
-def decodable_types(spark, sf_dir):
-    from gavel.functions.quant import DECODERS
-
-    return _geometry(spark).select("type", F.col("type").isin(*DECODERS).alias("decodable"))
-
-
-def types_without_fixture(spark, sf_dir):
-    """Types that are not among those with published sample blocks."""
-    tested = _geometry(spark).filter(~F.col("type").isin("I8", "I16", "I32", "I64", "F64", "Q8_1", "Q8_K"))
-    return _geometry(spark).select("type").exceptAll(tested.select("type"))
-
-
-def type_parse(spark, sf_dir):
-    names = _rows(spark, [("q4_0",), ("Q4_k",), ("mxfp4",), ("f16",), ("q9_0",), ("",)], "name string")
-    known = _geometry(spark).select("type", "code")
-    return names.join(F.broadcast(known), F.upper("name") == known["type"], "left").select("name", "type", F.coalesce("code", F.lit(-1)).alias("code"))
-
-
-TENSORS = [(f"blk.{b}.{n}.weight", r, c) for b in range(3) for n, r, c in (("attn_norm", 1, 64), ("attn_q", 128, 64), ("attn_k", 64, 64), ("ffn_gate", 128, 64), ("ffn_down", 64, 128), ("odd", 4, 33))] + [("token_embd.weight", 300, 64)]
-_TENSOR_VALUES = "(VALUES " + ", ".join(f"('{n}', {r}::BIGINT, {c}::BIGINT)" for n, r, c in TENSORS) + ") t(name, r, c)"
-
-
-def _tensors(spark):
-    return _rows(spark, TENSORS, "name string, r long, c long")
-
-
-def output_type_choice(spark, sf_dir):
-    """What the conversion writes a tensor as when 8-bit blocks are asked for; a tensor of one row is a vector."""
-
-    @F.pandas_udf("string")
-    def kind(names: pd.Series, r: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([output_type(n, (int(x), int(y)) if x > 1 else (int(y),), "Q8_0") for n, x, y in zip(names, r, c, strict=True)])
-
-    return _tensors(spark).select("name", kind("name", "r", "c").alias("type"))
-
-
-def element_counts(spark, sf_dir):
-    shape = F.array("c", "r")
-    return _tensors(spark).select("name", F.aggregate(shape, F.lit(1).cast("long"), lambda a, x: a * x).alias("n_elements"), F.aggregate(F.slice(shape, 2, 9), F.lit(1).cast("long"), lambda a, x: a * x).alias("n_rows"))
-
-
-def inspect_types(spark, sf_dir):
-    kinds = output_type_choice(spark, sf_dir).join(_tensors(spark), "name").join(F.broadcast(_geometry(spark)), "type")
-    return kinds.groupBy("type").agg(F.count("*").alias("tensors"), F.sum((F.col("r") * F.col("c") / F.col("elements") * F.col("bytes")).cast("long")).alias("bytes")).orderBy(F.desc("bytes"))
-
-
-METADATA = [("general.architecture", "mistral3"), ("mistral3.block_count", "2"), ("general.alignment", "32"), ("tokenizer.ggml.model", "gpt2")]
-
-
-def inspect_metadata(spark, sf_dir):
-    return _rows(spark, METADATA, "key string, value string").orderBy("key")
-
-
-def typed_getters(spark, sf_dir):
-    """One value for each key asked for, or its default."""
-    m = _rows(spark, METADATA, "key string, value string")
-    get = lambda key, default: F.coalesce(F.max(F.when(F.col("key") == key, F.col("value"))), F.lit(default))
-    return m.agg(get("general.architecture", "none").alias("architecture"), get("mistral3.block_count", "0").cast("int").alias("blocks"), get("mistral3.expert_count", "0").cast("int").alias("experts"))
-
-
-NAMES = ["layers.0.attention.wq.weight", "layers.11.attention.wo.weight", "layers.2.feed_forward.w1.weight", "layers.2.feed_forward.w2.weight", "layers.2.feed_forward.w3.weight", "layers.5.attention_norm.weight", "layers.5.ffn_norm.weight", "norm.weight", "output.weight", "tok_embeddings.weight", "layers.1.strange.weight"]
-
-
-def tensor_name_map(spark, sf_dir):
-    """File names of checkpoint tensors as the conversion gives them; a name it refuses is null."""
-
-    @F.pandas_udf("string")
-    def named(names: pd.Series) -> pd.Series:
-        def one(n: str) -> str | None:
-            try:
-                return file_name(n)
-            except ValueError:
-                return None
-
-        return names.map(one)
-
-    return _rows(spark, [(n,) for n in NAMES], "name string").select("name", named("name").alias("file_name"))
-
-
-def marker_order(spark, sf_dir):
-    m = _rows(spark, [(x,) for x in T.MARKERS], "marker string")
-    return m.select("marker", F.char_length("marker").cast("long").alias("n")).orderBy(F.desc("n"), "marker")
-
-
-SIZES = [0, 1, 1023, 1024, 1536, 1048576, 5 * 1048576 + 1000, 1073741824, 7 * 1073741824]
-
-
-def human_sizes(spark, sf_dir):
-    return _rows(spark, [(n,) for n in SIZES], "n long").select("n", T.human_bytes("n").alias("shown"))
-
-
-def bench_label(spark, sf_dir):
-    return _rows(spark, [("tiny-model-Q8_0",), ("plain",)], "name string").select("name", F.substring_index("name", "-", -1).alias("label"))
-
-
-_NAME_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (LAYER | TOP).items())
 _CODES = "list_transform(string_split(text, ''), lambda c: unicode(c)::INTEGER)"
 _ODD = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'tool' ELSE role END role, CASE WHEN conv_id % 7 = 0 AND role = 'assistant' THEN '' ELSE text END text FROM conversations"
 _DIGITS = "(strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1"
 _SPLIT = f"list_filter(string_split(regexp_replace(t, '({T.marker_pattern().replace(chr(39), chr(39) * 2)})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '')"
-QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, vocab_lookup, normalize_piece, verdict_token_ids, verdict_union, eos_union, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole, type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label)}
+QUERIES = {f.__name__: f for f in (format_user_message, render_prompt, policies_x_documents, render_conversation, render_errors, render_images, control_marker_split, has_control_marker, pretokenize_pieces, piece_histogram, digit_pieces, byte_encode, byte_decode, vocab_lookup, prefix_match, prefilled_tokens, fingerprint, prefix_match_whole, prefilled_tokens_whole, fingerprint_whole)}
 ORACLE_SQL = {
     "format_user_message": f"SELECT doc_id, md5({_DEFAULT}) digest, length({_DEFAULT}) n_chars FROM documents",
     "render_prompt": f"SELECT doc_id, md5({_OPEN} || {_DEFAULT} || '[/INST]') digest, length({_OPEN} || {_DEFAULT} || '[/INST]') n_chars FROM documents",
@@ -352,26 +207,7 @@ ORACLE_SQL = {
     "byte_encode": f"SELECT doc_id, array_to_string(list_transform(range(length(h) // 2), lambda i: list_extract([{', '.join(f'chr({ord(c)})' for c in ALPHABET)}], {_DIGITS} + 1)), '') shown FROM (SELECT doc_id, hex(encode(text)) h FROM documents)",
     "byte_decode": "SELECT doc_id, text FROM documents",
     "vocab_lookup": f"WITH v AS (SELECT piece, row_number() OVER (ORDER BY n DESC, piece) - 1 id FROM (SELECT piece, count(*) n FROM ({_EXPLODED}) GROUP BY 1) ORDER BY n DESC, piece LIMIT {VOCABULARY}), a AS (SELECT item_id, unnest({_PIECES}) piece FROM benchmark) SELECT item_id, count(*) n, count(*) FILTER (id IS NULL) missing, sum(coalesce(id, -1))::BIGINT id_sum FROM a LEFT JOIN v USING (piece) GROUP BY 1",
-    "normalize_piece": f"SELECT id, {_NORMAL} normal FROM {_PIECE_VALUES}",
-    "verdict_token_ids": f"SELECT id, verdict FROM (SELECT id, {_NORMAL} verdict FROM {_PIECE_VALUES}) WHERE verdict IN ('yes', 'no')",
-    "verdict_union": f"WITH x AS (SELECT id, {_NORMAL} v FROM {_PIECE_VALUES}) SELECT 0 side, id FROM x WHERE v = 'yes' UNION ALL SELECT 1, id FROM x WHERE v = 'no'",
-    "eos_union": "SELECT * FROM (VALUES (1::BIGINT, 0, 2), (1, 1, 3), (1, 2, 4), (2, 0, 7), (3, 0, 5), (3, 1, 9)) t(id, pos, token)",
     "prefix_match": f"WITH c AS (SELECT doc_id, {_CODES} t FROM documents) SELECT c.doc_id, c.t[1:2] = z.t[1:2] fits FROM c, (SELECT t FROM c WHERE doc_id = 0) z",
     "prefilled_tokens": f"WITH c AS (SELECT doc_id, {_CODES} t FROM documents) SELECT c.doc_id, CASE WHEN c.t[1:2] = z.t[1:2] THEN 2 ELSE 0 END prefilled FROM c, (SELECT t FROM c WHERE doc_id = 0) z",
     "fingerprint": f"SELECT doc_id, sha256('tiny.gguf|1024|mistral3|2x64x32|' || array_to_string({_CODES}, ',')) fingerprint FROM documents",
-    "type_geometry": f"SELECT type, code, elements, bytes, elements > 1 quantized, round(bytes * 8 / elements::DOUBLE, 4) bits FROM {_TYPE_VALUES}",
-    "row_bytes": f"SELECT type, width, CASE WHEN width % elements = 0 THEN (width // elements * bytes)::BIGINT ELSE -1 END row_bytes FROM {_TYPE_VALUES}, (SELECT unnest([32, 64, 256, 3072, 9216, 100])::INTEGER width)",
-    "integer_path_flags": f"SELECT type, type IN ('Q8_0', 'Q4_0', 'Q4_1', 'Q5_0', 'Q5_1') integer_dot, type IN ('Q4_1', 'Q5_1') has_offset, CASE type WHEN 'Q4_0' THEN 8 WHEN 'Q5_0' THEN 16 WHEN 'Q8_0' THEN 128 WHEN 'Q4_1' THEN 0 WHEN 'Q5_1' THEN 0 ELSE -1 END zero_point FROM {_TYPE_VALUES}",
-    "decodable_types": f"SELECT type, true decodable FROM {_TYPE_VALUES}",
-    "types_without_fixture": "SELECT unnest(['I8', 'I16', 'I32', 'I64', 'F64', 'Q8_1', 'Q8_K']) type",
-    "type_parse": f"SELECT name, type, coalesce(code, -1) code FROM (SELECT unnest(['q4_0', 'Q4_k', 'mxfp4', 'f16', 'q9_0', '']) name) LEFT JOIN {_TYPE_VALUES} ON upper(name) = type",
-    "output_type_choice": f"SELECT name, CASE WHEN name LIKE '%\\_norm%' ESCAPE '\\' OR r = 1 THEN 'F32' WHEN c % 32 <> 0 THEN 'F16' ELSE 'Q8_0' END type FROM {_TENSOR_VALUES}",
-    "element_counts": f"SELECT name, r * c n_elements, r n_rows FROM {_TENSOR_VALUES}",
-    "inspect_types": f"SELECT x.type, count(*) tensors, sum(r * c // elements * bytes)::BIGINT bytes FROM (SELECT *, CASE WHEN contains(name, '_norm') OR r = 1 THEN 'F32' WHEN c % 32 <> 0 THEN 'F16' ELSE 'Q8_0' END type FROM {_TENSOR_VALUES}) x JOIN (SELECT * FROM {_TYPE_VALUES}) g USING (type) GROUP BY 1 ORDER BY 3 DESC",
-    "inspect_metadata": "SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in METADATA) + ") t(key, value) ORDER BY key",
-    "typed_getters": "SELECT 'mistral3' architecture, 2 blocks, 0 experts",
-    "tensor_name_map": f"SELECT name, CASE WHEN name LIKE 'layers.%' THEN 'blk.' || regexp_extract(name, '^layers\\.(\\d+)\\.', 1) || '.' ELSE '' END || CASE regexp_replace(regexp_replace(name, '^layers\\.\\d+\\.', ''), '\\.weight$', '') {_NAME_CASES} END || '.weight' file_name FROM (SELECT unnest([{', '.join(map(_q, NAMES))}]) name)",
-    "marker_order": f"SELECT marker, length(marker) n FROM (SELECT unnest([{', '.join(map(_q, T.MARKERS))}]) marker) ORDER BY n DESC, marker",
-    "human_sizes": f"SELECT n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', n / 1073741824.0::DOUBLE) END shown FROM (SELECT unnest({SIZES})::BIGINT n)",
-    "bench_label": "SELECT * FROM (VALUES ('tiny-model-Q8_0', 'Q8_0'), ('plain', 'plain')) t(name, label)",
 }
