@@ -296,7 +296,7 @@ f as (select *, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr
         lag(role[1]) over (partition by conv_id order by {order}) || role[1] not in ('su', 'ua', 'au') as odd from e),
 g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::BIGINT as gaps, count(*) filter (ending = '') as blank,
         count(*) filter (ending != '' and again) as duplicate, count(*) filter (not again and ending not in ('', '.', '!', '?')) as truncated, count(*) filter (odd) as illegal,
-        list({{'st': {start}, 'role': role, 'text': text, 'gone': ending = '' or again, 'cut': ending not in ('', '.', '!', '?')}} order by {order}) as turns
+        list({{'st': {start}, 'role': role, 'text': text, 'gone': ending = '' or again, 'cut': ending not in ('', '.', '!', '?')}} order by {order}, again) as turns
         from f group by conv_id),
 h as (select * exclude (turns), {let("q", closed(folded), least("q.n", "q.a"))} as best from g)
 select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
