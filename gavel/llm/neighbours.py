@@ -18,7 +18,7 @@ cut into blocks of candidates and of queries.
 Queries that found fewer than TOP candidates search every list, so a query gets
 fewer only if there are no more. Defined results: vectors that are null, empty, zero, hold a
 null or non-finite component, or differ from the commonest length take no
-part; ties go to the smaller id; repeated ids count once per row; other
+part, and a table without others has no rows; ties go to the smaller id; repeated ids count once per row; other
 columns are ignored.
 """
 

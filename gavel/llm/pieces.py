@@ -15,7 +15,7 @@ Decoding joins the pieces, turns marks into spaces and byte pieces into
 characters (invalid ones into U+FFFD) and drops the space added in front.
 
 Defined results: null and empty texts have no tokens and decode to empty;
-U+2581 in a text decodes to a space (round_trip false); repeated rows each give
+U+2581 in a text decodes to a space (round_trip false); a very long text is segmented whole; an empty table has no rows; repeated rows each give
 a row; other columns are ignored.
 """
 

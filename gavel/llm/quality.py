@@ -8,8 +8,9 @@ per level for all rows of a slice.
 
 Defined results: null and empty texts have all statistics 0 and get a score
 like any other; labels that are null or not 0/1 are not learned from; without
-any usable label every score is 0.5 (predicted 1); repeated rows each give a
-row; other columns are ignored.
+any usable label every score is 0.5; a score of exactly 0.5 is predicted 1; a very long text is
+read whole, and its longest word counts as 200 characters at most (longer ones say no more about it); an
+empty table has no rows; repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Offline proof, once per worker, from the vocabulary alone:
 
 Other pre-tokens go through the library, each distinct one once per slice.
 
-Defined results: null or empty text has 0 bytes and 0 tokens; repeated rows
+Defined results: null or empty text has 0 bytes and 0 tokens; a very long text
+is counted whole; an empty table has no rows; repeated rows
 and ids each give a row; other columns of the input are ignored.
 """
 

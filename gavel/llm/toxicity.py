@@ -7,10 +7,13 @@ with t_0 < t_1 < ...; the expected severity is the sum of these over k. Weights
 are fitted with accelerated proximal gradient steps and an L1 penalty, so that
 words without evidence keep weight 0 and long clean texts gather no score.
 
-Learning uses a bounded sample of labelled rows (``SAMPLE_ROWS``); scoring
-reads every whole text. Defined results: null and empty texts have no
+Learning uses a bounded sample of labelled rows (``SAMPLE_ROWS``) and at most
+MOST features, those whose toxic share is furthest off; scoring reads every
+whole text. Defined results: null and empty texts have no
 features, and so get the grade of the thresholds alone; without usable labels
-every severity is 0; repeated rows each give a row; other columns are ignored.
+every severity is 0; of grades that are equally likely the least is given; a
+very long text is one row's features; an empty table has no rows; repeated rows
+each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
