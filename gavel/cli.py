@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     m.add_argument("--query", default=DEFAULT_QUERY)
     m.add_argument("--document")
     m.add_argument("--file")
+    m.add_argument("--documents", help="a folder whose files are documents, moderated by Spark: a JSON line each")
     m.add_argument("--json", action="store_true")
     m.add_argument("--no-cache", action="store_true")
     m.add_argument("--cache-path")
@@ -76,6 +77,16 @@ def main(argv: list[str] | None = None) -> int:
                 began = time.time()
                 n = sum(m.verdict(render(DEFAULT_INSTRUCT, DEFAULT_QUERY, "word " * 64))[3] for _ in range(5))
                 print(json.dumps({"tokens_per_s": n / (time.time() - began)}))
+            elif a.documents:
+                from pyspark.sql import SparkSession
+
+                from gavel.operators.moderate import moderate
+                from gavel.sources.documents import read_documents
+
+                spark = SparkSession.builder.getOrCreate()
+                policy = spark.createDataFrame([(0, a.instruct, a.query)], "policy_id long, instruct string, query string")
+                for line in moderate(read_documents(spark, a.documents), a.model, policy, use_prefix=not a.no_cache).toJSON().toLocalIterator():
+                    print(line)
             else:
                 began = time.time()
                 text = a.document if a.document is not None else open(a.file).read() if a.file else sys.stdin.read()

@@ -5,6 +5,9 @@ A document stands for a tensor: its id names it and its type, its text's length
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gavel.functions import tensors as V
@@ -18,7 +21,8 @@ from gavel.plans.tensor_queries import _X, _v
 from gavel.plans.text_queries import _EXPLODED, _NORMAL, _q, _table
 from gavel.plans.token_queries import _RANKED, SPECIAL, vocabulary_of_corpus
 from gavel.sources import register
-from gavel.sources.gguf import write_tensors
+from gavel.sources.documents import model_files
+from gavel.sources.gguf import header_bytes, local_path, write_tensors
 
 _TYPES, _LAYERS, _TOPS = list(TYPES), list(LAYER), list(TOP)
 #: The words that stand for yes and no among the corpus's pieces.
@@ -210,8 +214,6 @@ def yarn_magnitude(spark, sf_dir):
 
 def _by_label(spark, sf_dir):
     """Vectors as a tensor for each label."""
-    from pyspark.sql import Window
-
     v = _v(spark, sf_dir).filter("label is not null")
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     return v.select(F.format_string("blk.%d.attn_q.weight", F.col("label")).alias("tensor"), place.cast("long").alias("row_id"), F.col("x").alias("values"))
@@ -236,6 +238,23 @@ def gguf_metadata(spark, sf_dir):
     return spark.read.format("gguf").option("path", _written(spark, sf_dir)).option("view", "metadata").load()
 
 
+MODELS = ("F16", "Q8_0", "Q5_1", "MXFP4")
+
+
+def models_by_size(spark, sf_dir):
+    """Files of a folder that hold the vectors in some types, the smallest first; a projector among them is left out. Bytes are those of the rows."""
+    folder = new_folder(spark)
+    rows = _v(spark, sf_dir).select(F.lit("token_embd.weight").alias("tensor"), F.col("vec_id").alias("row_id"), F.col("x").alias("values"))
+    os.makedirs(local_path(folder))
+    for kind in (*MODELS, "mmproj-F16"):
+        write_tensors(rows, f"{folder}/vectors-{kind}.gguf", kind.removeprefix("mmproj-"))
+    files = model_files(spark, folder)
+    place = F.row_number().over(Window.orderBy("bytes", "name"))  # a folder's few files
+    return files.select("name", place.alias("place"), (F.col("bytes") - HEADER).alias("row_bytes"))
+
+
+#: Bytes of the header of a file with that one tensor.
+HEADER = len(header_bytes({}, [("token_embd.weight", (64, 1), "F16", 0)]))
 _KNOWN = f"{_TENSORS} t JOIN {_GEOMETRY} USING (type)"
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (LAYER | TOP).items())
 _SIZE = "(octet_length(encode(text)) * 10007 * (1 + doc_id % 1000))"
@@ -247,7 +266,7 @@ _RAMP = f"least(1, greatest(0, (i - greatest(0, floor({_TURNS(32.0)}))) / greate
 _PAIRS = f"embeddings, (SELECT unnest(range({DIM // 2}))::INTEGER AS i)"
 _MS = lambda m: f"(CASE WHEN f <= 1 THEN 1 ELSE 0.1 * {m} * ln(f) + 1 END)"
 
-QUERIES = {f.__name__: f for f in (type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label, normalize_piece, verdict_token_ids, verdict_union, eos_union, sign_expand, rope_freqs, yarn_freqs, yarn_magnitude, gguf_tensors, gguf_metadata)}
+QUERIES = {f.__name__: f for f in (type_geometry, row_bytes, integer_path_flags, decodable_types, types_without_fixture, type_parse, output_type_choice, element_counts, inspect_types, inspect_metadata, typed_getters, tensor_name_map, marker_order, human_sizes, bench_label, normalize_piece, verdict_token_ids, verdict_union, eos_union, sign_expand, rope_freqs, yarn_freqs, yarn_magnitude, gguf_tensors, gguf_metadata, models_by_size)}
 ORACLE_SQL = {
     "type_geometry": f"SELECT g.type, code, elements, bytes, sum((c % elements = 0)::INT)::BIGINT AS whole, round(bytes * 8 / elements::DOUBLE, 4) AS bits FROM {_TENSORS} t, {_GEOMETRY} GROUP BY ALL",
     "row_bytes": f"SELECT doc_id, type, (CASE WHEN c % elements = 0 THEN c // elements * bytes ELSE -1 END)::BIGINT AS row_bytes FROM {_KNOWN}",
@@ -273,5 +292,6 @@ ORACLE_SQL = {
     "yarn_freqs": f"SELECT vec_id, i AS pair, round(CASE WHEN vec_id % 5 = 0 THEN p ELSE p / f * m + p * (1 - m) END, 8) AS frequency FROM (SELECT vec_id, i, {_POWER} AS p, 1.0 + vec_id % 5 AS f, {_RAMP} AS m FROM {_PAIRS})",
     "yarn_magnitude": f"SELECT vec_id, round(CASE WHEN a <> 0 THEN {_MS('CASE WHEN m = 0 THEN 1 ELSE m END')} / {_MS('a')} ELSE {_MS('1.0')} END, 6)::DOUBLE AS magnitude FROM (SELECT vec_id, (1 + vec_id % 5)::DOUBLE AS f, (vec_id % 3) / 2::DOUBLE AS m, (label % 2) * 0.7::DOUBLE AS a FROM embeddings)",
     "gguf_tensors": "WITH t AS (SELECT 'blk.' || label || '.attn_q.weight' AS name, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label) SELECT name, '64x' || n AS shape, 'Q8_0' AS type, (coalesce(sum((n * 68 + 31) // 32 * 32) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS data_offset, n * 64 AS n_elements, n AS n_rows, n * 68 AS n_bytes FROM t",
+    "models_by_size": "SELECT name, row_number() OVER (ORDER BY row_bytes, name)::INTEGER AS place, row_bytes FROM (SELECT 'vectors-' || type || '.gguf' AS name, ((SELECT count(*) FROM embeddings) * size + 31) // 32 * 32 AS row_bytes FROM (VALUES ('F16', 128), ('Q8_0', 68), ('Q5_1', 48), ('MXFP4', 34)) t(type, size))",
     "gguf_metadata": "WITH t AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM embeddings WHERE label IS NOT NULL) SELECT 'general.architecture' AS key, 'string' AS value_type, 'mistral3' AS value, 1::BIGINT AS items UNION ALL SELECT 'mistral3.block_count', 'uint32', k::VARCHAR, 1 FROM t UNION ALL SELECT 'mistral3.vocab_size', 'uint64', n::VARCHAR, 1 FROM t UNION ALL SELECT 'mistral3.sizes', 'array[int32]', '[' || k || ', ' || n || ']', 2 FROM t",
 }

@@ -164,7 +164,7 @@ class GgufFile:
         return self.values(name)
 
 
-def _header(metadata: dict[str, tuple[str, object]], tensors: list[tuple[str, tuple[int, ...], str, int]], alignment: int) -> bytes:
+def header_bytes(metadata: dict[str, tuple[str, object]], tensors: list[tuple[str, tuple[int, ...], str, int]], alignment: int = 32) -> bytes:
     """Header and fill of version 3; tensors as (name, shape, type, bytes), in the order of the data."""
     text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
 
@@ -189,12 +189,12 @@ def _header(metadata: dict[str, tuple[str, object]], tensors: list[tuple[str, tu
 def write_gguf(path: str, metadata: dict[str, tuple[str, object]], tensors: list[tuple[str, tuple[int, ...], str, bytes]], alignment: int = 32) -> None:
     """Write version 3: metadata as key -> (type name, value), tensors as (name, shape, type, packed bytes)."""
     with open(path, "wb") as f:
-        f.write(_header(metadata, [(*t[:3], len(t[3])) for t in tensors], alignment))
+        f.write(header_bytes(metadata, [(*t[:3], len(t[3])) for t in tensors], alignment))
         for *_, raw in tensors:
             f.write(raw + b"\0" * (-len(raw) % alignment))
 
 
-def _local(path: str) -> str:
+def local_path(path: str) -> str:
     """A path that open() takes: file: URIs and plain paths, of a folder that driver and executors share."""
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
@@ -220,7 +220,7 @@ class _Runs(WriterCommitMessage):
 
 class GgufWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.target = _local(options["path"])
+        self.target = local_path(options["path"])
         if os.path.exists(self.target) and not overwrite:
             raise GgufError(f"{self.target} exists")
         self.kind, self.name = options.get("type", "F32"), options.get("tensor")
@@ -286,7 +286,7 @@ class GgufWriter(DataSourceArrowWriter):
         new = f"{self.folder}/file"
         os.makedirs(self.folder, exist_ok=True)
         with open(new, "wb") as out:
-            out.write(_header(self.metadata, tensors, alignment))
+            out.write(header_bytes(self.metadata, tensors, alignment))
             for (_, _, _, size), own in zip(tensors, by_tensor.values(), strict=True):
                 for r in own:
                     with open(r.part, "rb") as part:
@@ -322,7 +322,7 @@ class _Rows(InputPartition):
 
 class GgufReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.view, self.only = _local(options["path"]), options.get("view", "tensors"), options.get("tensor")
+        self.path, self.view, self.only = local_path(options["path"]), options.get("view", "tensors"), options.get("tensor")
 
     def partitions(self):
         file = GgufFile(self.path)  # a broken file fails here, before any task

@@ -1,5 +1,6 @@
 """Blocked products, mergeable attention and top-k, shared prefixes and the GGUF sink against plain computations."""
 
+import json
 import math
 import os
 import random
@@ -169,6 +170,23 @@ def test_sink_refuses_and_leaves_nothing(spark, tmp_path):
     assert GgufFile(str(tmp_path / "none.gguf")).tensors == []
 
 
+def test_documents_from_files(spark, tmp_path, tiny_model, capsys):
+    from gavel import cli
+    from gavel.sources.documents import read_documents
+
+    (tmp_path / "in").mkdir()
+    texts = {"a.txt": b"one\ntwo\r\n\n", "b.txt": "é🚨".encode(), "c.txt": b"bad \xff end", "in/d.txt": b"", "e.md": b"other"}
+    for name, raw in texts.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.doc_id.split(f"{tmp_path}/")[1]: r.text for r in read_documents(spark, str(tmp_path), "*.txt").collect()}
+    assert got.pop("in/d.txt", "") == ""  # an empty file has an empty text or no row
+    assert got == {k: v.decode("utf-8", "replace") for k, v in texts.items() if k.endswith(".txt") and v}
+    capsys.readouterr()
+    assert cli.main(["moderate", tiny_model, "--documents", str(tmp_path / "a.txt")]) == 0
+    line = json.loads(capsys.readouterr().out.strip())
+    assert line["doc_id"].endswith("a.txt") and 0 <= line["score"] <= 1
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_sql(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir).toPandas(), by_sql(sf_dir, ORACLE_SQL[name]))
