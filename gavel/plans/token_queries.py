@@ -36,14 +36,18 @@ def decode_tokens(spark, sf_dir):
     return text.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-def vocabulary_of_corpus(spark, sf_dir):
-    """Special pieces, bytes, and the commonest pieces of the documents, in rank order."""
+def _corpus(spark, sf_dir):
     return corpus_vocabulary(_table(spark, sf_dir, "documents"), "text", CORPUS_PIECES, SPECIAL)
 
 
+def vocabulary_of_corpus(spark, sf_dir):
+    """Special pieces (rank -1), bytes, and the commonest pieces of the documents, in rank order."""
+    return _corpus(spark, sf_dir).withColumn("rank", F.coalesce("rank", F.lit(-1)))
+
+
 def derived_merges(spark, sf_dir):
     """The merges of that vocabulary."""
-    return merges_of(vocabulary_of_corpus(spark, sf_dir))
+    return merges_of(_corpus(spark, sf_dir))
 
 
 def _shown(text: str) -> str:
@@ -92,6 +96,6 @@ ORACLE_SQL = {
     "encode_pieces_by_rank": f"{_by_rank()} SELECT piece, n_tokens, coalesce(ids, '') AS ids FROM y",
     "encode_with_bos": f"{_by_rank()} SELECT c.doc_id, 1 + coalesce(n, 0)::BIGINT AS n_tokens, 1 AS first, md5(concat_ws(',', '1', nullif(ids, ''))) AS digest FROM documents c LEFT JOIN (SELECT doc_id, sum(n_tokens) AS n, string_agg(ids, ',' ORDER BY pos) AS ids FROM x JOIN y USING (piece) GROUP BY doc_id) USING (doc_id)",
     "decode_tokens": "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents",
-    "vocabulary_of_corpus": f"WITH {_RANKED} SELECT (rank + {len(SPECIAL)})::INTEGER AS token_id, rank, piece, 1 AS type FROM z UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, NULL::INTEGER, {_q(p)}, 3)' for i, p in enumerate(SPECIAL))})",
+    "vocabulary_of_corpus": f"WITH {_RANKED} SELECT (rank + {len(SPECIAL)})::INTEGER AS token_id, rank, piece, 1 AS type FROM z UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, -1, {_q(p)}, 3)' for i, p in enumerate(SPECIAL))})",
     "derived_merges": _SPLIT,
 }

@@ -7,12 +7,10 @@ import random
 
 import numpy as np
 import pytest
-from conftest import by_sql, same
 
 from gavel.functions.integer import Strategy, matmul
 from gavel.functions.quant import decode, encode
 from gavel.operators import prefixes, tables, tiles
-from gavel.plans.scale_queries import ORACLE_SQL, QUERIES
 from gavel.sources import register
 from gavel.sources.gguf import GgufFile, write_tensors
 
@@ -185,10 +183,3 @@ def test_documents_from_files(spark, tmp_path, tiny_model, capsys):
     assert cli.main(["moderate", tiny_model, "--documents", str(tmp_path / "a.txt")]) == 0
     line = json.loads(capsys.readouterr().out.strip())
     assert line["doc_id"].endswith("a.txt") and 0 <= line["score"] <= 1
-
-
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_queries_equal_sql(spark, sf_dir, name):
-    same(QUERIES[name](spark, sf_dir).toPandas(), by_sql(sf_dir, ORACLE_SQL[name]))
-
-
