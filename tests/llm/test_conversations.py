@@ -5,11 +5,9 @@ import random
 import zlib
 
 import pytest
-from conftest import by_sql, same
 
 from gavel.llm import repair as R
 from gavel.llm import trie as T
-from gavel.llm.queries import ORACLE_SQL, QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -180,11 +178,3 @@ def test_trie_of_chains_copies_and_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, TURNS)
     assert _nodes(T.prefix_trie(T.plain(df))) == _plain_trie(rows, rebuild=False)
     assert T.prefix_trie(T.rebuilt(spark.createDataFrame([], TURNS))).collect() == []
-
-
-@pytest.mark.parametrize("name", ["op11_repair", "op13_prefix_trie"])
-def test_queries_equal_sql(spark, sf_dir, name):
-    got, want = QUERIES[name](spark, sf_dir).toPandas(), by_sql(sf_dir, ORACLE_SQL[name])
-    if "parent_conv_id" in got:
-        got, want = (x.fillna({"parent_conv_id": -1}).astype({"parent_conv_id": int}) for x in (got, want))
-    same(got, want)

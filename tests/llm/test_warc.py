@@ -6,10 +6,8 @@ import os
 import random
 
 import pytest
-from conftest import by_sql, same
 
 from gavel.llm import warc as W
-from gavel.llm.queries import ORACLE_SQL, QUERIES
 
 PAGES = "page_id long, url string, html string"
 
@@ -110,8 +108,3 @@ def test_empty_table(spark, tmp_path):
     folder = str(tmp_path / "a")
     assert W.write_archives(spark.createDataFrame([], PAGES), folder).count() == 0
     assert W.read_archives(spark, folder).count() == 0
-
-
-def test_query_equals_sql(spark, sf_dir):
-    got, want = QUERIES["op12_warc"](spark, sf_dir).toPandas(), by_sql(sf_dir, ORACLE_SQL["op12_warc"])
-    same(got.fillna({"refers_to": -1}).astype({"refers_to": int}), want.fillna({"refers_to": -1}).astype({"refers_to": int}))
