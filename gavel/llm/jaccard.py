@@ -1,9 +1,10 @@
 """Operator 9: Jaccard join of 5-word shingle sets with a count-vector R-tree, and its components.
 
 1. Equal sets are one class; a class goes on with its smallest id.
-2. Shingles have one global order: by hash, but the COMMON ones (in a hundredth of the
-   documents or more, a list of bounded length) come last, and before them those
-   that would deal more than LARGE documents to one bucket. Sets that reach the threshold
+2. Shingles have one global order: by hash, but the COMMON ones (those that a sample of bounded
+   size shows in OFTEN documents or more, a list of bounded length) come last, the commoner the later, and before them those
+   that would deal more than LARGE documents to one bucket. So buckets of shingles that documents share by chance don't
+   grow with the table, and their pairs not with its square. The sample is for the order alone, which any list keeps exact. Sets that reach the threshold
    share a shingle among the first n - ceil(3n/4) + 1 of each, so only those are
    dealt to buckets by shingle; shingles of one document go at once. Where a bucket is found
    to be LARGE its shingle moves back in the order, and its documents are dealt
@@ -50,8 +51,10 @@ from gavel.llm.hashing import mix, shingle_sets
 SHINGLE = 5
 GROUPS = 128
 FANOUT = 8
-#: Common shingles that are sent to all tasks at most (8 MB); they affect the order only.
+#: Common shingles that are sent to all tasks at most (9 MB); they affect the order only.
 COMMON = 1_000_000
+#: Documents in which a shingle is common, and the documents that are counted to find those shingles.
+OFTEN, COUNTED = 128, 40_000
 #: Documents of a bucket beyond which its shingle moves back in the order.
 LARGE = 4_096
 #: Documents and shingles of one block of a bucket, and node pairs held at once.
@@ -74,36 +77,38 @@ def _class_keys(s: np.ndarray) -> tuple[int, int]:
     return int(np.array([a.sum() + np.uint64(len(s))]).view(np.int64)[0]), int(np.array([np.bitwise_xor.reduce(b * np.uint64(3))]).view(np.int64)[0])
 
 
-def members_and_common(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (doc_id, n, k1, k2), and of the shingles that many sets of a slice have (token, seen)."""
+def members_of(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, k1, k2) of documents: the sets' sizes and keys."""
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(part.column(1).to_pylist(), size)
             keys = [_class_keys(s) for s in sets]
-            differing = dict(zip(keys, sets, strict=True)).values()
-            token, seen = np.unique(np.concatenate(list(differing)), return_counts=True)
-            often = seen >= max(4, len(sets) // 128)
-            m, k = len(sets), int(often.sum())
-            ids = part.column(0)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids, pa.nulls(k, ids.type)]), pa.array([len(s) for s in sets] + [None] * k, pa.int64()), pa.array([x[0] for x in keys] + [None] * k, pa.int64()),
-                    pa.array([x[1] for x in keys] + [None] * k, pa.int64()), pa.concat_arrays([pa.nulls(m, pa.int64()), _signed(token[often])]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(seen[often].astype(np.int64))]),
-                ],
-                names=["doc_id", "n", "k1", "k2", "token", "seen"],
-            )
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64())], names=["doc_id", "n", "k1", "k2"])
 
         return run
 
-    return map_slices(docs, make, "doc_id long, n long, k1 long, k2 long, token long, seen long")
+    return map_slices(docs, make, "doc_id long, n long, k1 long, k2 long")
 
 
-def common_shingles(both: DataFrame, documents: int) -> np.ndarray:
-    """The sorted shingles that about a hundredth of the documents have, the commonest COMMON at most."""
-    seen = both.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= max(16, documents // 100))
-    found = seen.orderBy(F.desc("seen"), "token").limit(COMMON).select("token").toArrow().column("token")
-    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
+def common_shingles(docs: DataFrame, documents: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles that OFTEN documents or more have, by those of about COUNTED, the commonest COMMON at most; and the place of each in the order: the power of two of its documents, from 2."""
+    every = max(1, -(-documents // COUNTED))
+
+    def make():
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            token, seen = np.unique(np.concatenate(shingle_sets(part.column(0).to_pylist(), size)), return_counts=True)
+            return pa.RecordBatch.from_arrays([_signed(token), pa.array(seen.astype(np.int64))], names=["token", "seen"])
+
+        return run
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    # a shingle of two documents of the sample may be there by chance
+    seen = map_slices(some, make, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= max(3, OFTEN // every))
+    found = seen.orderBy(F.desc("seen"), "token").limit(COMMON).select("token", F.log2(F.col("seen") * every / OFTEN).cast("byte").alias("late")).toArrow()
+    token = found.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.maximum(found.column("late").to_numpy().astype(np.int8), 0)[order] + np.int8(2)
 
 
 def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -112,20 +117,28 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def signatures(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
+def _places(x: np.ndarray, known: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """late of the entries of x that are in known, else 0."""
+    if not len(known) or not len(x):
+        return np.zeros(len(x), np.int8)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, late[at], np.int8(0))
+
+
+def signatures(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
     """(token, doc, late) of documents (doc_id, text, large): the first shingles of each in the global order, as many as the threshold needs.
 
-    late is 0, 1 for shingles of `large`, 2 for common ones.
+    late is 0, 1 for shingles of `large`, 2 and more for common ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
-        known = shared.value
+        known, place = shared.value
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(part.column(1).to_pylist(), size)
             n = np.array([len(s) for s in sets])
-            back = _within(np.concatenate(sets), known).astype(np.int8) * 2
+            back = _places(np.concatenate(sets), known, place)
             token, late, count, at = [], [], [], 0
             for i, s in enumerate(sets):
                 k = len(s) - -(-3 * len(s) // 4) + 1 if len(s) else 0
@@ -194,7 +207,7 @@ def shared_shingles(rows: DataFrame, moved: DataFrame | None) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "late").mapInArrow(run, "token long, doc long, late byte, n_docs int, same long")
 
 
-def buckets(docs: DataFrame, common: np.ndarray, size: int) -> DataFrame:
+def buckets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
     """Stored shared_shingles of documents (doc_id, text), after as many turns as large buckets need."""
     given = docs.withColumn("large", F.lit(None).cast("array<bigint>"))
     moved = own = None
@@ -515,9 +528,8 @@ def links_of(found: DataFrame, known: DataFrame, texts: DataFrame, size: int) ->
 
 def _components_of(docs: DataFrame, size: int) -> DataFrame:
     """similar_components of rows (doc_id, text) whose ids differ; some may be null."""
-    both = stored(members_and_common(docs, size))
-    members = both.filter(F.col("token").isNull()).select("doc_id", "n", "k1", "k2")
-    common = common_shingles(both, members.count())
+    members = stored(members_of(docs, size))
+    common = common_shingles(docs, members.count(), size)
     classes = stored(members.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc")))
     idle = members.select("doc_id").distinct().join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
     unique = docs.filter(F.col("doc_id").isNotNull()).join(small_or_not(stored(idle)), "doc_id", "left_anti").select("doc_id", "text")

@@ -264,3 +264,20 @@ def test_few_vectors_and_none(spark):
     assert got.vec_id.tolist() == [2, 1] and got.score.tolist() == pytest.approx([1, 2**0.5])
     assert neighbours(df.limit(0)).count() == 0
     assert isinstance(got, pd.DataFrame)
+
+
+def test_shingles_shared_by_chance_make_no_large_buckets(spark, monkeypatch):
+    """A phrase of 20 documents of 600 is no bucket of a document that has rarer shingles; what is near stays linked."""
+    import gavel.llm.jaccard as j
+
+    monkeypatch.setattr(j, "OFTEN", 16)
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    phrase = lambda g: " ".join(f"p{g}x{k}" for k in range(12))
+    rows = [(i, f"{phrase(i % 30)} {own(i)}") for i in range(600)] + [(1000 + i, f"{phrase(i % 30)} {own(i)} more") for i in range(0, 600, 50)] + [(2000 + i, phrase(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token, late = j.common_shingles(df, len(rows), j.SHINGLE)
+    assert len(token) == 30 * 8 and set(late.tolist()) == {2, 3} and (np.sort(token) == token).all()
+    found = j.buckets(df.filter("doc_id < 2000"), (token, late), j.SHINGLE)
+    assert found.groupBy("token").count().agg({"count": "max"}).first()[0] == 2
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(df).collect()}
+    assert got == _classes(rows)
