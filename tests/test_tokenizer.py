@@ -107,3 +107,15 @@ def test_rounds_shuffle_nothing_and_pieces_are_dealt_once(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_bytes_of_texts_need_no_python(spark):
+    texts = [*(t for t in TEXTS if t is not None), *_texts(60, 3), "".join(map(chr, range(400))), "\x00a\x00", "日" * 50]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, t string").select("k", bpe.byte_encoded("t").alias("shown"))
+    back = df.select("k", "shown", bpe.byte_decoded("shown").alias("text"))
+    assert "Python" not in back._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: (r.shown, r.text) for r in back.collect()}
+    assert got == {-1: (None, None)} | {i: (bpe.to_alphabet(t), t) for i, t in enumerate(texts)}
+    odd = ["▁the", "日Ġa", "", "Āx▁Ā", "ÿþ", "\x00\x7f", "Ńŀ é", " a", *bpe.ALPHABET]
+    got = {r.p: r.t for r in spark.createDataFrame([(p,) for p in odd], "p string").select("p", bpe.byte_decoded("p").alias("t")).collect()}
+    assert got == {p: bpe.from_alphabet(p).decode("utf-8", "replace") for p in odd}
