@@ -6,9 +6,11 @@ round the adjacent pairs of all pieces are joined with the merge table, each pie
 least rank, and that pair is merged in all of them at once: everywhere, from the left, if no merge of a product comes before
 the merge that makes it (checked on the table), else at its leftmost place alone. Pieces without a pair in the table are done. Rounds of one
 job keep the pieces where they are: the dictionary is dealt by piece once, the merge table is broadcast if it is within a counted bound.
-Ids are then joined back to the texts: the commonest pieces, a bounded dictionary, where the texts lie; the rest, each rare, by a shuffle.
+Of a corpus the commonest pieces are the dictionary, as many as its bound allows; texts stay where they lie and look their pieces up in it. The rest, each rare,
+are merged by a queue each where they stand, so that nothing but counted pieces is shuffled: no text, and no list of ids.
 
-Decoding joins token ids with the vocabulary, orders bytes by position and replaces what is not UTF-8; an id without a piece is an error.
+Decoding lays the bytes of ids in a row by the vocabulary, where the ids lie, and replaces what is not UTF-8; an id without a piece is an error. A vocabulary beyond
+the bound is joined instead.
 
 A vocabulary comes from a corpus by counting its pieces; its merges are found by splitting each entry with the entries of smaller rank alone,
 again by rounds of joins, keeping those that end in two parts.
@@ -16,14 +18,20 @@ again by rounds of joins, keeping those that end in two parts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from gavel.functions.bpe import ALPHABET, CONTROL, USER_DEFINED, Vocabulary
+from gavel.functions.bpe import ALPHABET, CONTROL, USER_DEFINED, Vocabulary, raw_hex, shown, to_alphabet
 from gavel.functions.text import has_marker, pre_tokens, split_markers
 from gavel.operators import tables
-from gavel.operators.tables import small_or_not, stored
+from gavel.operators.tables import counted_small, small_or_not, stored
 
 #: Rounds of one job; the pieces that are not done go on in the next.
 ROUNDS = 3
@@ -31,25 +39,8 @@ ROUNDS = 3
 JOBS = 8
 #: Characters of a piece that may be broadcast.
 SHORT = 64
-_MOVED = [b for b in range(256) if ALPHABET[b] != chr(b)]
-_RAW, _SHOWN = "".join(map(chr, _MOVED)), "".join(ALPHABET[b] for b in _MOVED)
-
-
-def shown(text: Column | str) -> Column:
-    """UTF-8 bytes as characters of the byte alphabet."""
-    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _RAW, _SHOWN)
-
-
-def raw_hex(piece: Column | str) -> Column:
-    """Hex digits of the bytes of a vocabulary piece: U+2581 is a space, characters outside the alphabet are their own UTF-8."""
-    own = "".join(sorted(ALPHABET))  # translate() drops what it would turn into byte 0, so that is told apart
-
-    def one(c: Column) -> Column:
-        known = F.instr(F.lit(own), c) > 0
-        return F.when(c == "▁", "20").when(c == ALPHABET[0], "00").when(known, F.hex(F.encode(F.translate(c, _SHOWN, _RAW), "ISO-8859-1"))).otherwise(F.hex(F.encode(c, "UTF-8")))
-
-    col = F.col(piece) if isinstance(piece, str) else piece
-    return F.when(col == "", "").otherwise(F.array_join(F.transform(F.split(col, ""), one), ""))
+#: Entries of lists that a task works on at once, and rare pieces that it remembers.
+AT_ONCE, REMEMBERED = 200_000, 100_000
 
 
 def vocabulary_tables(spark: SparkSession, v: Vocabulary) -> DataFrame:
@@ -88,9 +79,11 @@ def ordered_merges(v: Vocabulary) -> bool:
 
 
 def cut(df: DataFrame, key: str, text: str, v: Vocabulary) -> DataFrame:
-    """(row, key, pieces): the pieces of each text, null for a null one; written once, as the pattern is the dearest step."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).repartition("row")
-    return stored(rows.select("row", "key", _pieces_of(v).alias("pieces")))
+    """(key, pieces): the pieces of each text, null for a null one; written once, as the pattern is the dearest step. A table of few splits is spread, a large one is cut where it lies."""
+    rows, cores = df.select(F.col(key).alias("key"), F.col(text).alias("text")), df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(4 * cores)
+    return stored(rows.select("key", _pieces_of(v).alias("pieces")))
 
 
 def _pieces_of(v: Vocabulary) -> Column:
@@ -151,24 +144,46 @@ def _common(counts: DataFrame) -> int:
     return 1 << least
 
 
+def _parts(batch: pa.RecordBatch, lists: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """A batch cut so that a part has about AT_ONCE entries of its lists, with the places where its rows' entries begin and end."""
+    size = pc.fill_null(pc.list_value_length(batch.column(lists)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    end = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(end, end[lo] + AT_ONCE, side="right")) - 1))
+        yield batch.slice(lo, hi - lo), end[lo : hi + 1] - end[lo]
+        lo = hi
+
+
+def _laid(table: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs start, size of a table named by index, one after the other, and where each begins and ends."""
+    n = size[index]
+    end = np.concatenate([[0], np.cumsum(n)])
+    return table[np.repeat(start[index] - end[:-1], n) + np.arange(end[-1])], end
+
+
 def encode_in_sets(df: DataFrame, key: str, text: str, v: Vocabulary, special: bool = True) -> DataFrame:
     """(key, tokens) for each row. A null text has null tokens, an empty one no pieces; rows of equal keys stay rows of their own."""
     rows = cut(df, key, text, v)
     counts = stored(rows.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")))
-    dictionary = stored(merge_pieces(counts.select("piece"), v).join(counts, "piece"))
-    least = _common(counts)
-    common = dictionary.filter((F.col("n") >= least) & (F.length("piece") <= SHORT)).select("piece", "ids")
-    rare = dictionary.filter((F.col("n") < least) | (F.length("piece") > SHORT)).select("piece", "ids")
-    pieces = rows.repartition("row").select("row", "key", F.col("pieces").isNull().alias("missing"), F.posexplode_outer("pieces").alias("pos", "piece"))
-    found = pieces.join(F.broadcast(common), "piece", "left")
-    ids = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))
-    out = found.groupBy("row").agg(F.first("key").alias("key"), F.first("missing").alias("missing"), ids.alias("own"))
-    if not rare.isEmpty():
-        others = found.filter("ids is null and piece is not null").select("row", "pos", "piece").join(rare, "piece")
-        out = out.join(others.groupBy("row").agg(ids.alias("more")), "row", "left").withColumn("own", F.concat("own", F.coalesce("more", F.expr("slice(own, 1, 0)"))))
-    tokens = F.flatten(F.transform(F.array_sort("own"), lambda x: x["ids"]))
+    common = merge_pieces(counts.filter((F.col("n") >= _common(counts)) & (F.length("piece") <= SHORT)).select("piece"), v).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((common.column("piece").to_pylist(), common.column("ids").to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(zip(*shared.value, strict=True))
+        rare = lru_cache(REMEMBERED)(lambda p: [v.ids[p]] if p in v.markers else v.merge(to_alphabet(p)))
+        for batch in batches:
+            for part, end in _parts(batch, 1):
+                codes = part.column(1).flatten().dictionary_encode()
+                ids = [known[p] if p in known else rare(p) for p in codes.dictionary.to_pylist()]
+                size = np.array([len(x) for x in ids], np.int64)
+                tokens, cuts = _laid(np.array([i for x in ids for i in x], np.int32), np.cumsum(size) - size, size, codes.indices.to_numpy())
+                made = pa.ListArray.from_arrays(pa.array(cuts[end], pa.int32()), pa.array(tokens, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).is_null(), made], names=["key", "missing", "tokens"])
+
+    out = rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, missing boolean, tokens array<int>")
     first, last = ([x] if special and add else [] for x, add in ((v.bos, v.add_bos), (v.eos, v.add_eos)))
-    tokens = F.concat(*([F.array(*map(F.lit, first))] if first else []), tokens, *([F.array(*map(F.lit, last))] if last else []))
+    tokens = F.concat(*([F.array(*map(F.lit, first))] if first else []), "tokens", *([F.array(*map(F.lit, last))] if last else []))
     return out.select(F.col("key").alias(key), F.when(~F.col("missing"), tokens).alias("tokens"))
 
 
@@ -176,7 +191,38 @@ def decode_in_sets(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame,
     """(key, text) for each row of token arrays. vocabulary: token_id, piece, type. Markers have no text unless special asks for it; invalid UTF-8 becomes U+FFFD; an id that the vocabulary has not is an error."""
     marker = F.col("type").isin(CONTROL, USER_DEFINED)
     literal = F.hex(F.encode("piece", "UTF-8")) if special else F.lit("")
-    by_id = small_or_not(vocabulary.select(F.col("token_id").cast("int").alias("token_id"), F.when(marker, literal).otherwise(raw_hex("piece")).alias("hex")))
+    by_id = vocabulary.select(F.col("token_id").cast("int").alias("token_id"), F.when(marker, literal).otherwise(raw_hex("piece")).alias("hex"))
+    if not counted_small(by_id):
+        return _decoded_by_join(df, key, tokens, by_id)
+    own = by_id.filter("token_id is not null").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((own.column("token_id").to_pylist(), own.column("hex").to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sorted(zip(*shared.value, strict=True))
+        names, pieces = np.array([i for i, _ in order], np.int64), [bytes.fromhex(h) for _, h in order]
+        size = np.array([len(x) for x in pieces], np.int64)
+        table, start = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+        for batch in batches:
+            for part, end in _parts(batch, 1):
+                asked = part.column(1).flatten()
+                if asked.null_count:
+                    raise ValueError("no token null")
+                ids = asked.to_numpy().astype(np.int64)
+                at = np.searchsorted(names, ids)
+                bad = ids[names[np.minimum(at, len(names) - 1)] != ids] if len(names) else ids
+                if len(bad):
+                    raise ValueError(f"no token {bad[0]}")
+                laid, cuts = _laid(table, start, size, at)
+                made = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(cuts[end].astype(np.int64).tobytes()), pa.py_buffer(laid.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).is_null(), made.cast(pa.binary())], names=["key", "missing", "raw"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(tokens).cast("array<int>").alias("tokens"))
+    out = rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, missing boolean, raw binary")
+    return out.select(F.col("key").alias(key), F.when(~F.col("missing"), F.make_valid_utf8(F.col("raw").cast("string"))).alias("text"))
+
+
+def _decoded_by_join(df: DataFrame, key: str, tokens: str, by_id: DataFrame) -> DataFrame:
+    """decode_in_sets by a vocabulary (token_id, hex) that is too large to be sent to tasks."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(tokens).alias("tokens")).repartition("row")
     each = rows.select("row", "key", F.col("tokens").isNull().alias("missing"), F.posexplode_outer("tokens").alias("pos", "token_id"))
     found = each.join(by_id, "token_id", "left")

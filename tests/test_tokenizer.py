@@ -109,6 +109,22 @@ def test_rounds_shuffle_nothing_and_pieces_are_dealt_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
 
 
+def test_texts_and_tokens_are_not_shuffled(spark):
+    """Ids of texts and bytes of ids are found where the rows lie."""
+    v = bpe.tiny_vocabulary()
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "k int, t string")
+    encoded = T.encode_in_sets(df, "k", "t", v)
+    back = T.decode_in_sets(encoded, "k", "tokens", T.vocabulary_tables(spark, v))
+    for made in (encoded, back):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan and "Generate" not in plan
+
+
+def test_decoding_by_a_large_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 10)
+    test_decoding(spark)
+
+
 def test_bytes_of_texts_need_no_python(spark):
     texts = [*(t for t in TEXTS if t is not None), *_texts(60, 3), "".join(map(chr, range(400))), "\x00a\x00", "日" * 50]
     df = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, t string").select("k", bpe.byte_encoded("t").alias("shown"))
