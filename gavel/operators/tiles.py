@@ -16,11 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from gavel.functions.integer import Strategy, matmul
-from gavel.functions.quant import encode
+from gavel.functions.integer import Strategy, matmul, quantize, unpack
+from gavel.functions.quant import decode, encode
 
 #: Rows of a block of each side.
 BLOCK = 512
+#: Bytes of a block of which only the best is kept; blocks of a side at least, where there are rows enough; tasks that tiles are dealt to.
+BLOCK_BYTES, LEAST_BLOCKS, MOST_TASKS = 32 << 20, 8, 2_000
+#: Rows and columns of a product that are multiplied at once.
+AT_ONCE = 512
+#: Columns up to which integer products are measured by sums of their rows' outer products.
+GRAM = 256
 #: Groups whose candidates a task holds before it hands them on.
 HELD_GROUPS = 50_000
 #: Rows that are compared at once.
@@ -68,26 +74,46 @@ def product(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     return _tiles(a, b, block).groupBy("i", "j").applyInArrow(multiply, "row long, col long, y double")
 
 
-def largest_product(a: DataFrame, b: DataFrame, own: bool = False, block: int = BLOCK) -> DataFrame:
-    """(row, col, y): for each row of a (id, x) the row of b with the largest product, the smaller id of equals; own: a row may be its own best. Rows of a without another row in b are left out."""
+def largest_product(a: DataFrame, b: DataFrame, own: bool = False, block: int | None = None) -> DataFrame:
+    """(row, col, y): for each row of a (id, x) the row of b with the largest product, the smaller id of equals; own: a row may be its own best. Rows of a without another row in b are left out.
+
+    A block is as large as BLOCK_BYTES allows, as every row goes to as many tiles as the other side has blocks; a tile's product is made AT_ONCE rows and columns at a time.
+    """
+    if block is None:
+        n = max(a.count(), b.count())
+        block = max(1, min(BLOCK_BYTES // (8 * max(1, _columns(a))), max(BLOCK, -(-n // LEAST_BLOCKS))))
 
     def best(tile: pa.Table) -> pa.Table:
         rows, x, cols, w = _sides(tile)
         if not len(rows) or not len(cols):
             return pa.table({"row": pa.array([], pa.int64()), "col": pa.array([], pa.int64()), "y": pa.array([], pa.float64())})
-        y = x @ w.T
-        if not own:
-            y[rows[:, None] == cols] = -np.inf
-        y[np.isnan(y)] = -np.inf
-        at = y.argmax(1)
-        top = y[np.arange(len(rows)), at]
+        top, at = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
+        meet = not own and np.isin(rows, cols).any()
+        numbers = math.isfinite(np.abs(x).max(initial=0) * np.abs(w).max(initial=0) * x.shape[1])  # then no product is NaN
+        for r in range(0, len(rows), AT_ONCE):
+            for c in range(0, len(cols), AT_ONCE):
+                y = x[r : r + AT_ONCE] @ w[c : c + AT_ONCE].T
+                if meet:
+                    y[rows[r : r + AT_ONCE, None] == cols[c : c + AT_ONCE]] = -np.inf
+                if not numbers:
+                    np.copyto(y, -np.inf, where=np.isnan(y))
+                value = y.max(1)
+                more = np.flatnonzero(value > top[r : r + AT_ONCE])
+                top[r + more], at[r + more] = value[more], c + y[more].argmax(1)
         keep = top > -np.inf
         return pa.table({"row": rows[keep], "col": cols[at][keep], "y": top[keep]})
 
-    each = _tiles(a, b, block).groupBy("i", "j").applyInArrow(best, "row long, col long, y double")
+    tiles = max(1, -(-a.count() // block)) * max(1, -(-b.count() // block))
+    each = _tiles(a, b, block).repartition(min(tiles, MOST_TASKS), "i", "j").groupBy("i", "j").applyInArrow(best, "row long, col long, y double")
     return each.groupBy("row").agg(F.max(F.struct("y", (-F.col("col")).alias("c"))).alias("m")).select("row", (-F.col("m.c")).alias("col"), F.col("m.y").alias("y"))
 
 
+def _columns(rows: DataFrame) -> int:
+    """Entries of a vector; 0 without one."""
+    first = rows.filter("x is not null").select(F.size("x")).first()
+    return first[0] if first else 0
+
+
 def packed_rows(rows: DataFrame, kind: str) -> DataFrame:
     """(id, packed) of rows (id, x), quantized; x must be whole blocks."""
 
@@ -101,8 +127,60 @@ def packed_rows(rows: DataFrame, kind: str) -> DataFrame:
 def integer_error(tokens: DataFrame, weights: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
     """(row, relative_l2): how far the integer product of each token (id, x) with all packed rows (id, packed) is from the float product with their decoded values.
 
-    Both products are made tile by tile; the squares of difference and product are what a tile gives, and they are added up by token.
+    Both products are linear in the packed row: with w the decoded row and v = scale * codes + offset, x the token and q its codes * scales, the integer product is q v and
+    the float one x w, and their difference (q - x) v + x (v - w). So the sum of squares over all rows is a quadratic form of the token, by the summed outer products
+    of (v, v - w): each side is read once. Beyond GRAM columns both products are made tile by tile; the squares of difference and product are what a tile gives.
+    Either is added up by token.
     """
+    n = _columns(tokens)
+    if 0 < n <= GRAM:
+        parts = _squares_by_form(tokens, weights, kind, n)
+    else:
+        parts = _squares_by_tiles(tokens, weights, kind, block)
+    norm, base = F.sqrt(F.sum("d")), F.sqrt(F.sum("y"))
+    return parts.groupBy("row").agg(F.when(base == 0, norm).otherwise(norm / base).alias("relative_l2"))
+
+
+def _squares_by_form(tokens: DataFrame, weights: DataFrame, kind: str, n: int) -> DataFrame:
+    """(row, d, y): squares of differences and of float products, summed over all packed rows."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = None
+        for batch in batches:
+            for s in range(0, batch.num_rows, SLICE):
+                raw = b"".join(batch.column(0).slice(s, SLICE).to_pylist())
+                codes, scale, offset = unpack(kind, raw)
+                v = (codes * scale[:, None].astype(np.float64) + offset[:, None].astype(np.float64)).reshape(-1, n)
+                z = np.concatenate([v, v - decode(kind, raw).reshape(-1, n)], 1)
+                form = z.T @ z if form is None else form + z.T @ z
+        if form is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), pa.array(list(form), pa.list_(pa.float64()))], names=["i", "form"])
+
+    def added(part: pa.Table) -> pa.Table:
+        return pa.table({"i": part.column("i")[:1], "form": pa.array([_matrix(part.column("form")).sum(0)], pa.list_(pa.float64()))})
+
+    summed = weights.select("packed").mapInArrow(outer, "i long, form array<double>").groupBy("i").applyInArrow(added, "i long, form array<double>")
+    found = summed.toArrow().sort_by("i")
+    shared = tokens.sparkSession.sparkContext.broadcast(_matrix(found.column("form")) if found.num_rows else None)
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = shared.value
+        for batch in batches:
+            for s in range(0, batch.num_rows if form is not None else 0, SLICE):
+                part = batch.slice(s, SLICE)
+                x = _matrix(pa.chunked_array([part.column(1)])).astype(np.float32)
+                codes, scale = quantize(x)
+                q = (codes * scale[:, :, None].astype(np.float64)).reshape(x.shape)
+                x = x.astype(np.float64)
+                far, near = np.concatenate([q - x, x], 1), np.concatenate([x, -x], 1)
+                sums = [np.maximum(((u @ form) * u).sum(1), 0) for u in (far, near)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=["row", "d", "y"])
+
+    return tokens.select("id", "x").mapInArrow(squares, "row long, d double, y double")
+
+
+def _squares_by_tiles(tokens: DataFrame, weights: DataFrame, kind: str, block: int) -> DataFrame:
+    """The same, tile by tile."""
 
     def squares(tile: pa.Table) -> pa.Table:
         side, ids = tile.column("side").to_numpy(), tile.column("id").to_numpy()
@@ -117,9 +195,7 @@ def integer_error(tokens: DataFrame, weights: DataFrame, kind: str, block: int =
 
     left = tokens.select("id", "x", F.lit(None).cast("binary").alias("packed"))
     right = weights.select("id", F.lit(None).cast(dict(tokens.dtypes)["x"]).alias("x"), "packed")
-    parts = _tiles(left, right, block, "packed").groupBy("i", "j").applyInArrow(squares, "row long, d double, y double")
-    norm, base = F.sqrt(F.sum("d")), F.sqrt(F.sum("y"))
-    return parts.groupBy("row").agg(F.when(base == 0, norm).otherwise(norm / base).alias("relative_l2"))
+    return _tiles(left, right, block, "packed").groupBy("i", "j").applyInArrow(squares, "row long, d double, y double")
 
 
 def _attended(scale: float):

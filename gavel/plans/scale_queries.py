@@ -20,7 +20,7 @@ KINDS = ("Q8_0", "Q5_1", "MXFP4")
 
 def largest_product(spark, sf_dir):
     """Each vector's largest product with another one."""
-    v = _v(spark, sf_dir).select(F.col("vec_id").alias("id"), "x")
+    v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
     return tiles.largest_product(v, v).select(F.col("row").alias("vec_id"), V.rounded(F.col("y")).alias("product"))
 
 

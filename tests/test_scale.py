@@ -59,6 +59,36 @@ def test_integer_products_are_near_the_float_ones(spark, kind):
         tiles.integer_error(rows, tiles.packed_rows(rows, "MXFP4"), "MXFP4").collect()
 
 
+@pytest.mark.parametrize("kind", ["Q8_0", "Q5_1"])
+def test_integer_errors_by_one_form_equal_those_of_all_pairs(spark, monkeypatch, kind):
+    """The rows of both sides are read once, and nothing is joined; the sums are those of the tiles."""
+    x, rows = _vectors(spark, 90, 64, 8)
+    weights = tiles.packed_rows(rows, kind)
+    form = tiles.integer_error(rows, weights, kind)
+    plan = form._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Union" not in plan
+    monkeypatch.setattr(tiles, "GRAM", 0)
+    want = {r.row: r.relative_l2 for r in tiles.integer_error(rows, weights, kind, block=16).collect()}
+    got = {r.row: r.relative_l2 for r in form.collect()}
+    assert set(got) == set(want) and len(got) == 90 and all(math.isclose(got[k], want[k], rel_tol=1e-11) for k in want)
+    monkeypatch.setattr(tiles, "GRAM", 256)
+    assert tiles.integer_error(rows, weights.limit(0), kind).count() == 0 and tiles.integer_error(rows.limit(0), weights, kind).count() == 0
+
+
+def test_blocks_of_the_largest_product_grow_with_the_table(spark, monkeypatch):
+    """Every row goes to a bounded number of tiles, as long as a block's bytes allow it."""
+    x, rows = _vectors(spark, 300, 4, 9)
+    monkeypatch.setattr(tiles, "BLOCK", 4)
+    monkeypatch.setattr(tiles, "AT_ONCE", 7)
+    sent, made = [], tiles._tiles
+    monkeypatch.setattr(tiles, "_tiles", lambda *a: sent.append(made(*a)) or sent[-1])
+    got = {r.row: (r.col, r.y) for r in tiles.largest_product(rows, rows).collect()}
+    y = x @ x.T
+    np.fill_diagonal(y, -np.inf)
+    assert sent[0].count() == 2 * 300 * tiles.LEAST_BLOCKS
+    assert all(got[i * 7 - 20][0] == y[i].argmax() * 7 - 20 and math.isclose(got[i * 7 - 20][1], y[i].max(), abs_tol=1e-12) for i in range(300))
+
+
 def test_tiles_are_shuffled_once_a_side_and_not_broadcast(spark):
     _, da = _vectors(spark, 20, 4, 5)
     plan = tiles.largest_product(da, da, block=8)._jdf.queryExecution().executedPlan().toString()
