@@ -52,6 +52,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch, bound):
+    import gavel.llm.components as c
+
+    seen, kept = [], c.stored
+    monkeypatch.setattr(c, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(c, "stored", lambda df: seen.append(df.rdd.getNumPartitions()) or kept(df))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = dict(map(tuple, components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 70), (80, 90)], "a long, b long")).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {**dict.fromkeys(range(41), 0), 70: 70, 80: 70, 90: 70}
+    assert max(seen) <= 4 if bound else max(seen) >= 31  # a table that is too large to be sent is shuffled
+
+
 def test_tree_join_finds_all_bounds():
     rng = np.random.default_rng(0)
     for _ in range(60):
