@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gavel import cli
 from gavel.functions.quant import decode, encode
-from gavel.operators.model import Cache, Config, Model, Moderator, Prefix
+from gavel.operators.model import Cache, Config, Model, Moderator, Prefix, attend
 from gavel.operators.moderate import activations, moderate, verdict_logits
 from gavel.sources import register
 from gavel.sources.gguf import GgufError, GgufFile, write_gguf
@@ -239,3 +239,27 @@ def test_download(tmp_path):
     assert fetch("http://127.0.0.1:1/none", path) == path  # what is there is taken
     assert [delay(i) for i in (1, 2, 9)] == [2, 4, 30]
     server.shutdown()
+
+
+@pytest.mark.parametrize("size", [1, 60])
+def test_attention_in_tiles(monkeypatch, size):
+    monkeypatch.setattr("gavel.operators.model.SCORES_AT_ONCE", 640)
+    rng = np.random.default_rng(3)
+    for n, seen in ((1, 1), (1, 900), (37, 37), (300, 300), (300, 811)):
+        q, k, v = (rng.standard_normal((2, *x, 8)).astype(np.float32) for x in ((3, n), (seen,), (seen,)))
+        s = np.einsum("ghid,gjd->ghij", (size * q).astype(float), k.astype(float)) / np.sqrt(8) + np.triu(np.full((n, seen), -np.inf), seen - n + 1)
+        p = np.exp(s - s.max(-1, keepdims=True))
+        want = np.einsum("ghij,gjd->ghid", p / p.sum(-1, keepdims=True), v.astype(float))
+        np.testing.assert_allclose(attend((size * q).astype(np.float32), k, v), want, atol=2e-4 if size > 1 else 1e-5)
+
+
+def test_attention_holds_a_tile_however_many_keys():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    q, k, v = (rng.standard_normal((1, *x, 8)).astype(np.float32) for x in ((2, 64), (120_000,), (120_000,)))
+    tracemalloc.start()
+    attend(q, k, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
