@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from gavel.llm import suffixes
@@ -115,3 +116,26 @@ def test_repeated_rows_and_empty_tables(spark):
 
 def test_merged_runs_touch():
     assert merged([{"s": 5, "e": 9}, {"s": 0, "e": 5}, {"s": 20, "e": 30}]) == [(0, 9), (20, 30)] and merged(None) == []
+
+
+def test_batches_sent_to_workers_are_bounded_by_bytes(spark):
+    from gavel.llm.common import SLICE_BYTES, map_slices
+
+    def largest(session):
+        def make():
+            def run(part):
+                # the buffer is the whole batch's, not the slice's alone
+                return pa.RecordBatch.from_arrays([pa.array([part.column(1).buffers()[2].size]), pa.array([part.num_rows])], names=["held", "n"])
+
+            return run
+
+        docs = session.range(0, 1000, 1, 1).selectExpr("id doc_id", "repeat('word ', 8000) text")
+        found = map_slices(docs, make, "held long, n long").collect()
+        assert sum(r.n for r in found) == 1000
+        return max(r.held for r in found)
+
+    fresh = spark.newSession()
+    assert largest(fresh) <= 2 * SLICE_BYTES
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    assert largest(own) > 2 * SLICE_BYTES
