@@ -145,7 +145,9 @@ _NORMAL = r"lower(regexp_replace(regexp_replace(piece, '^\s+|\s+$', '', 'g'), '^
 
 
 def _codes(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("tokens"))
+    """Characters of whole texts by number; an empty text is one of number -1, as in SQL."""
+    codes = F.when(F.col("text") == "", F.array(F.lit(-1))).otherwise(F.transform(F.split("text", ""), lambda c: F.ascii(c)))
+    return _table(spark, sf_dir, "documents").select("doc_id", codes.alias("tokens"))
 
 
 def prefix_match(spark, sf_dir):
@@ -159,9 +161,13 @@ def prefilled_tokens(spark, sf_dir):
     return prefix_match(spark, sf_dir).select("doc_id", F.when(F.col("fits"), 2).otherwise(0).alias("prefilled"))
 
 
+def _fingerprint():
+    """Of the model and a text's tokens; null for a null text."""
+    return F.sha2(F.concat(F.lit("tiny.gguf|1024|mistral3|2x64x32|"), F.array_join("tokens", ",")).cast("binary"), 256).alias("fingerprint")
+
+
 def fingerprint(spark, sf_dir):
-    made = F.concat_ws("|", F.lit("tiny.gguf"), F.lit("1024"), F.lit("mistral3"), F.lit("2x64x32"), F.array_join("tokens", ","))
-    return _codes(spark, sf_dir).select("doc_id", F.sha2(made.cast("binary"), 256).alias("fingerprint"))
+    return _codes(spark, sf_dir).select("doc_id", _fingerprint())
 
 
 def _tokens_whole(spark, sf_dir):
@@ -183,8 +189,7 @@ def prefilled_tokens_whole(spark, sf_dir):
 
 
 def fingerprint_whole(spark, sf_dir):
-    made = F.concat_ws("|", F.lit("tiny.gguf"), F.lit("1024"), F.lit("mistral3"), F.lit("2x64x32"), F.array_join("tokens", ","))
-    return _tokens_whole(spark, sf_dir).select("doc_id", F.sha2(made.cast("binary"), 256).alias("fingerprint"))
+    return _tokens_whole(spark, sf_dir).select("doc_id", _fingerprint())
 
 
 _CODES = "list_transform(string_split(text, ''), lambda c: unicode(c)::INTEGER)"

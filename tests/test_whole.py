@@ -5,13 +5,14 @@ import re
 
 import numpy as np
 import pandas as pd
+from conftest import by_sql, same
 
 from gavel import cli
 from gavel.functions.bpe import tiny_vocabulary, to_alphabet
 from gavel.functions.text import marker_pattern
 from gavel.operators.model import Moderator
 from gavel.plans.model_queries import model_path
-from gavel.plans.registry import QUERIES
+from gavel.plans.registry import ORACLE_SQL, QUERIES
 from gavel.plans.text_queries import POLICIES
 
 
@@ -46,6 +47,15 @@ def test_prefixes_and_fingerprints_of_whole_documents(spark, sf_dir):
     assert {r["doc_id"]: r["fingerprint"] for r in QUERIES["fingerprint_whole"](spark, sf_dir).collect()} == made
 
 
+def test_characters_of_odd_texts_equal_sql(spark, tmp_path):
+    texts = ["", None, "\0", "\0a", "é", "a😀b", "👨‍👩‍👧", "\ufeff한", " \r\n", "", *("".join(chr(c) for c in range(lo, lo + 256) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x110000, 256))]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    for name in ("fingerprint", "prefix_match", "prefilled_tokens"):
+        same(*(x.astype(object).fillna("null") for x in (QUERIES[name](spark, str(tmp_path)).toPandas(), by_sql(str(tmp_path), ORACLE_SQL[name]))))
+    whole = {r["doc_id"]: r["fingerprint"] for r in QUERIES["fingerprint_whole"](spark, str(tmp_path)).collect()}
+    assert whole[1] is None and whole[0] == hashlib.sha256(b"tiny.gguf|1024|mistral3|2x64x32|").hexdigest()
+
+
 def test_products_of_all_vectors(spark, sf_dir):
     e = pd.read_parquet(f"{sf_dir}/embeddings.parquet")
     x = dict(zip(e.vec_id.tolist(), np.stack(e.embedding).astype(np.float64), strict=True))
