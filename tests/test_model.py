@@ -12,6 +12,7 @@ from gavel import cli
 from gavel.functions.quant import decode, encode
 from gavel.operators.model import Cache, Config, Model, Moderator, Prefix, attend
 from gavel.operators.moderate import activations, moderate, verdict_logits
+from gavel.operators.tiny import write_tiny_model
 from gavel.sources import register
 from gavel.sources.gguf import GgufError, GgufFile, write_gguf
 from gavel.sources.safetensors import load, save
@@ -241,6 +242,47 @@ def test_download(tmp_path):
     server.shutdown()
 
 
+@pytest.mark.parametrize("more", [{}, {"layers": 3, "kv_heads": 4}, {"heads": 6, "kv_heads": 2, "seed": 3}])
+def test_prompts_that_end_alike_share_the_first_layer(tmp_path, monkeypatch, more):
+    m = Moderator(write_tiny_model(str(tmp_path / "m"), **more))
+    text = " ".join(f"the {i} words of on, é😀 and in{i % 7}" for i in range(90))
+    alike = [cli.render(i, q, text) for i, q in (("a", "b"), ("Spam", "Is this an advert?"), ("x" * 70, "y"), ("x" * 69, "z"))]
+    for sizes in ({}, {"STRIP": 300, "TILE_POSITIONS": 64, "TILE_KEYS": 40, "RUN": 600}, {"TILE_POSITIONS": 48, "TILE_KEYS": 16}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(f"gavel.operators.model.{name}", value)
+        for use, prompts in ((m, alike), (m, alike[:1]), (m, [alike[0], alike[0]]), (m, [alike[0], alike[1] + "x"]), (Moderator(m.model.file.path, use_prefix=False), alike[1:])):
+            for (got, n, held), (want, *counts) in zip(use.logits_alike(prompts), [use.logits(p) for p in prompts], strict=True):
+                assert np.allclose(got, want, atol=2e-5) and counts == [n, held]
+    monkeypatch.setattr("gavel.operators.model.SAFE_SCORE", 0)  # then each prompt goes by itself
+    assert np.allclose(m.logits_alike(alike[:2])[1][0], m.logits(alike[1])[0], atol=2e-5)
+
+
+def test_scores_of_a_text_are_computed_once_for_all_policies(tiny_model, monkeypatch):
+    m, text = Moderator(tiny_model), "some words and more of them " * 120
+    prompts = [cli.render(i, q, text) for i, q in (("Hate", "Does this attack a group?"), ("Spam", "Is this an advert?"), ("no", "no"))]
+    asked = []
+    monkeypatch.setattr("gavel.operators.model.attend", lambda q, k, v, f=attend: asked.append((q.shape[2], k.shape[1])) or f(q, k, v))
+    m.logits_alike(prompts)
+    # only heads, and the last position of each prompt, go by themselves
+    assert len([x for x in asked if x[1] > 1000]) == 3 and sum(a * b for a, b in asked) < m.logits(prompts[0])[1] ** 2 / 20
+
+
+def test_equal_prompts_are_asked_once():
+    import pyarrow as pa
+
+    from gavel.operators.moderate import TOGETHER, _answers
+
+    seen, before = [], [None, []]
+    ask = lambda prompts: seen.append(prompts) or [(p, len(seen)) for p in prompts]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(range(len(rows))), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "policy_id", "prompt"])
+    rows = [(1, "a"), (1, "b"), (2, None), (2, None), (3, "a"), (3, "b"), (4, "a"), (4, None)]
+    assert _answers(batch(rows), ask, before) == [("a", 1), ("b", 1), None, None, ("a", 1), ("b", 1), ("a", 2), None]
+    assert _answers(batch([(5, "a")]), ask, before) == [("a", 2)] and seen == [["a", "b"], ["a"]]
+    many = [(6, str(i)) for i in range(2 * TOGETHER + 1)]
+    assert [x[0] for x in _answers(batch(many), ask, before)] == [p for _, p in many] and len(seen) == 5
+    assert _answers(batch([]), ask, before) == []
+
+
 @pytest.mark.parametrize("size", [1, 60])
 def test_attention_in_tiles(monkeypatch, size):
     monkeypatch.setattr("gavel.operators.model.SCORES_AT_ONCE", 640)
