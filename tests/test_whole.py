@@ -114,6 +114,16 @@ def test_moderated_documents_by_policies(spark, sf_dir, tmp_path, monkeypatch):
         assert scored[d, p]["prefilled_tokens"] > 0 and abs(scored[d, p]["yes_logit"] - want[plain.model.yes].max()) < 1e-4
 
 
+def test_long_documents_begin_first(spark, sf_dir, tmp_path, monkeypatch):
+    from gavel.plans.model_queries import _asked
+
+    where, texts = _short(tmp_path, sf_dir)
+    monkeypatch.setattr("gavel.plans.model_queries.LONG", 1000)
+    parts = [[r["doc_id"] for r in p] for p in _asked(spark, where)[0].rdd.glom().collect()]
+    assert sorted(d for p in parts for d in p) == sorted(texts)
+    assert [next(i for i, p in enumerate(parts) if d in p) < len(parts) // 3 for d in texts] == [bool(t) and len(t) > 1000 for t in texts.values()]
+
+
 def test_long_prompts_go_in_parts(tiny_model, monkeypatch):
     whole, parts = (Moderator(tiny_model) for _ in range(2))
     p = cli.render("i", "q", "some words and more of them " * 40)
